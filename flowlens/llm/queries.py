@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, order_minhash, sharding, simhash
+from . import lm, mixing, order_minhash, sharding, simhash
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_chain(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_entropy_mixing": op2_entropy_mixing,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_simhash_trie": op8_simhash_trie,
+    "op9_backoff_automaton": op9_backoff_automaton,
     "op10_order_minhash": op10_order_minhash,
 }
 
