@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, order_minhash, sharding, simhash, topk_search
+from . import lm, mixing, order_minhash, packing, sharding, simhash, topk_search
 from .common import table
 
 
+def tokenizer_path() -> str:
+    """Where the public byte-level vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.valid_vectors(table(spark, sf_dir, "embeddings"))
     return topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
@@ -21,6 +28,10 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -41,6 +52,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nra_topk": op1_nra_topk,
     "op2_entropy_mixing": op2_entropy_mixing,
+    "op3_bin_completion": op3_bin_completion,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_backoff_automaton": op9_backoff_automaton,
