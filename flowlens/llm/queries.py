@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, order_minhash, packing, sharding, simhash, topk_search, toxicity
+from . import html_extract, lm, mixing, order_minhash, packing, sharding, simhash, topk_search, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nra_topk": op1_nra_topk,
     "op2_entropy_mixing": op2_entropy_mixing,
     "op3_bin_completion": op3_bin_completion,
+    "op4_wrapper_extraction": op4_wrapper_extraction,
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_simhash_trie": op8_simhash_trie,
