@@ -82,6 +82,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     come from seeded hashes of the row.  An empty table gives an empty result;
     columns other than doc_id, text and source are ignored.
     """
+    return _mixed(docs, weights, share, limit, seed).drop("__h")
+
+
+def repeat_by_mix(docs: DataFrame, seed: int = 29) -> DataFrame:
+    """Every row of ``docs`` as often as the mix takes it, columns as they are.
+
+    Rows that are equal in doc_id, source and text are all taken the rounded
+    mean of their copies.
+    """
+    taken = (
+        _mixed(docs, (5.0, 2.0, 1.0), 1.5, 2, seed).groupBy(F.col("__h").alias("__k"))
+        .agg(F.bround(F.avg("copies")).cast("int").alias("__copies")).where("__copies > 0")
+    )
+    keyed = docs.withColumn("__k", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
+    return keyed.join(taken, "__k").withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int, seed: int) -> DataFrame:
     sized = materialize(
         docs.select(
             "doc_id",
@@ -115,7 +133,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     rounded = materialize(rounded.drop("__i", "__s"), "mix-rounded")
     repaired = join_small(rounded, _repairs(rounded, rates, limit), ["__key", "doc_id", "__h"], "left")
     return repaired.select(
-        "doc_id", "source", "size", "source_size", "target", "rate",
+        "doc_id", "source", "size", "source_size", "target", "rate", "__h",
         (F.col("copies") + F.coalesce(F.col("__delta"), F.lit(0))).alias("copies"),
     )
 

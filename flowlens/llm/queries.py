@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, lm, mixing, order_minhash, packing, sharding, simhash, topk_search, toxicity
+from . import html_extract, line_dedup, lm, mixing, order_minhash, packing, sharding, simhash, topk_search, toxicity
 from .common import table
 
 
@@ -36,6 +36,12 @@ def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed_lines", F.lit(0), lambda n, s: n + s["stop"] - s["first"])
+    return cut.select("doc_id", "text", removed.cast("long").alias("n_removed"), "removed_lines")
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_entropy_mixing": op2_entropy_mixing,
     "op3_bin_completion": op3_bin_completion,
     "op4_wrapper_extraction": op4_wrapper_extraction,
+    "op5_line_runs": op5_line_runs,
     "op6_toxicity_grammar": op6_toxicity_grammar,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_simhash_trie": op8_simhash_trie,

@@ -238,13 +238,13 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of every component: that of the smallest doc_id.
 
-    Rows with a null doc_id are kept.  Of repeated rows of that doc_id one stays.
+    Rows with a null doc_id are kept.  Of rows that repeat that doc_id one stays.
     """
-    if "component_id" in docs.columns or "fp" in docs.columns:
-        raise ValueError("columns component_id and fp are reserved")
     marks = near_duplicates(docs)
-    kept = marks.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    null_rows = docs.where(F.col("doc_id").isNull())
-    ids = docs.where(F.col("doc_id").isNotNull()).join(kept.where("doc_id is not null"), "doc_id", "left_semi")
-    one = ids.dropDuplicates(["doc_id"])
-    return one.unionByName(null_rows).select(*docs.columns)
+    kept = materialize(marks.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "simhash-kept")
+    once = kept.groupBy("doc_id").count()
+    named = docs.where(F.col("doc_id").isNotNull())
+    left = named.join(once.select("doc_id"), "doc_id", "left_semi")
+    if once.where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id"])
+    return left.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -18,13 +18,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -290,12 +290,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 # --- scoring --------------------------------------------------------------
 
 
-def _scored(grammar: Grammar):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns="text").assign(score=[grammar.score(t) for t in batch["text"]])
+def toxic_score(grammar: Grammar) -> Callable[[Column], Column]:
+    """A column function: score of a text, null texts as empty ones."""
 
-    return run
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([grammar.score(t or "") for t in texts], dtype=float)
+
+    return score
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, folds: int = 5, held: int = 0) -> DataFrame:
@@ -305,26 +307,14 @@ def score_documents(docs: DataFrame, grammar: Grammar, folds: int = 5, held: int
     clause.  Repeated rows are scored one by one.  An empty table gives an
     empty result.  Columns other than doc_id and text are ignored.
     """
-    rows = docs.select(
+    scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold(F.col("doc_id"), folds) == held).alias("held_out"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        toxic_score(grammar)(F.col("text")).alias("score"),
     )
-    scored = rows.mapInPandas(_scored(grammar), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _accepted(grammar: Grammar):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[grammar.score(t or "") < 0.5 for t in batch["text"]]]
-
-    return run
-
-
 def accepted(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """The documents that are not predicted toxic, all columns as they are."""
-    names = docs.columns
-    if "text" not in names:
-        raise ValueError("docs need a column text")
-    return docs.mapInPandas(_accepted(grammar), docs.schema)
+    return docs.where(toxic_score(grammar)(F.col("text")) < 0.5)
