@@ -1,0 +1,4 @@
+"""Registered queries."""
+
+from . import behaviour_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
