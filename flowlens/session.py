@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,33 @@ def ship(spark: SparkSession) -> None:
             out.write(p, Path(root.name) / p.relative_to(root))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that setting is absent, as in local tests, a folder is made up.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="flowlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh table path below the shared folder."""
+    return f"{scratch_root(spark)}/flowlens/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables written by :func:`materialize` (call after results are stored)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/flowlens")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
