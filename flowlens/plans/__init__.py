@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from . import behaviour_queries, graph_queries, metric_queries  # noqa: F401
+from . import behaviour_queries, case_queries, graph_queries, metric_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
