@@ -68,7 +68,7 @@ def evaluate(scored: DataFrame, budget: int = 500, fpr: float = 1e-3, by: list[s
         (F.sum(F.col("pos") * tp / flagged) / F.max("p")).alias("pr_auc"),
         (F.sum(F.col("neg") * (tp - F.col("pos")) + F.col("pos") * F.col("neg") / 2) / F.max(p * n)).alias("roc_auc"),
         at_budget.alias("b"), at_fpr.alias("l"), best.alias("f"), F.max("p").alias("pp"),
-    )
+    ).where("n_positive > 0")
     return got.select(
         *keys, "n_rows", "n_positive", (F.col("n_positive") / F.col("n_rows")).alias("prevalence"), "pr_auc", "roc_auc",
         F.col("b.score").alias("budget_threshold"),

@@ -16,24 +16,15 @@ FEATURES = (
 )
 
 
-def _communities(group: pd.DataFrame) -> pd.DataFrame:
-    """Split one oversized component by greedy modularity moves of accounts (first phase of the Louvain method)."""
-    comp = group["component"].iloc[0]
-    weights: dict = {}
-    for a, b in zip(group["src"], group["dst"], strict=True):
-        if a != b:
-            for x, y in ((a, b), (b, a)):
-                weights.setdefault(x, {}).setdefault(y, 0)
-                weights[x][y] += 1
-    degree = {x: sum(w.values()) for x, w in weights.items()}
-    total = sum(degree.values()) or 1
-    own = {x: x for x in weights}
+def _moved(weights: dict, degree: dict, total: float) -> dict:
+    """Group of each node after moving nodes to the neighbouring group of largest modularity gain."""
+    own = {x: x for x in degree}
     size = dict(degree)
     for _ in range(20):
         moved = False
-        for x in sorted(weights):
+        for x in sorted(degree):
             near: dict = {}
-            for y, w in weights[x].items():
+            for y, w in weights.get(x, {}).items():
                 near[own[y]] = near.get(own[y], 0) + w
             size[own[x]] -= degree[x]
             gain = lambda c, x=x, near=near: near.get(c, 0) - degree[x] * size.get(c, 0) / total
@@ -44,8 +35,38 @@ def _communities(group: pd.DataFrame) -> pd.DataFrame:
             size[best] = size.get(best, 0) + degree[x]
         if not moved:
             break
-    names = {c: min(x for x in own if own[x] == c) for c in set(own.values())}
-    return pd.DataFrame({"node": list(own), "component": comp, "part": [names[c] for c in own.values()]})
+    return own
+
+
+def _communities(group: pd.DataFrame) -> pd.DataFrame:
+    """Split one oversized component by the Louvain method: move nodes, merge groups, repeat."""
+    weights: dict = {}
+    for a, b in zip(group["src"], group["dst"], strict=True):
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                weights.setdefault(x, {})[y] = weights.get(x, {}).get(y, 0) + 1
+    nodes = sorted(weights)
+    degree = {x: sum(w.values()) for x, w in weights.items()}
+    total = sum(degree.values()) or 1
+    part = {x: x for x in nodes}
+    while True:
+        own = _moved(weights, degree, total)
+        if all(own[x] == x for x in own):
+            break
+        part = {x: own[part[x]] for x in nodes}
+        merged: dict = {}
+        for x, near in weights.items():
+            for y, w in near.items():
+                if own[x] != own[y]:
+                    merged.setdefault(own[x], {})[own[y]] = merged.get(own[x], {}).get(own[y], 0) + w
+        sums: dict = {}
+        for x, d in degree.items():
+            sums[own[x]] = sums.get(own[x], 0) + d
+        weights, degree = merged, sums
+    least: dict = {}
+    for x in nodes:
+        least[part[x]] = min(least.get(part[x], x), x)
+    return pd.DataFrame({"node": nodes, "component": group["component"].iloc[0], "part": [least[part[x]] for x in nodes]})
 
 
 def candidates(scored: DataFrame, quantile: float = 0.99, max_size: int = 50, min_size: int = 3) -> DataFrame:

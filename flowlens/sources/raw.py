@@ -33,13 +33,13 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     head = lines.orderBy("mid").first()
     if head is None or head["value"].strip() != HEADER:
         raise DataValidationError(f"unexpected header: {None if head is None else head['value']}")
-    body = lines.where(F.length(F.trim("value")) > 0)
+    body = lines.where((F.trim("value") != "") & (F.trim("value") != HEADER))
     placed = body.withColumn("part", F.shiftright("mid", 33)).withColumn("at", F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)))
     numbered = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1)
     sizes = placed.groupBy("part").count()  # a row a partition
     base = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     schema = T.StructType([T.StructField(n, t) for n, t in FIELDS])
-    rows = numbered.join(F.broadcast(base), "part").select((F.col("base") + F.col("k") - 1).alias("raw_row"), "value").where("raw_row >= 0")
+    rows = numbered.join(F.broadcast(base), "part").select((F.col("base") + F.col("k")).alias("raw_row"), "value")
     return rows.select("raw_row", F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")).alias("f")).select("raw_row", "f.*")
 
 
