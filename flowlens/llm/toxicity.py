@@ -236,7 +236,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
         .limit(limit)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.dropDuplicates(["doc_id"]).join(F.broadcast(known), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return rows.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Grammar:
