@@ -9,10 +9,15 @@ the log-probabilities up.
 Smoothing: absolute discounting, interpolated, on top of Witten-Bell unigrams;
 an unknown word is one event whose probability is that of all new words.
 
-Size: words and n-grams enter the automaton by *relative* frequency, so it has
-at most 1/DICT_FREQ words and 1/ARC_FREQ arcs an order, whatever the corpus.
-The remaining words keep their exact counts in a distributed table that is
-joined to the tokens that need it.
+Size: n-grams of all words are counted, and those seen ``LEAST`` times in training
+are arcs; their number grows with the corpus.  No task holds them all: arcs lie
+in buckets by key.  Texts form chunks; a chunk asks every bucket once for the
+arcs and failure weights of its own n-grams, so a common n-gram meets a bucket
+once a chunk, not once an occurrence.  Keys are 64-bit hashes.  Frequent words
+(at most 1/DICT_FREQ) are broadcast with their counts; the remaining words keep
+their exact counts in a distributed table that is joined to the tokens that need it.
+
+:class:`Automaton` is the same model on one machine; tests hold both against each other.
 """
 
 from __future__ import annotations
@@ -20,20 +25,24 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
-#: Least relative frequency of words in the automaton, of words in contexts, and of n-grams that get arcs.
-DICT_FREQ, CONTEXT_FREQ, ARC_FREQ = 1e-6, 2e-4, 1e-6
+#: Least relative frequency of the words that are broadcast; least count of n-grams that get arcs.
+DICT_FREQ, LEAST = 1e-6, 2
 DISCOUNT = 0.75
 #: Entries after which a counting task passes its partial counts on.
 FLUSH = 400_000
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 12 << 20
 #: The end of a text, as a word; no real word is empty.
 END = b""
 
@@ -99,7 +108,7 @@ def frequent_words(table: DataFrame) -> Vocabulary:
     kept = table.where(F.col("c") >= DICT_FREQ * n).toPandas().sort_values(["c", "word"], ascending=[False, True])
     counts = kept["c"].to_numpy(np.int64)
     ids = {bytes(w): i for i, w in enumerate(kept["word"])}
-    return Vocabulary(ids, counts, int(np.count_nonzero(counts >= CONTEXT_FREQ * n)), n, v)
+    return Vocabulary(ids, counts, len(ids), n, v)
 
 
 def _grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,28 +120,6 @@ def _grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs[two], (pairs[:-1] * size + ids[2:])[three]
 
 
-def _count_grams(shared) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        end, size = vocabulary.ids.get(END, -2), vocabulary.contexts
-        gap = np.array([-1], np.int64)
-        for batch in batches:
-            held: list[np.ndarray] = []
-            for text in batch.column("text").to_pylist():
-                ids, _ = vocabulary.encode(text)
-                held += [ids, gap]
-            if not held:
-                continue
-            stream = np.concatenate(held)
-            for order, codes in zip((2, 3), _grams(stream, size), strict=True):
-                keys, c = np.unique(codes, return_counts=True)
-                keep = pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), order, np.int32)), pa.array(keys), pa.array(c.astype(np.int64))], ["n", "code", "c"])
-                for at in range(0, keep.num_rows, 100_000):
-                    yield keep.slice(at, 100_000)
-
-    return run
-
-
 # --- the automaton --------------------------------------------------------
 
 
@@ -219,18 +206,206 @@ def build_automaton(vocabulary: Vocabulary, grams: dict[int, tuple[np.ndarray, n
     return Automaton(size, np.log10(p1), codes2, np.log10(p2), np.log10(left1), states2, np.log10(left2), codes3, np.log10(p3))
 
 
-def train(docs: DataFrame, table: DataFrame) -> tuple[Vocabulary, Automaton]:
-    """Vocabulary and automaton from training texts and their stored unigram table."""
-    vocabulary = frequent_words(table)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    counted = docs.select("text").mapInArrow(_count_grams(shared), "n int, code long, c long")
-    least = max(2.0, ARC_FREQ * vocabulary.tokens)
-    arcs = counted.groupBy("n", "code").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toPandas()
-    grams = {}
-    for n in (2, 3):
-        own = arcs[arcs["n"] == n].sort_values("code")
-        grams[n] = own["code"].to_numpy(np.int64), own["c"].to_numpy(np.float64)
-    return vocabulary, build_automaton(vocabulary, grams)
+# --- arcs of all n-grams, in buckets ----------------------------------------
+
+
+class _Codes(dict):
+    """64-bit codes of words, remembering those of recent ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        code = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return code
+
+
+def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Key of the n-gram that ``code`` makes of the one with key ``state`` (0: the root)."""
+    x = (state + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) + code
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _keys(codes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams of order 1, 2, 3 that end at each token of the texts, and the tokens' places in their text."""
+    flat = np.concatenate(codes)
+    place = np.concatenate([np.arange(len(c)) for c in codes])
+    keys = [_mix(np.zeros(1, np.uint64), flat)]
+    for _ in (2, 3):
+        keys.append(np.concatenate([np.zeros(1, np.uint64), _mix(keys[-1][:-1], flat[1:])]))
+    return keys, place
+
+
+def _encoded(text: str | None, codes: _Codes) -> np.ndarray:
+    found = words(text)
+    found.append(END)
+    return np.array([codes[w] for w in found], np.uint64)
+
+
+_STORED = "key long, chunk long, doc_id long, held_out boolean, text string"
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows, and deal them in their order to chunks of CHUNK_BYTES or one text more."""
+    key = chunk = TaskContext.get().partitionId() << 40
+    size = 0
+    for batch in batches:
+        chunks = []
+        for n in pa.compute.binary_length(batch.column("text")).to_pylist():
+            if size > CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
+            chunks.append(chunk)
+            size += n or 0
+        made = [pa.array(np.arange(key, key + batch.num_rows)), pa.array(chunks, pa.int64())]
+        key += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*made, *(batch.column(n) for n in ("doc_id", "held_out", "text"))], ["key", "chunk", "doc_id", "held_out", "text"])
+
+
+def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets of sorted keys, with their part of them."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        yield b, slice(edges[b], edges[b + 1])
+
+
+#: Kinds of rows: n-grams of a chunk, arcs, sums over the arcs of a state, arcs that a chunk asks for.
+_GRAMS, _ARCS, _SUMS, _ASKED = range(4)
+_PARTS = "bucket int, kind int, chunk long, keys binary, x binary, y binary"
+
+
+def _part(bucket: int, kind: int, chunk: int, keys: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
+    own = [None if a is None else np.ascontiguousarray(a).tobytes() for a in (keys, x, y)]
+    arrays = [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([o], pa.binary()) for o in own)]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _PARTS.split(", ")])
+
+
+def _grams_of(chunk: int, texts: list[np.ndarray], trained: list[bool], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The chunk's different n-grams with their states (x) and counts in training (y)."""
+    keys, place = _keys(texts)
+    counted = np.repeat(np.array(trained), [len(t) for t in texts])
+    state = np.zeros(len(place), np.uint64)
+    for order in range(3):
+        if order:
+            state = np.concatenate([np.zeros(1, np.uint64), keys[order - 1][:-1]])
+        real = place >= order
+        found, at, which = np.unique(keys[order][real], return_index=True, return_inverse=True)
+        c = np.bincount(which, counted[real], minlength=len(found)).astype("<i4")
+        states = state[real][at]
+        for b, s in _slices(found, buckets):
+            o = np.argsort(states[s])  # equal states side by side are written in fewer bytes
+            yield _part(b, _GRAMS, chunk, found[s][o], states[s][o], c[s][o])
+
+
+def _count_grams(buckets: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, chunk, texts, trained = _Codes(), None, [], []
+        for batch in batches:
+            for own, held, text in zip(*(batch.column(n).to_pylist() for n in ("chunk", "held_out", "text")), strict=True):
+                if own != chunk and texts:
+                    yield from _grams_of(chunk, texts, trained, buckets)
+                    texts, trained = [], []
+                chunk = own
+                texts.append(_encoded(text, codes))
+                trained.append(not held)
+        if texts:
+            yield from _grams_of(chunk, texts, trained, buckets)
+
+    return run
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, bytes | None, bytes | None]]:
+    for batch in batches:
+        for kind, chunk, keys, x, y in zip(*(batch.column(n).to_pylist() for n in ("kind", "chunk", "keys", "x", "y")), strict=True):
+            yield kind, chunk, np.frombuffer(keys, "<u8"), x, y
+
+
+def _find_arcs(buckets: int) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(_read(batches))
+        if not rows:
+            return
+        keys = np.concatenate([r[2] for r in rows])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        c = np.add.reduceat(np.concatenate([np.frombuffer(r[4], "<i4") for r in rows])[order], first, dtype=np.int64)
+        states = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])[order[first]]
+        enough = c >= LEAST
+        kept, c, states = keys[first][enough], c[enough], states[enough]
+        del keys, order, first
+        for b, s in _slices(kept, buckets):
+            yield _part(b, _ARCS, 0, kept[s], c[s])
+        inner = states != 0
+        found, which = np.unique(states[inner], return_inverse=True)
+        mass = np.bincount(which, c[inner] - DISCOUNT, minlength=len(found))
+        for b, s in _slices(found, buckets):
+            yield _part(b, _SUMS, 0, found[s], mass[s])
+        for _, chunk, own, _, _ in rows:
+            own = np.sort(own[_lookup(kept, own)[1]])
+            for b, s in _slices(own, buckets):
+                yield _part(b, _ASKED, chunk, own[s])
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The arcs asked for, with their counts and their failure weights as states."""
+    rows = list(_read(batches))
+    arcs = [(k, np.frombuffer(x, "<i8")) for kind, _, k, x, _ in rows if kind == _ARCS]
+    if not arcs:
+        return
+    keys, c = (np.concatenate(a) for a in zip(*arcs, strict=True))
+    order = np.argsort(keys)
+    keys, c = keys[order], c[order]
+    mass = np.zeros(len(keys))
+    for kind, _, k, x, _ in rows:
+        if kind == _SUMS:
+            mass[_lookup(keys, k)[0]] += np.frombuffer(x, "<f8")
+    left = 1.0 - mass / c
+    for kind, chunk, k, _, _ in rows:
+        if kind == _ASKED:
+            at = _lookup(keys, k)[0]
+            yield _part(0, _ARCS, chunk, k, c[at], left[at])
+
+
+def gains(texts: list[np.ndarray], keys: np.ndarray, c: np.ndarray, left: np.ndarray, whole: int) -> np.ndarray:
+    """For each text of word codes, log10 of its probability by the automaton over that by unigrams alone."""
+    own, place = _keys(texts)
+    spot, hit = zip(*(_lookup(keys, k) for k in own), strict=True)
+    before = lambda x: np.concatenate([x[:1], x[:-1]])
+    if not len(keys):
+        return np.zeros(len(texts))
+    count = lambda n: np.where(hit[n], c[spot[n]], 1).astype(np.float64)
+    fail = lambda n: np.where((place > n) & before(hit[n] & (place >= n)), before(left[spot[n]]), 1.0)
+    two, three = hit[1] & (place > 0), hit[2] & (place > 1)
+    fail1, fail2, p1 = fail(0), fail(1), count(0) / whole
+    p2 = np.where(two, (count(1) - DISCOUNT) / before(count(0)) + fail1 * p1, fail1 * p1)
+    p3 = np.where(three, (count(2) - DISCOUNT) / before(count(1)), 0.0) + fail2 * p2
+    return np.add.reduceat(np.log10(p3 / p1), np.flatnonzero(place == 0))
+
+
+def _gains_of(whole: int) -> object:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes = _Codes()
+        parts = [np.concatenate([np.frombuffer(b, kind) for b in right.column(n).to_pylist()] or [np.empty(0, kind)]) for n, kind in (("keys", "<u8"), ("x", "<i8"), ("y", "<f8"))]
+        keys, at = np.unique(parts[0], return_index=True)
+        texts = [_encoded(t, codes) for t in left.column("text").to_pylist()]
+        found = gains(texts, keys, parts[1][at], parts[2][at], whole) if texts else np.empty(0)
+        return pa.table({"key": left.column("key").cast(pa.int64()), "gain": pa.array(found, pa.float64())})
+
+    return run
+
+
+def ngram_gains(stored: DataFrame, whole: int) -> DataFrame:
+    """key and gain of every stored text; the model is that of the texts not held out."""
+    n = shuffle_partitions(stored.sparkSession)
+    grams = stored.select("chunk", "held_out", "text").mapInArrow(_count_grams(n), _PARTS)
+    arcs = grams.repartitionById(n, "bucket").mapInArrow(_find_arcs(n), _PARTS)
+    answers = arcs.repartitionById(n, "bucket").mapInArrow(_answer, _PARTS).select("chunk", "keys", "x", "y")
+    return stored.select("chunk", "key", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_gains_of(whole), "key long, gain double")
 
 
 # --- scoring --------------------------------------------------------------
@@ -240,24 +415,23 @@ _SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def _score_texts(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, automaton = shared.value
+        vocabulary = shared.value
+        whole = max(1, vocabulary.tokens + vocabulary.types)
+        root = np.log10(vocabulary.counts / whole)
         base = np.log10((vocabulary.counts + 1.0) / (vocabulary.tokens + vocabulary.types + 1.0))
-        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("key", "n_tokens", "n_known", "base_score", "score", "rare")}
+            rows: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "rare")}
             for text in batch.column("text").to_pylist():
                 ids, rare = vocabulary.encode(text)
                 known = ids[ids >= 0]
-                rows["key"].append(key)
                 rows["n_tokens"].append(len(ids))
                 rows["n_known"].append(len(known))
                 rows["base_score"].append(float(base[known].sum()))
-                rows["score"].append(automaton.score(ids))
+                rows["score"].append(float(root[known].sum()))
                 rows["rare"].append(rare)
-                key += 1
-            kinds = {"key": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.binary())}
+            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.binary())}
             made = {n: pa.array(v, kinds[n]) for n, v in rows.items()}
-            made |= {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
+            made |= {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
             names = [f.split()[0] for f in _SCORED.split(", ")]
             yield pa.RecordBatch.from_arrays([made[n] for n in names], names)
 
@@ -275,12 +449,13 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), parts) == held).alias("held_out"))
-    training = rows.where(~F.col("held_out"))
-    counts = materialize(unigrams(training), "lm-unigrams")
-    vocabulary, automaton = train(training, counts)
+    stored = materialize(rows.mapInArrow(_store, _STORED), "lm-texts")
+    counts = materialize(unigrams(stored.where(~F.col("held_out"))), "lm-unigrams")
+    vocabulary = frequent_words(counts)
     n, v = vocabulary.tokens, vocabulary.types
-    shared = spark.sparkContext.broadcast((vocabulary, automaton))
-    scored = materialize(rows.mapInArrow(_score_texts(shared), _SCORED), "lm-scored")
+    shared = spark.sparkContext.broadcast(vocabulary)
+    scored = materialize(stored.mapInArrow(_score_texts(shared), _SCORED), "lm-scored")
+    gained = ngram_gains(stored, max(1, n + v))
     seldom = counts.where(F.col("c") < DICT_FREQ * n)
     tokens = scored.select("key", F.explode("rare").alias("word"))
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
@@ -295,7 +470,7 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
         .groupBy("key")
         .agg(F.sum("hit").alias("hit"), F.sum("b").alias("b"), F.sum("s").alias("s"))
     )
-    joined = scored.drop("rare").join(rest, "key", "left")
+    joined = scored.drop("rare").join(rest, "key", "left").join(gained, "key", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return joined.select(
         "doc_id",
@@ -304,5 +479,5 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
         (F.col("n_known") + zero("hit")).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + zero("b")).alias("base_score"),
-        (F.col("score") + zero("s")).alias("score"),
+        (F.col("score") + zero("s") + zero("gain")).alias("score"),
     )

@@ -277,6 +277,26 @@ def test_traversal_equals_following_failure_arcs():
         assert a.score(s) == pytest.approx(walk(s.tolist()))
 
 
+def test_ngrams_of_all_words_enter_the_model(docs, local, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+    trained = [t for d, t in zip(local.doc_id, local.text) if zlib.crc32(str(d).encode()) % 7 != 2]
+    c = Counter(w for t in trained for w in [*lm.words(t), b""])
+    ids = {w: i for i, w in enumerate(c)}
+    vocabulary = lm.Vocabulary(ids, np.array(list(c.values())), len(c), sum(c.values()), len(c))
+    flat = np.concatenate([np.append(vocabulary.encode(t)[0], -1) for t in trained])
+    grams = {}
+    for k, codes in zip((2, 3), lm._grams(flat, len(c))):
+        keys, n = np.unique(codes, return_counts=True)
+        grams[k] = keys[n >= 2], n[n >= 2].astype(float)
+    automaton = lm.build_automaton(vocabulary, grams)
+    unknown = math.log10(len(c) / (vocabulary.tokens + vocabulary.types))
+    assert len(grams[2][0]) > 1000
+    for d, t in zip(local.doc_id, local.text):
+        found, rare = vocabulary.encode(t)
+        assert got[d] == pytest.approx(automaton.score(found) + len(rare) * unknown)
+
+
 def test_lm_odd_rows(odd, none):
     got = lm.score_documents(odd).collect()
     assert len(got) == 10 and {r["n_tokens"] for r in got if r["doc_id"] in (3, 5, 6)} == {1}
