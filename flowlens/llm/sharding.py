@@ -12,10 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, shuffle_partitions
+from .common import join_small, shuffle_partitions
 
 #: Bytes that one bucket may hold while it is shuffled in memory.
 BUCKET_BYTES = 32 << 20
+#: Bytes of a row besides its text.
+ROW_BYTES = 64
+
+
+def record_bytes(df: DataFrame) -> Column:
+    """Bytes of a row in memory, its text included if it has one."""
+    return F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES if "text" in df.columns else F.lit(ROW_BYTES)
 
 
 def external_shuffle(
@@ -32,7 +39,7 @@ def external_shuffle(
     spark = df.sparkSession
     base = df.drop("shard", "slot")
     columns = base.columns
-    weight = F.lit(64) if row_bytes is None else row_bytes
+    weight = F.lit(ROW_BYTES) if row_bytes is None else row_bytes
     total = base.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("b")).first()["b"]
     n = max(shuffle_partitions(spark), -(-int(total) // bucket_bytes))
     placed = base.select(
@@ -65,17 +72,25 @@ def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 17) -> Non
 
     A shard takes several files, each a contiguous run of slots.
     """
-    out = external_shuffle(df, n_shards, seed)
+    out = external_shuffle(df, n_shards, seed, record_bytes(df))
     files = max(1, shuffle_partitions(df.sparkSession))
     out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 17) -> DataFrame:
-    """Shard, slot and digest of every document; size counts UTF-8 bytes plus 1."""
-    sized = docs.select(
+    """Shard, slot and digest of every document; size counts UTF-8 bytes plus 1.
+
+    Whole documents are scattered and shuffled; the digest is that of the
+    records that come out.  ``docs`` is read three times, so pass a stored table.
+    """
+    records = docs.select("doc_id", "text")
+    out = external_shuffle(records, n_shards, seed, record_bytes(records))
+    return out.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        "shard",
+        "slot",
+        F.lit("rows").alias("law"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    out = external_shuffle(materialize(sized, "shard-digest"), n_shards, seed)
-    return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})

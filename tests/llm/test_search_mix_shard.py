@@ -114,3 +114,18 @@ def test_shards_odd_rows(odd, none, tmp_path, spark):
     sharding.write_shards(odd, str(tmp_path / "s"), 3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 10 and back.where("text is null").count() == 1
+
+
+def test_whole_documents_are_shuffled(docs, local, monkeypatch):
+    seen, whole = [], sharding.external_shuffle
+
+    def spy(df, n_shards, seed=17, row_bytes=None, bucket_bytes=sharding.BUCKET_BYTES):
+        seen.append((df.columns, df.agg(F.sum(F.lit(64) if row_bytes is None else row_bytes)).first()[0]))
+        return whole(df, n_shards, seed, row_bytes, 50_000)  # many buckets
+
+    monkeypatch.setattr(sharding, "external_shuffle", spy)
+    got = sharding.shard_documents(docs).toPandas()
+    text = local.set_index("doc_id").text
+    assert "text" in seen[0][0] and seen[0][1] >= sum(len(t.encode()) for t in text)
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got.itertuples())
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
