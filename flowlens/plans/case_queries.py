@@ -192,6 +192,11 @@ def n12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.has_cycle(pairs)
 
 
+@query("n12_has_cycle_whole")
+def n12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.has_cycle(event_transfers(spark, sf_dir).select((F.col("tx_id") % 50).alias("ring_id"), "src", "dst").distinct())
+
+
 @query("a29_involvement", f"""WITH {EVENT_TX}, d AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM tx UNION ALL SELECT dst FROM tx) GROUP BY node), r AS (SELECT d, row_number() OVER (ORDER BY d DESC, node) AS k, count(*) OVER () AS n FROM d)
 SELECT quantile_cont(d, 0.5) AS median, round(quantile_cont(d, 0.99), 4) AS p99, max(d) AS most, round(CAST(sum(d) FILTER (k <= ceil(n / 100.0)) AS DOUBLE) / sum(d), 6) AS top_share FROM r""")
 def a29(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from .registry import query, rounded
 #: 2024-style cut-offs do not fit every table: half of the time span serves.
 _CUT = "cut AS (SELECT (min(t) + (max(t) - min(t)) // 2) // 86400 * 86400 AS c FROM tx)"
 _EDGES = f"WITH RECURSIVE {EVENT_TX}, {_CUT}, e AS (SELECT src, dst, count(*) AS cnt, sum(amount) AS weight, max(t) AS last_t FROM tx, cut WHERE t < c GROUP BY src, dst)"
-#: A thin graph with several components: every 20th transfer.
+#: A thin graph with several components: every 97th transfer, as recursive SQL can't keep up with more.
+#: The queries that end in _whole take all transfers; they have no SQL.
 _THIN = f"WITH RECURSIVE {EVENT_TX}, e AS (SELECT DISTINCT src, dst FROM tx WHERE tx_id % 97 = 0)"
 
 
@@ -30,6 +31,10 @@ def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_transfers(spark, sf_dir).where("tx_id % 97 = 0").select("src", "dst").distinct()
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_transfers(spark, sf_dir).select("src", "dst").distinct()
+
+
 @query("n1_account_graph", _EDGES + " SELECT src, dst, cnt, round(weight, 4) AS weight, last_t FROM e")
 def n1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_edges(spark, sf_dir), 4, "weight")
@@ -75,12 +80,22 @@ def n6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strongly_connected(_thin(spark, sf_dir)).select("node", "scc_size")
 
 
+@query("n6_strongly_connected_whole")
+def n6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.strongly_connected(_whole(spark, sf_dir)).select("node", "scc_size")
+
+
 @query("n10_components", _THIN + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 reach AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
 def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connected_components(_thin(spark, sf_dir))
 
 
+@query("n10_components_whole")
+def n10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.connected_components(_whole(spark, sf_dir))
+
+
 @query("n8_period_node_features", f"""WITH {EVENT_TX}, q AS (SELECT tx_id, src, dst, t // 86400 * 86400 AS p FROM tx),
 f AS (SELECT src, dst, min(t) AS t FROM tx GROUP BY src, dst), mu AS (SELECT a.src AS node, greatest(a.t, b.t) AS t FROM f a JOIN f b ON a.src = b.dst AND a.dst = b.src),
 u AS (SELECT src AS acct, t, 1 AS od, 0 AS idg, 0 AS ot, 0 AS it, 0.0::DOUBLE AS ow, 0.0::DOUBLE AS iw, 0 AS rp, NULL AS id FROM f
@@ -140,6 +155,11 @@ def n16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hop_distances(_thin(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 4)
 
 
+@query("n16_hop_distances_whole")
+def n16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.hop_distances(_whole(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 4)
+
+
 @query("a24_homophily", _EDGES + " SELECT round(avg(CASE WHEN src % 3 = 0 AND dst % 3 = 0 OR src % 3 <> 0 AND dst % 3 <> 0 THEN 1 ELSE 0 END), 8) AS homophily FROM e")
 def a24(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)

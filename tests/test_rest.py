@@ -190,3 +190,37 @@ def test_stream_replay_and_stateful_detector(spark, tmp_path):
     q.awaitTermination()
     alarms = [r["i"] for r in spark.table("alarms").collect()]
     assert alarms and min(alarms) in range(60, 64)
+
+
+def test_whole_graph_queries_take_every_transfer(spark, sf):
+    from flowlens.plans import QUERIES
+    from flowlens.sources.transfers import event_transfers
+
+    tx = [(r["tx_id"], r["src"], r["dst"]) for r in event_transfers(spark, sf).collect()]
+
+    def reached(pairs):
+        links = {}
+        for a, b in pairs:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set())
+        out = {}
+        for start in links:
+            hops, front = {start: 0}, [start]
+            while front:
+                front = [y for y in {y for x in front for y in links[x]} if y not in hops and not hops.update({y: hops[front[0]] + 1})]
+            out[start] = hops
+        return out
+
+    one, both = reached([(a, b) for _, a, b in tx]), reached([p for _, a, b in tx for p in ((a, b), (b, a))])
+    found = lambda name: dict(tuple(r) for r in QUERIES[name](spark, sf).collect())
+    assert found("n6_strongly_connected_whole") == {n: sum(n in one[m] for m in one[n]) for n in one}
+    assert found("n10_components_whole") == {n: min(both[n]) for n in both}
+    assert found("n16_hop_distances_whole") == {n: h for n, h in both[0].items() if h <= 4}
+    rings = {}
+    for i, a, b in tx:
+        rings.setdefault(i % 50, []).append((a, b))
+    want = {}
+    for ring, pairs in rings.items():
+        hops = reached(pairs)
+        want[ring] = int(any(a in hops[b] for a, b in pairs))
+    assert found("n12_has_cycle_whole") == want
