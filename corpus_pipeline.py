@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces placed in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    """Pieces with their ids, placed in sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
 STAGES = [

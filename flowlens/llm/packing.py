@@ -326,7 +326,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
 
     Null and empty texts are one token, the end.  Repeated rows are packed one
     by one.  An empty table gives an empty result.  Columns other than doc_id
-    and text are ignored.  Sequence ids count from 0.
+    and text are ignored.  Sequence ids count from 0.  With ids, ids_crc32 is
+    that of the ids placed.
     """
     cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids), "pack-pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS))
@@ -343,4 +344,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     names = cut.columns
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
     placed = ranked.select(*names, (F.col("__base") + F.col("__at")).alias("__rank"))
-    return placed.mapInPandas(_dealt(plan, names), schema)
+    out = placed.mapInPandas(_dealt(plan, names), schema)
+    return out.withColumn("ids_crc32", F.crc32("ids")) if with_ids else out

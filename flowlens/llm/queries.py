@@ -29,7 +29,7 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=True)
 
 
 def op4_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

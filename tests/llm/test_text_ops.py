@@ -201,6 +201,23 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packed_sequences_hold_their_ids(spark, sf, local):
+    import corpus_pipeline
+    from flowlens.llm.queries import op3_bin_completion
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    for got in (op3_bin_completion(spark, sf), corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)):
+        got = got.toPandas()
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in got.itertuples())
+        whole = got.sort_values(["doc_id", "start"]).groupby("doc_id").ids.agg(b"".join)
+        for d, t in list(zip(local.doc_id, local.text))[:40]:
+            assert whole[d] == np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        for _, s in got.sort_values("offset").groupby("sequence_id"):
+            assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= packing.CAPACITY
+
+
 # --- language model --------------------------------------------------------
 
 
