@@ -1,30 +1,26 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counting runs over all training documents.  The n-grams kept become states of
-an automaton: every state has arcs with log-probabilities for the words seen
-after it and a failure arc, with the backoff weight, to the state of its longest
+States are the n-grams of training below order ``ORDER``.  A state has an arc
+for every word seen after it and a failure arc to the state of its longest
 proper suffix.  One left-to-right traversal of a text carries the state and adds
 the log-probabilities up.
 
-Smoothing: absolute discounting, interpolated, on top of Witten-Bell unigrams;
-an unknown word is one event whose probability is that of all new words.
-
-Size: n-grams of all words are counted, and those seen ``LEAST`` times in training
-are arcs; their number grows with the corpus.  No task holds them all: arcs lie
-in buckets by key.  Texts form chunks; a chunk asks every bucket once for the
-arcs and failure weights of its own n-grams, so a common n-gram meets a bucket
-once a chunk, not once an occurrence.  Keys are 64-bit hashes.  Frequent words
-(at most 1/DICT_FREQ) are broadcast with their counts; the remaining words keep
-their exact counts in a distributed table that is joined to the tokens that need it.
-
-:class:`Automaton` is the same model on one machine; tests hold both against each other.
+Smoothing: a state seen c times gives a word seen c_w times after it the
+probability (c_w + K * p) / (c + K), where p is the word's probability in the
+failure state, so the failure arc of an unseen word weighs K / (c + K).  These
+add up to one after every state, whatever is seen.  The root is a Witten-Bell
+unigram model in which an unknown word is one event, that of all new words.
+
+Size: every n-gram of every training text counts, the rare ones too; no task
+holds them all.  Texts form chunks of ``CHUNK_BYTES``.  A chunk asks the bucket
+of each of its different n-grams once, in the order of the keys, and the answer
+is the total counts in that order, without keys.  Keys are 64-bit hashes, of
+which longer n-grams use 56 bits: at 10^10 different ones a handful share a key.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -34,15 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, shuffle_partitions, spread
 
-#: Least relative frequency of the words that are broadcast; least count of n-grams that get arcs.
-DICT_FREQ, LEAST = 1e-6, 2
-DISCOUNT = 0.75
-#: Entries after which a counting task passes its partial counts on.
-FLUSH = 400_000
-#: Bytes of text in a chunk.
-CHUNK_BYTES = 12 << 20
+#: Longest n-gram, and the counts K that a state lends to its failure state, by length of the state.
+ORDER, LENT = 3, (0.0, 500.0, 4.0)
+#: Bytes of text in a chunk, and behind a bucket.
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+#: Word codes that a task remembers.
+REMEMBERED = 400_000
 #: The end of a text, as a word; no real word is empty.
 END = b""
 
@@ -57,383 +52,220 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-# --- counting -------------------------------------------------------------
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(words(text))
-            if len(counts) > FLUSH:
-                yield from _counts(counts)
-                counts.clear()
-        counts[END] += batch.num_rows
-    yield from _counts(counts)
-
-
-def _counts(counts: Counter) -> Iterator[pa.RecordBatch]:
-    found = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-    for at in range(0, found.num_rows, 50_000):
-        yield found.slice(at, 50_000)
-
-
-def unigrams(docs: DataFrame) -> DataFrame:
-    """word (binary, empty for the end) and its exact count c in all texts."""
-    return docs.select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Vocabulary:
-    """Frequent words by falling count; ids below ``contexts`` may stand in contexts."""
-
-    ids: dict[bytes, int]
-    counts: np.ndarray
-    contexts: int
-    tokens: int
-    types: int
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Ids of the tokens, the end included and -1 for rare words; the rare words."""
-        found = words(text)
-        found.append(END)
-        get = self.ids.get
-        ids = np.fromiter([get(w, -1) for w in found], np.int64, len(found))
-        return ids, [found[i] for i in np.flatnonzero(ids < 0).tolist()]
-
-
-def frequent_words(table: DataFrame) -> Vocabulary:
-    totals = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = int(totals["n"]), int(totals["v"])
-    kept = table.where(F.col("c") >= DICT_FREQ * n).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    counts = kept["c"].to_numpy(np.int64)
-    ids = {bytes(w): i for i, w in enumerate(kept["word"])}
-    return Vocabulary(ids, counts, len(ids), n, v)
+# --- n-grams ----------------------------------------------------------------
 
 
-def _grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the bigrams and trigrams whose words may all stand in contexts."""
-    ok = (ids >= 0) & (ids < size)
-    two = ok[:-1] & ok[1:]
-    pairs = ids[:-1] * size + ids[1:]
-    three = two[:-1] & two[1:]
-    return pairs[two], (pairs[:-1] * size + ids[2:])[three]
-
-
-# --- the automaton --------------------------------------------------------
-
-
-@dataclass
-class Automaton:
-    """States and arcs as sorted arrays of codes.
-
-    State () is the root; state (a) exists for each context word, state (a, b)
-    where trigrams were kept.  ``arc2``/``arc3`` hold log10 probabilities,
-    ``fail1``/``fail2`` log10 backoff weights of the failure arcs.
-    """
-
-    size: int
-    root: np.ndarray
-    codes2: np.ndarray
-    arc2: np.ndarray
-    fail1: np.ndarray
-    states2: np.ndarray
-    fail2: np.ndarray
-    codes3: np.ndarray
-    arc3: np.ndarray
-
-    def score(self, ids: np.ndarray) -> float:
-        """Log10 probability of a token stream without the unigram part of rare words.
-
-        At order three the state before a token depends on two tokens only, so
-        the whole traversal is one pass of array operations.
-        """
-        known = ids >= 0
-        out = np.where(known, self.root[np.where(known, ids, 0)] if len(self.root) else 0.0, 0.0)
-        if len(ids) > 1 and self.size:
-            a, b = ids[:-1], ids[1:]
-            context = (a >= 0) & (a < self.size)
-            at = np.flatnonzero(context)
-            value = out[1:][at] + self.fail1[a[at]]
-            word_ok = (b[at] >= 0) & (b[at] < self.size)
-            code = a[at] * self.size + b[at]
-            spot, hit = _lookup(self.codes2, np.where(word_ok, code, -1))
-            out[1:][at] = np.where(hit, self.arc2[spot], value)
-            if len(ids) > 2 and len(self.states2):
-                pair = np.where(context[:-1] & context[1:], ids[:-2] * self.size + ids[1:-1], -1)
-                at = np.flatnonzero(pair >= 0)
-                state, is_state = _lookup(self.states2, pair[at])
-                at, state = at[is_state], state[is_state]
-                w = ids[2:][at]
-                value = out[2:][at] + self.fail2[state]
-                spot, hit = _lookup(self.codes3, np.where((w >= 0) & (w < self.size), pair[at] * self.size + w, -1))
-                out[2:][at] = np.where(hit, self.arc3[spot], value)
-        return float(out.sum())
-
-
-def _lookup(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-    spot = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    return spot, keys[spot] == codes
-
-
-def build_automaton(vocabulary: Vocabulary, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Automaton:
-    """Turn counts of kept n-grams into arcs and failure weights.
-
-    The probabilities after each state sum to one: discounted arcs, plus the
-    failure weight times those of the next shorter state.
-    """
-    size, counts = vocabulary.contexts, vocabulary.counts.astype(np.float64)
-    whole = max(1, vocabulary.tokens + vocabulary.types)
-    p1 = counts / whole
-    codes2, c2 = grams[2]
-    first, second = codes2 // max(1, size), codes2 % max(1, size)
-    share2 = (c2 - DISCOUNT) / counts[first] if len(codes2) else np.empty(0)
-    left1 = 1.0 - np.bincount(first, share2, minlength=size)[:size]
-    p2 = share2 + left1[first] * p1[second]
-    codes3, c3 = grams[3]
-    pair, third = codes3 // max(1, size), codes3 % max(1, size)
-    spot, kept = _lookup(codes2, pair)
-    codes3, c3, pair, third, spot = codes3[kept], c3[kept], pair[kept], third[kept], spot[kept]
-    share3 = (c3 - DISCOUNT) / c2[spot] if len(codes3) else np.empty(0)
-    states2, which = np.unique(pair, return_inverse=True)
-    left2 = 1.0 - np.bincount(which, share3, minlength=len(states2))
-    middle = pair % max(1, size)
-    low, hit = _lookup(codes2, middle * size + third)
-    after = np.where(hit, p2[low] if len(p2) else 0.0, left1[middle] * p1[third] if len(codes3) else 0.0)
-    p3 = share3 + left2[which] * after
-    return Automaton(size, np.log10(p1), codes2, np.log10(p2), np.log10(left1), states2, np.log10(left2), codes3, np.log10(p3))
-
-
-# --- arcs of all n-grams, in buckets ----------------------------------------
-
-
-class _Codes(dict):
+class Codes(dict):
     """64-bit codes of words, remembering those of recent ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
+        if len(self) > REMEMBERED:
             self.clear()
         code = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return code
 
 
+def encode(text: str | None, codes: Codes) -> np.ndarray:
+    """Codes of the text's tokens, the end included."""
+    found = words(text)
+    found.append(END)
+    return np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))
+
+
 def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Key of the n-gram that ``code`` makes of the one with key ``state`` (0: the root)."""
+    """56-bit key (in the upper bits) of the n-gram that ``code`` makes of the one with key ``state``."""
     x = (state + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) + code
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) & ~np.uint64(0xFF)
 
 
-def _keys(codes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams of order 1, 2, 3 that end at each token of the texts, and the tokens' places in their text."""
-    flat = np.concatenate(codes)
-    place = np.concatenate([np.arange(len(c)) for c in codes])
-    keys = [_mix(np.zeros(1, np.uint64), flat)]
-    for _ in (2, 3):
+def ngram_keys(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams of each order that end at each token of the texts, and the tokens' places in their text.
+
+    Keys of order n hold where a token's place is n - 1 or more.
+    """
+    flat = np.concatenate(texts)
+    place = np.concatenate([np.arange(len(t)) for t in texts])
+    keys = [flat]
+    for _ in range(1, ORDER):
         keys.append(np.concatenate([np.zeros(1, np.uint64), _mix(keys[-1][:-1], flat[1:])]))
     return keys, place
 
 
-def _encoded(text: str | None, codes: _Codes) -> np.ndarray:
-    found = words(text)
-    found.append(END)
-    return np.array([codes[w] for w in found], np.uint64)
-
-
-_STORED = "key long, chunk long, doc_id long, held_out boolean, text string"
-
-
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the rows, and deal them in their order to chunks of CHUNK_BYTES or one text more."""
-    key = chunk = TaskContext.get().partitionId() << 40
-    size = 0
-    for batch in batches:
-        chunks = []
-        for n in pa.compute.binary_length(batch.column("text")).to_pylist():
-            if size > CHUNK_BYTES:
-                chunk, size = chunk + 1, 0
-            chunks.append(chunk)
-            size += n or 0
-        made = [pa.array(np.arange(key, key + batch.num_rows)), pa.array(chunks, pa.int64())]
-        key += batch.num_rows
-        yield pa.RecordBatch.from_arrays([*made, *(batch.column(n) for n in ("doc_id", "held_out", "text"))], ["key", "chunk", "doc_id", "held_out", "text"])
+def log_probabilities(counts: list[np.ndarray], place: np.ndarray, tokens: int, types: int) -> np.ndarray:
+    """log10 of each token's probability after the state that the tokens before it lead to.
 
+    ``counts[n - 1]`` are training counts of the n-grams that end at each token.
+    The state after a token is the longest n-gram below ``ORDER`` that ends
+    there, so the traversal is one pass over arrays: from the root up, arcs
+    where the n-gram was seen, failure weights times the shorter state's
+    probability where not.
+    """
+    whole = float(max(1, tokens + types))
+    p = np.where(counts[0] > 0, counts[0] / whole, types / whole if tokens else 1.0)
+    for n in range(1, ORDER):
+        real = place >= n
+        state = np.concatenate([np.zeros(1), counts[n - 1][:-1]])
+        p = np.where(real, (counts[n] + LENT[n] * p) / (state + LENT[n]), p)
+    return np.log10(p)
 
-def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Buckets of sorted keys, with their part of them."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        yield b, slice(edges[b], edges[b + 1])
 
+# --- chunks and buckets -----------------------------------------------------
 
-#: Kinds of rows: n-grams of a chunk, arcs, sums over the arcs of a state, arcs that a chunk asks for.
-_GRAMS, _ARCS, _SUMS, _ASKED = range(4)
-_PARTS = "bucket int, kind int, chunk long, keys binary, x binary, y binary"
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by bytes of equal weight, which compress well where numbers are small."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _part(bucket: int, kind: int, chunk: int, keys: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> pa.RecordBatch:
-    own = [None if a is None else np.ascontiguousarray(a).tobytes() for a in (keys, x, y)]
-    arrays = [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([o], pa.binary()) for o in own)]
-    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _PARTS.split(", ")])
 
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
-def _grams_of(chunk: int, texts: list[np.ndarray], trained: list[bool], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The chunk's different n-grams with their states (x) and counts in training (y)."""
-    keys, place = _keys(texts)
-    counted = np.repeat(np.array(trained), [len(t) for t in texts])
-    state = np.zeros(len(place), np.uint64)
-    for order in range(3):
-        if order:
-            state = np.concatenate([np.zeros(1, np.uint64), keys[order - 1][:-1]])
-        real = place >= order
-        found, at, which = np.unique(keys[order][real], return_index=True, return_inverse=True)
-        c = np.bincount(which, counted[real], minlength=len(found)).astype("<i4")
-        states = state[real][at]
-        for b, s in _slices(found, buckets):
-            o = np.argsort(states[s])  # equal states side by side are written in fewer bytes
-            yield _part(b, _GRAMS, chunk, found[s][o], states[s][o], c[s][o])
 
+_ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+_CHUNK = "chunk long, rows binary"
 
-def _count_grams(buckets: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, chunk, texts, trained = _Codes(), None, [], []
-        for batch in batches:
-            for own, held, text in zip(*(batch.column(n).to_pylist() for n in ("chunk", "held_out", "text")), strict=True):
-                if own != chunk and texts:
-                    yield from _grams_of(chunk, texts, trained, buckets)
-                    texts, trained = [], []
-                chunk = own
-                texts.append(_encoded(text, codes))
-                trained.append(not held)
-        if texts:
-            yield from _grams_of(chunk, texts, trained, buckets)
 
-    return run
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of CHUNK_BYTES or one text more as one compressed Arrow stream, numbered."""
+    chunk = key = TaskContext.get().partitionId() << 40
+    held: list[pa.RecordBatch] = []
+    size = 0
 
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _ROWS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in held:
+                out.write_batch(b)
+        rows = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), rows], ["chunk", "rows"])
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, bytes | None, bytes | None]]:
     for batch in batches:
-        for kind, chunk, keys, x, y in zip(*(batch.column(n).to_pylist() for n in ("kind", "chunk", "keys", "x", "y")), strict=True):
-            yield kind, chunk, np.frombuffer(keys, "<u8"), x, y
-
+        ids = pa.array(np.arange(key, key + batch.num_rows))
+        key += batch.num_rows
+        made = pa.RecordBatch.from_arrays([ids, *(batch.column(n) for n in ("doc_id", "held_out", "text"))], schema=_ROWS)
+        lengths = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+        start = 0
+        for i, n in enumerate(lengths.tolist()):
+            size += n + 8
+            if size > CHUNK_BYTES:
+                held.append(made.slice(start, i + 1 - start))
+                yield packed()
+                held, size, start, chunk = [], 0, i + 1, chunk + 1
+        if start < made.num_rows:
+            held.append(made.slice(start))
+    if held:
+        yield packed()
 
-def _find_arcs(buckets: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(_read(batches))
-        if not rows:
-            return
-        keys = np.concatenate([r[2] for r in rows])
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        c = np.add.reduceat(np.concatenate([np.frombuffer(r[4], "<i4") for r in rows])[order], first, dtype=np.int64)
-        states = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])[order[first]]
-        enough = c >= LEAST
-        kept, c, states = keys[first][enough], c[enough], states[enough]
-        del keys, order, first
-        for b, s in _slices(kept, buckets):
-            yield _part(b, _ARCS, 0, kept[s], c[s])
-        inner = states != 0
-        found, which = np.unique(states[inner], return_inverse=True)
-        mass = np.bincount(which, c[inner] - DISCOUNT, minlength=len(found))
-        for b, s in _slices(found, buckets):
-            yield _part(b, _SUMS, 0, found[s], mass[s])
-        for _, chunk, own, _, _ in rows:
-            own = np.sort(own[_lookup(kept, own)[1]])
-            for b, s in _slices(own, buckets):
-                yield _part(b, _ASKED, chunk, own[s])
 
-    return run
+def _encoded(rows: bytes, codes: Codes) -> tuple[pa.Table, list[np.ndarray]]:
+    table = pa.ipc.open_stream(rows).read_all()
+    return table, [encode(t, codes) for t in table.column("text").to_pylist()]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The arcs asked for, with their counts and their failure weights as states."""
-    rows = list(_read(batches))
-    arcs = [(k, np.frombuffer(x, "<i8")) for kind, _, k, x, _ in rows if kind == _ARCS]
-    if not arcs:
-        return
-    keys, c = (np.concatenate(a) for a in zip(*arcs, strict=True))
-    order = np.argsort(keys)
-    keys, c = keys[order], c[order]
-    mass = np.zeros(len(keys))
-    for kind, _, k, x, _ in rows:
-        if kind == _SUMS:
-            mass[_lookup(keys, k)[0]] += np.frombuffer(x, "<f8")
-    left = 1.0 - mass / c
-    for kind, chunk, k, _, _ in rows:
-        if kind == _ASKED:
-            at = _lookup(keys, k)[0]
-            yield _part(0, _ARCS, chunk, k, c[at], left[at])
-
-
-def gains(texts: list[np.ndarray], keys: np.ndarray, c: np.ndarray, left: np.ndarray, whole: int) -> np.ndarray:
-    """For each text of word codes, log10 of its probability by the automaton over that by unigrams alone."""
-    own, place = _keys(texts)
-    spot, hit = zip(*(_lookup(keys, k) for k in own), strict=True)
-    before = lambda x: np.concatenate([x[:1], x[:-1]])
-    if not len(keys):
-        return np.zeros(len(texts))
-    count = lambda n: np.where(hit[n], c[spot[n]], 1).astype(np.float64)
-    fail = lambda n: np.where((place > n) & before(hit[n] & (place >= n)), before(left[spot[n]]), 1.0)
-    two, three = hit[1] & (place > 0), hit[2] & (place > 1)
-    fail1, fail2, p1 = fail(0), fail(1), count(0) / whole
-    p2 = np.where(two, (count(1) - DISCOUNT) / before(count(0)) + fail1 * p1, fail1 * p1)
-    p3 = np.where(three, (count(2) - DISCOUNT) / before(count(1)), 0.0) + fail2 * p2
-    return np.add.reduceat(np.log10(p3 / p1), np.flatnonzero(place == 0))
-
-
-def _gains_of(whole: int) -> object:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        codes = _Codes()
-        parts = [np.concatenate([np.frombuffer(b, kind) for b in right.column(n).to_pylist()] or [np.empty(0, kind)]) for n, kind in (("keys", "<u8"), ("x", "<i8"), ("y", "<f8"))]
-        keys, at = np.unique(parts[0], return_index=True)
-        texts = [_encoded(t, codes) for t in left.column("text").to_pylist()]
-        found = gains(texts, keys, parts[1][at], parts[2][at], whole) if texts else np.empty(0)
-        return pa.table({"key": left.column("key").cast(pa.int64()), "gain": pa.array(found, pa.float64())})
+def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
-    return run
 
+_ASKED = "bucket int, chunk long, n int, keys binary, counts binary"
+_TOLD = "bucket int, chunk long, n int, counts binary, types long, tokens long"
 
-def ngram_gains(stored: DataFrame, whole: int) -> DataFrame:
-    """key and gain of every stored text; the model is that of the texts not held out."""
-    n = shuffle_partitions(stored.sparkSession)
-    grams = stored.select("chunk", "held_out", "text").mapInArrow(_count_grams(n), _PARTS)
-    arcs = grams.repartitionById(n, "bucket").mapInArrow(_find_arcs(n), _PARTS)
-    answers = arcs.repartitionById(n, "bucket").mapInArrow(_answer, _PARTS).select("chunk", "keys", "x", "y")
-    return stored.select("chunk", "key", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_gains_of(whole), "key long, gain double")
 
+def _ask(buckets: int):
+    """For each chunk, bucket and order the different n-grams with their counts in training texts."""
 
-# --- scoring --------------------------------------------------------------
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                table, texts = _encoded(rows, codes)
+                keys, place = ngram_keys(texts)
+                training = ~np.repeat(table.column("held_out").to_numpy(), [len(t) for t in texts])
+                for n in range(ORDER):
+                    real = place >= n
+                    found, which = np.unique(keys[n][real], return_inverse=True)
+                    counts = np.bincount(which, training[real], minlength=len(found)).astype(np.int64)
+                    edges = _bucket_edges(found, buckets)
+                    spans = [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
+                    steps = lambda k: np.concatenate([k[:1], np.diff(k)])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([b for b, _ in spans], pa.int32()),
+                            pa.array([chunk] * len(spans), pa.int64()),
+                            pa.array([n] * len(spans), pa.int32()),
+                            pa.array([_planes(steps(found[s])) for _, s in spans], pa.binary()),
+                            pa.array([_planes(counts[s]) for _, s in spans], pa.binary()),
+                        ],
+                        [c.split()[0] for c in _ASKED.split(", ")],
+                    )
 
-_SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
+    return run
 
 
-def _score_texts(shared) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        whole = max(1, vocabulary.tokens + vocabulary.types)
-        root = np.log10(vocabulary.counts / whole)
-        base = np.log10((vocabulary.counts + 1.0) / (vocabulary.tokens + vocabulary.types + 1.0))
-        for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("n_tokens", "n_known", "base_score", "score", "rare")}
-            for text in batch.column("text").to_pylist():
-                ids, rare = vocabulary.encode(text)
-                known = ids[ids >= 0]
-                rows["n_tokens"].append(len(ids))
-                rows["n_known"].append(len(known))
-                rows["base_score"].append(float(base[known].sum()))
-                rows["score"].append(float(root[known].sum()))
-                rows["rare"].append(rare)
-            kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.binary())}
-            made = {n: pa.array(v, kinds[n]) for n, v in rows.items()}
-            made |= {"key": batch.column("key"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
-            names = [f.split()[0] for f in _SCORED.split(", ")]
-            yield pa.RecordBatch.from_arrays([made[n] for n in names], names)
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The total counts of what each chunk asks for; one row with the bucket's types and tokens."""
+    asked: list[tuple] = []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "chunk", "n", "keys", "counts")]
+        asked += zip(*columns, strict=True)
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    for n in range(ORDER):
+        own = [a for a in asked if a[2] == n]
+        if not own:
+            continue
+        keys = [np.cumsum(_numbers(a[3], "<u8"), dtype=np.uint64) for a in own]
+        ends = np.cumsum([len(k) for k in keys])
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        total = np.bincount(which, np.concatenate([_numbers(a[4], "<i8") for a in own]), minlength=len(found)).astype(np.int64)
+        for a, begin, end in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            row = (a[0], a[1], n, _planes(total[which[begin:end]]), None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+        if n == 0:
+            row = (own[0][0], None, n, None, int((total > 0).sum()), int(total.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(buckets: int, tokens: int, types: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, parts = Codes(), []
+        told = {(n, b): c for n, b, c in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "counts")), strict=True)}
+        for rows in left.column("rows").to_pylist():
+            table, texts = _encoded(rows, codes)
+            keys, place = ngram_keys(texts)
+            counts = []
+            for n in range(ORDER):
+                real = place >= n
+                _, which = np.unique(keys[n][real], return_inverse=True)
+                total = np.concatenate([_numbers(told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")])
+                own = np.zeros(len(place))
+                own[real] = total[which]
+                counts.append(own)
+            first = np.flatnonzero(place == 0)
+            base = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
+            score = log_probabilities(counts, place, tokens, types)
+            added = lambda x: np.add.reduceat(x, first)
+            parts.append(
+                pa.table(
+                    {
+                        "doc_id": table.column("doc_id"),
+                        "held_out": table.column("held_out"),
+                        "n_tokens": pa.array([len(t) for t in texts], pa.int64()),
+                        "n_known": pa.array(added((counts[0] > 0).astype(np.int64)), pa.int64()),
+                        "base_score": pa.array(added(base)),
+                        "score": pa.array(added(score)),
+                    }
+                )
+            )
+        return pa.concat_tables(parts) if parts else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]).empty_table()
 
     return run
 
@@ -447,37 +279,15 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     with base log10(1/1) = 0 and score 0.  Columns other than doc_id and text
     are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id"), parts) == held).alias("held_out"))
-    stored = materialize(rows.mapInArrow(_store, _STORED), "lm-texts")
-    counts = materialize(unigrams(stored.where(~F.col("held_out"))), "lm-unigrams")
-    vocabulary = frequent_words(counts)
-    n, v = vocabulary.tokens, vocabulary.types
-    shared = spark.sparkContext.broadcast(vocabulary)
-    scored = materialize(stored.mapInArrow(_score_texts(shared), _SCORED), "lm-scored")
-    gained = ngram_gains(stored, max(1, n + v))
-    seldom = counts.where(F.col("c") < DICT_FREQ * n)
-    tokens = scored.select("key", F.explode("rare").alias("word"))
-    c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    rest = (
-        tokens.join(seldom.hint("shuffle_hash"), "word", "left")
-        .select(
-            "key",
-            F.col("c").isNotNull().cast("long").alias("hit"),
-            F.log10((c + 1) / F.lit(float(n + v + 1))).alias("b"),
-            F.log10(F.when(c > 0, c / F.lit(float(max(1, n + v)))).otherwise(F.lit(v / (n + v) if n else 1.0))).alias("s"),
-        )
-        .groupBy("key")
-        .agg(F.sum("hit").alias("hit"), F.sum("b").alias("b"), F.sum("s").alias("s"))
-    )
-    joined = scored.drop("rare").join(rest, "key", "left").join(gained, "key", "left")
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("hit")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("b")).alias("base_score"),
-        (F.col("score") + zero("s") + zero("gain")).alias("score"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), parts) == held).alias("held_out"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    chunks = materialize(spread(rows).mapInArrow(_chunked, _CHUNK), "lm-chunks")
+    asked = chunks.mapInArrow(_ask(buckets), _ASKED)
+    told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_tell, _TOLD), "lm-counts")
+    totals = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
+    answers = told.where(F.col("chunk").isNotNull()).select("chunk", "bucket", "n", "counts")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(buckets, totals["n"], totals["v"]), _SCORED)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score"
     )

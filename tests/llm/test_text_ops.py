@@ -221,97 +221,75 @@ def test_packed_sequences_hold_their_ids(spark, sf, local):
 # --- language model --------------------------------------------------------
 
 
-def test_base_scores_and_skill(docs, local, monkeypatch):
-    monkeypatch.setattr(lm, "DICT_FREQ", 1e-4)  # so that rare words take the joined path
+class Brute:
+    """The backoff automaton by dictionaries: arcs with probabilities, failure arcs with weights."""
+
+    def __init__(self, trained):
+        self.c = [Counter(), Counter(), Counter()]
+        for s in trained:
+            for n in (1, 2, 3):
+                self.c[n - 1].update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+
+    def p(self, state, w):
+        """Follows failure arcs from ``state`` until ``w`` has an arc."""
+        if not state:
+            return (self.c[0][(w,)] or self.v) / (self.n + self.v)
+        lent, c = lm.LENT[len(state)], self.c[len(state) - 1][state]
+        fail = lent / (c + lent)
+        arc = self.c[len(state)][(*state, w)] / (c + lent)
+        return arc + fail * self.p(state[1:], w)
+
+    def score(self, s):
+        return sum(math.log10(self.p(tuple(s[max(0, i - 2) : i]), w)) for i, w in enumerate(s))
+
+
+def test_scores_match_brute_force_over_the_table(docs, local, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 30_000)
     got = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in local.doc_id}
-    c = Counter()
-    for d, t in zip(local.doc_id, local.text):
-        if not held[d]:
-            c.update([*lm.words(t), b""])
-    n, v = sum(c.values()), len(c)
-    for d, t in zip(local.doc_id, local.text):
-        tokens = [*lm.words(t), b""]
+    tokens = {d: [*lm.words(t), b""] for d, t in zip(local.doc_id, local.text)}
+    model = Brute([s for d, s in tokens.items() if not held[d]])
+    c = model.c[0]
+    for d, s in tokens.items():
         r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n, held[d])
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(s), sum(c[(w,)] > 0 for w in s), model.n, held[d])
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[(w,)] + 1) / (model.n + model.v + 1)) for w in s))
+        assert r["score"] == pytest.approx(model.score(s))
     assert sum(r["score"] - r["base_score"] for r in got.values() if r["held_out"]) > 0
 
 
-def small_model():
-    rng = np.random.default_rng(5)
-    stream = [rng.integers(0, 6, rng.integers(1, 30)).tolist() + [6] for _ in range(80)]
-    uni = Counter(x for s in stream for x in s)
-    order = [w for w, _ in sorted(uni.items(), key=lambda x: (-x[1], x[0]))]
-    rank = {w: i for i, w in enumerate(order)}
-    stream = [np.array([rank[x] for x in s]) for s in stream]
-    counts = np.array([uni[w] for w in order], np.int64)
-    vocabulary = lm.Vocabulary({b"": rank[6]}, counts, len(counts), int(counts.sum()), len(counts))
-    grams = {}
-    flat = np.concatenate([np.append(s, -1) for s in stream])
-    for k, codes in zip((2, 3), lm._grams(flat, len(counts))):
-        keys, c = np.unique(codes, return_counts=True)
-        grams[k] = keys[c >= 3], c[c >= 3].astype(float)
-    return vocabulary, lm.build_automaton(vocabulary, grams), stream
-
-
 def test_automaton_states_sum_to_one():
-    vocabulary, automaton, _ = small_model()
-    n = len(vocabulary.counts)
-    for history in ([], [0], [3], [0, 1], [2, 0], [1, 1]):
-        before = automaton.score(np.array(history, np.int64)) if history else 0.0
-        mass = sum(10 ** (automaton.score(np.array([*history, w])) - before) for w in range(n))
-        unknown = vocabulary.types / (vocabulary.tokens + vocabulary.types)
-        after = 10 ** (automaton.score(np.array([*history, -1])) - before) * unknown
-        assert mass + after == pytest.approx(1.0)
-
-
-def test_traversal_equals_following_failure_arcs():
-    vocabulary, a, stream = small_model()
-    n = a.size
-    two, three = dict(zip(a.codes2.tolist(), a.arc2)), dict(zip(a.codes3.tolist(), a.arc3))
-    fail2 = dict(zip(a.states2.tolist(), a.fail2))
-
-    def walk(ids):
-        total = 0.0
-        for i, w in enumerate(ids):
-            cost = 0.0
-            pair = ids[i - 2] * n + ids[i - 1] if i > 1 else None
-            if pair in fail2:
-                if pair * n + w in three:
-                    total += three[pair * n + w]
-                    continue
-                cost += fail2[pair]
-            if i and ids[i - 1] * n + w in two:
-                total += cost + two[ids[i - 1] * n + w]
-                continue
-            if i:
-                cost += a.fail1[ids[i - 1]]
-            total += cost + a.root[w]
-        return total
-
-    for s in stream[:30]:
-        assert a.score(s) == pytest.approx(walk(s.tolist()))
-
-
-def test_ngrams_of_all_words_enter_the_model(docs, local, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
-    trained = [t for d, t in zip(local.doc_id, local.text) if zlib.crc32(str(d).encode()) % 7 != 2]
-    c = Counter(w for t in trained for w in [*lm.words(t), b""])
-    ids = {w: i for i, w in enumerate(c)}
-    vocabulary = lm.Vocabulary(ids, np.array(list(c.values())), len(c), sum(c.values()), len(c))
-    flat = np.concatenate([np.append(vocabulary.encode(t)[0], -1) for t in trained])
-    grams = {}
-    for k, codes in zip((2, 3), lm._grams(flat, len(c))):
-        keys, n = np.unique(codes, return_counts=True)
-        grams[k] = keys[n >= 2], n[n >= 2].astype(float)
-    automaton = lm.build_automaton(vocabulary, grams)
-    unknown = math.log10(len(c) / (vocabulary.tokens + vocabulary.types))
-    assert len(grams[2][0]) > 1000
-    for d, t in zip(local.doc_id, local.text):
-        found, rare = vocabulary.encode(t)
-        assert got[d] == pytest.approx(automaton.score(found) + len(rare) * unknown)
+    rng = np.random.default_rng(5)
+    trained = [[*rng.integers(0, 6, rng.integers(1, 30)).tolist(), 6] for _ in range(80)]
+    codes = lambda s: np.array(s, np.uint64)
+    keys, place = lm.ngram_keys([codes(s) for s in trained])
+    seen = [dict(zip(*np.unique(keys[n][place >= n], return_counts=True))) for n in range(3)]
+    model = Brute(trained)
+
+    def last(s):
+        own, place = lm.ngram_keys([codes(s)])
+        counts = [np.array([float(seen[n].get(k, 0)) if i >= n else 0.0 for i, k in enumerate(own[n])]) for n in range(3)]
+        return 10 ** lm.log_probabilities(counts, place, model.n, model.v)[-1]
+
+    for history in ([], [0], [3], [0, 1], [2, 0], [1, 1], [5, 9], [9, 9]):
+        assert sum(last([*history, w]) for w in (*range(7), 99)) == pytest.approx(1.0)
+        for w in range(7):
+            assert last([*history, w]) == pytest.approx(model.p(tuple(history), w))
+
+
+def test_copies_of_held_out_texts_score_higher(spark):
+    """Text that training holds is told from text that it doesn't, though all words are known to it."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    made = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows = [(d, made()) for d in range(300)]
+    out = [d for d in range(300, 2000) if zlib.crc32(str(d).encode()) % 7 == 2][:40]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    rows += [(d, kept[i][1] if i % 2 else made()) for i, d in enumerate(out)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[d] for d in out[1::2]) > max(got[d] for d in out[::2]) + 20
 
 
 def test_lm_odd_rows(odd, none):
