@@ -9,6 +9,8 @@ from ..session import clear_scratch, materialize, scratch_path, scratch_root  #
 
 #: A side is broadcast only when its counted rows stay within this bound.
 BROADCAST_ROWS = 100_000
+#: Rows of one key from which it counts as hot, at least.
+HOT_ROWS = 5_000
 #: Copies of a small side that is joined by key when it exceeds the bound.
 JOIN_SALTS = 16
 
@@ -33,6 +35,23 @@ def null_key(col: Column) -> Column:
     return F.when(text.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), text))
 
 
+def join_by_count(big: DataFrame, classes: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of a stored table to ``classes``, one row a key, with ``n`` the rows of ``big`` that it has.
+
+    Keys with many rows are broadcast and their rows stay where they are, the
+    others are shuffled.  "Many" rises with the table, so that there are never
+    more than ``BROADCAST_ROWS`` such keys and no other key gathers many rows.
+    """
+    total = classes.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    bar = max(HOT_ROWS, total // BROADCAST_ROWS)
+    hot = classes.where(F.col(n) > bar)
+    if not hot.limit(1).count():
+        return big.join(classes, on)
+    near = big.join(F.broadcast(hot), on)
+    far = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(classes.where(F.col(n) <= bar), on)
+    return near.unionByName(far)
+
+
 def join_small(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -35,9 +35,9 @@ from .common import materialize, shuffle_partitions, spread
 #: Longest n-gram, and the counts K that a state lends to its failure state, by length of the state.
 ORDER, LENT = 3, (0.0, 500.0, 4.0)
 #: Bytes of text in a chunk, and behind a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Word codes that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: The end of a text, as a word; no real word is empty.
 END = b""
 
@@ -81,34 +81,44 @@ def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) & ~np.uint64(0xFF)
 
 
-def ngram_keys(texts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams of each order that end at each token of the texts, and the tokens' places in their text.
+def ngram_keys(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order n, keys of the n-grams that end at each token of the texts, and where they are real.
 
-    Keys of order n hold where a token's place is n - 1 or more.
+    They are not real at the first n - 1 tokens of a text.
     """
     flat = np.concatenate(texts)
-    place = np.concatenate([np.arange(len(t)) for t in texts])
-    keys = [flat]
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum([0, *(len(t) for t in texts[:-1])])] = True
+    real, keys = np.ones(len(flat), bool), flat
+    yield keys, real
     for _ in range(1, ORDER):
-        keys.append(np.concatenate([np.zeros(1, np.uint64), _mix(keys[-1][:-1], flat[1:])]))
-    return keys, place
+        real = np.concatenate([[False], real[:-1]]) & ~first
+        keys = np.concatenate([np.zeros(1, np.uint64), _mix(keys[:-1], flat[1:])])
+        yield keys, real
 
 
-def log_probabilities(counts: list[np.ndarray], place: np.ndarray, tokens: int, types: int) -> np.ndarray:
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, the different ones, and where each begins in that order."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), ranked[1:] != ranked[:-1]]))
+    return order, ranked[begins], begins
+
+
+def log_probabilities(counts: list[np.ndarray], real: list[np.ndarray], tokens: int, types: int) -> np.ndarray:
     """log10 of each token's probability after the state that the tokens before it lead to.
 
-    ``counts[n - 1]`` are training counts of the n-grams that end at each token.
-    The state after a token is the longest n-gram below ``ORDER`` that ends
-    there, so the traversal is one pass over arrays: from the root up, arcs
-    where the n-gram was seen, failure weights times the shorter state's
-    probability where not.
+    ``counts[n - 1]`` are training counts of the n-grams that end at each token,
+    ``real`` where there are such.  The state after a token is the longest
+    n-gram below ``ORDER`` that ends there, so the traversal is one pass over
+    arrays: from the root up, arcs where the n-gram was seen, failure weights
+    times the shorter state's probability where not.
     """
     whole = float(max(1, tokens + types))
     p = np.where(counts[0] > 0, counts[0] / whole, types / whole if tokens else 1.0)
     for n in range(1, ORDER):
-        real = place >= n
-        state = np.concatenate([np.zeros(1), counts[n - 1][:-1]])
-        p = np.where(real, (counts[n] + LENT[n] * p) / (state + LENT[n]), p)
+        at = np.flatnonzero(real[n])
+        p[at] = (counts[n][at] + LENT[n] * p[at]) / (counts[n - 1][at - 1] + LENT[n])
     return np.log10(p)
 
 
@@ -183,12 +193,11 @@ def _ask(buckets: int):
         for batch in batches:
             for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 table, texts = _encoded(rows, codes)
-                keys, place = ngram_keys(texts)
                 training = ~np.repeat(table.column("held_out").to_numpy(), [len(t) for t in texts])
-                for n in range(ORDER):
-                    real = place >= n
-                    found, which = np.unique(keys[n][real], return_inverse=True)
-                    counts = np.bincount(which, training[real], minlength=len(found)).astype(np.int64)
+                for n, (keys, real) in enumerate(ngram_keys(texts)):
+                    order, found, begins = _distinct(keys[real])
+                    counts = np.add.reduceat(training[real][order], begins, dtype=np.int64) if len(begins) else np.empty(0, np.int64)
+                    del order, begins
                     edges = _bucket_edges(found, buckets)
                     spans = [(b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)).tolist()]
                     steps = lambda k: np.concatenate([k[:1], np.diff(k)])
@@ -220,11 +229,14 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         keys = [np.cumsum(_numbers(a[3], "<u8"), dtype=np.uint64) for a in own]
         ends = np.cumsum([len(k) for k in keys])
-        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        order, _, begins = _distinct(np.concatenate(keys))
         del keys
-        total = np.bincount(which, np.concatenate([_numbers(a[4], "<i8") for a in own]), minlength=len(found)).astype(np.int64)
+        total = np.add.reduceat(np.concatenate([_numbers(a[4], "<i8") for a in own])[order], begins)
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(total, np.diff(np.append(begins, len(order))))
+        del order, begins
         for a, begin, end in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            row = (a[0], a[1], n, _planes(total[which[begin:end]]), None, None)
+            row = (a[0], a[1], n, _planes(each[begin:end]), None, None)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
         if n == 0:
             row = (own[0][0], None, n, None, int((total > 0).sum()), int(total.sum()))
@@ -240,18 +252,18 @@ def _score(buckets: int, tokens: int, types: int):
         told = {(n, b): c for n, b, c in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "counts")), strict=True)}
         for rows in left.column("rows").to_pylist():
             table, texts = _encoded(rows, codes)
-            keys, place = ngram_keys(texts)
-            counts = []
-            for n in range(ORDER):
-                real = place >= n
-                _, which = np.unique(keys[n][real], return_inverse=True)
+            counts, reals = [], []
+            for n, (keys, real) in enumerate(ngram_keys(texts)):
+                order, _, begins = _distinct(keys[real])
                 total = np.concatenate([_numbers(told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")])
-                own = np.zeros(len(place))
-                own[real] = total[which]
+                own, at = np.zeros(len(keys), np.int64), np.flatnonzero(real)
+                own[at[order]] = np.repeat(total, np.diff(np.append(begins, len(at))))
                 counts.append(own)
-            first = np.flatnonzero(place == 0)
+                reals.append(real)
+                del order, begins, at
+            first = np.cumsum([0, *(len(t) for t in texts[:-1])])
             base = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
-            score = log_probabilities(counts, place, tokens, types)
+            score = log_probabilities(counts, reals, tokens, types)
             added = lambda x: np.add.reduceat(x, first)
             parts.append(
                 pa.table(
