@@ -15,24 +15,29 @@ import os
 import re
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize
+from .common import join_small, materialize, spread
 
 CAPACITY = 2048
 #: Choices that the search tries at most; then its best packing stands.
-MAX_NODES = 6_000
+MAX_NODES = 3_000
 #: Fillings that are branched on at a node.
 BRANCHES = 3
-#: Groups of equal length are ranked in so many parts.
-SALTS = 64
+#: Pieces that are tried for one filling; after so many choices the rest of a branch is packed by best fit, too.
+TRIES, FINISH = 400, 16
+#: Bases of ranks, one a length and task, that are broadcast at most (about 30 MB).
+BASES = 1_000_000
 #: Chunks of text whose ids a task remembers; characters it encodes at a time.
 CACHE, BATCH_CHARS = 800_000, 2_000_000
 
@@ -109,35 +114,44 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, task int, nth long"
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     end = np.zeros(1, "<u4").tobytes()
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, task = _tokenizer(path), TaskContext.get().partitionId()
+        met = [0] * (capacity + 1)
+
+        def cut(texts: list[str], ids: list) -> pa.RecordBatch:
+            columns: list[list] = [[] for _ in names]
+            for doc_id, tokens in zip(ids, tokenizer.encode(texts), strict=True):
+                tokens += end
+                n = len(tokens) // 4
+                at, length = 0, n % capacity or capacity
+                for piece in range(-(-n // capacity)):
+                    own = tokens[4 * at : 4 * (at + length)]
+                    row = (doc_id, piece, at, length, zlib.crc32(own), own if with_ids else None, task, met[length])
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                    met[length] += 1
+                    at, length = at + length, capacity
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def cut(texts: list[str], ids: list, tokenizer: ChunkTokenizer) -> pd.DataFrame:
-        rows = []
-        for doc_id, tokens in zip(ids, tokenizer.encode(texts), strict=True):
-            tokens += end
-            n = len(tokens) // 4
-            at, length = 0, n % capacity or capacity
-            for piece in range(-(-n // capacity)):
-                own = tokens[4 * at : 4 * (at + length)]
-                rows.append((doc_id, piece, at, length, zlib.crc32(own), own if with_ids else None))
-                at, length = at + length, capacity
-        out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-        return out.astype({"doc_id": "Int64"})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(path)
         for batch in batches:
             texts, ids, chars = [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                texts.append(text or "")
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts.append(text)
                 ids.append(doc_id)
-                chars += len(texts[-1])
+                chars += len(text)
                 if chars > BATCH_CHARS:
-                    yield cut(texts, ids, tokenizer)
+                    yield cut(texts, ids)
                     texts, ids, chars = [], [], 0
             if texts:
-                yield cut(texts, ids, tokenizer)
+                yield cut(texts, ids)
 
     return run
 
@@ -147,10 +161,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     Longer documents are cut so that all but the first piece are full.  ``ids``
     holds the tokens (little-endian unsigned 32-bit) if asked for, else null.
+    ``nth`` counts the pieces of equal length that the same ``task`` made before.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return rows.mapInPandas(_pieces(tokenizer_path, capacity, with_ids), schema)
+    return spread(rows).mapInArrow(_pieces(tokenizer_path, capacity, with_ids), _PIECES)
 
 
 # --- bin completion -------------------------------------------------------
@@ -185,51 +199,61 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first.
+    """Undominated fillings of ``room``, least waste first, ``BRANCHES`` at most.
 
-    Fewer, larger pieces dominate a filling that splits them, so one piece is
-    tried before pairs and pairs before triples; a filling with less waste is
-    kept beside a dominating one with more.
+    Fewer, larger pieces dominate a filling that splits them.  So fillings of
+    1, 2, 3, ... pieces are tried in turn, as many as fit, and one of more
+    pieces counts only if it wastes less.  Sums that n pieces can reach are bits
+    of a whole number, got from those of n - 1 pieces by shifts.
     """
-    have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
+    have = [x for x in np.flatnonzero(counts[: room + 1]).tolist() if x]
+    if not have:
         return [()]
-    found: list[tuple[int, ...]] = [(int(have[-1]),)]
-    if found[0][0] < room:
-        found += _pairs(counts, have, room)[:BRANCHES]
-        if all(sum(f) < room for f in found):
-            for a in have[::-1][:: max(1, len(have) // 24)][:24].tolist():
-                counts[a] -= 1
-                rest = have[have <= min(a, room - a)]
-                rest = rest[counts[rest] > 0]
-                if len(rest):
-                    found += [(a, *p) for p in _pairs(counts, rest, room - a)[:1]]
-                counts[a] += 1
-    best: dict[int, tuple[int, ...]] = {}
-    for f in found:
-        best.setdefault(room - sum(f), f)
-    kept: list[tuple[int, ...]] = []
-    for waste in sorted(best):
-        kept.append(best[waste])
-        if len(best[waste]) == 1:
-            break  # a single piece dominates whatever leaves more room
-    return kept[:BRANCHES]
-
-
-def _pairs(counts: np.ndarray, have: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Pairs a >= b of available lengths for each a, least waste and largest a first."""
-    a = have[(2 * have >= room) | (have == have[-1])]
-    a = a[a < room]
-    spot = np.searchsorted(have, room - a, side="right") - 1
-    ok = spot >= 0
-    a, b = a[ok], have[spot[ok]]
-    swap = b > a
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    twin = (a == b) & (counts[a] < 2)
-    a, b = a[~twin], b[~twin]
-    order = np.lexsort((-a, room - a - b))
-    return list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+    mask = (1 << (room + 1)) - 1
+    reached, best, found = [1], -1, []
+    while best < room and len(reached) <= room // have[0]:
+        last, sums = reached[-1], 0
+        for x in have:
+            sums |= last << x
+        reached.append(sums & mask)
+        if not reached[-1]:
+            break
+        n, total = len(reached) - 1, reached[-1].bit_length() - 1
+        while total > best:
+            own = _compose(counts, have, reached, total, n)
+            found += own
+            if own:
+                best = total
+            total = (reached[-1] & ((1 << total) - 1)).bit_length() - 1 if not own else -1
+    found.sort(key=lambda f: (room - sum(f), len(f)))
+    return found[:BRANCHES] or [()]
+
+
+def _compose(counts: np.ndarray, have: list[int], reached: list[int], total: int, n: int) -> list[tuple[int, ...]]:
+    """Up to ``BRANCHES`` ways to make ``total`` of ``n`` available pieces, largest first, with different largest pieces."""
+
+    def rest(left: int, k: int, most: int, used: tuple[int, ...], tries: list[int]) -> tuple[int, ...] | None:
+        if not k:
+            return used
+        for x in reversed(have[: bisect_right(have, min(most, left))]):
+            if x * k < left or not tries[0]:
+                return None
+            tries[0] -= 1
+            if reached[k - 1] >> (left - x) & 1 and used.count(x) < counts[x]:
+                made = rest(left - x, k - 1, x, (*used, x), tries)
+                if made:
+                    return made
+        return None
+
+    ways: list[tuple[int, ...]] = []
+    most = total
+    while len(ways) < BRANCHES:
+        made = rest(total, n, most, (), [TRIES])
+        if not made:
+            break
+        ways.append(made)
+        most = made[0] - 1
+    return ways
 
 
 def _best_fit(counts: np.ndarray, capacity: int) -> Packing:
@@ -270,13 +294,12 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int =
             continue
         nodes += 1
         held = np.flatnonzero(left)
-        if not len(held):
-            found, node = [], path
-            while node:
-                found.append(node[0])
-                node = node[1]
-            incumbent = Packing(found[::-1])
-            continue
+        if not len(held) or nodes % FINISH == 1:
+            done = Packing(_unlinked(path) + _best_fit(left, capacity).fillings)
+            if done.bins < incumbent.bins:
+                incumbent = done
+            if not len(held):
+                continue
         top = int(held[-1])
         left[top] -= 1
         choices = fillings(left, capacity - top) if top < capacity else [()]
@@ -291,6 +314,14 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, max_nodes: int =
     return incumbent
 
 
+def _unlinked(path: tuple) -> list[tuple[tuple[int, ...], int]]:
+    found = []
+    while path:
+        found.append(path[0])
+        path = path[1]
+    return found[::-1]
+
+
 def _plan(packing: Packing) -> dict[str, np.ndarray]:
     """Slots of the packing: for each length, ranks from ``key`` on take ``sequence`` on at ``offset``."""
     taken: dict[int, int] = {}
@@ -308,17 +339,16 @@ def _plan(packing: Packing) -> dict[str, np.ndarray]:
     return {"key": key, "sequence": seq, "offset": at}
 
 
-def _dealt(plan: dict[str, np.ndarray], names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            code = (batch["length"].to_numpy(np.int64) << 44) + batch["__rank"].to_numpy(np.int64)
-            spot = np.searchsorted(plan["key"], code, side="right") - 1
-            out = batch[names].copy()
-            out["sequence_id"] = plan["sequence"][spot] + code - plan["key"][spot]
-            out["offset"] = plan["offset"][spot]
-            yield out
+def _place(plan: dict[str, np.ndarray]):
+    """A column function: sequence and offset of the piece with a length and a rank."""
 
-    return run
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        code = (length.to_numpy(np.int64) << 44) + rank.to_numpy(np.int64)
+        spot = np.searchsorted(plan["key"], code, side="right") - 1
+        return pd.DataFrame({"sequence_id": plan["sequence"][spot] + code - plan["key"][spot], "offset": plan["offset"][spot]})
+
+    return place
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -328,21 +358,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     by one.  An empty table gives an empty result.  Columns other than doc_id
     and text are ignored.  Sequence ids count from 0.  With ids, ids_crc32 is
     that of the ids placed.
+
+    The rank of a piece among those of its length is its number in the task
+    that made it plus the counts of the tasks before, so ids stay where they are.
     """
     cut = materialize(pieces(docs, tokenizer_path, capacity, with_ids), "pack-pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(SALTS))
-    parts = materialize(cut.groupBy("length", salt.alias("__salt")).agg(F.count("*").alias("__n")), "pack-counts")
+    parts = materialize(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "pack-counts")
     counts = np.zeros(capacity + 1, np.int64)
-    for row in parts.groupBy("length").agg(F.sum("__n").alias("n")).collect():
+    for row in parts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row["length"]] = row["n"]
     plan = _plan(complete_bins(counts, capacity))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("__salt", salt).withColumn("__at", F.row_number().over(within) - 1)
-    ranked = join_small(ranked, bases, ["length", "__salt"], max_rows=SALTS * (capacity + 1) * 2)
-    names = cut.columns
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
-    placed = ranked.select(*names, (F.col("__base") + F.col("__at")).alias("__rank"))
-    out = placed.mapInPandas(_dealt(plan, names), schema)
-    return out.withColumn("ids_crc32", F.crc32("ids")) if with_ids else out
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = join_small(cut, bases, ["length", "task"], max_rows=BASES).withColumn("place", _place(plan)("length", F.col("base") + F.col("nth")))
+    crc = F.crc32("ids") if with_ids else F.col("ids_crc32")
+    return ranked.select("doc_id", "piece", "start", "length", crc.alias("ids_crc32"), "ids", "place.sequence_id", "place.offset")
