@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, null_key
+from .common import join_by_count, join_small, materialize, null_key
 
 #: Words are the maximal runs of characters other than these white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 STRATUM_ROWS = 20_000
 #: Strata of a source, at least.
 STRATA = 64
+#: Further copies of equal rows that one task writes.
+LOT = 1000
 #: Newton steps; each gains at least one in lambda, then digits double.
 NEWTON_STEPS = 64
 
@@ -77,10 +79,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     """doc_id, source, size, source_size, target, rate and copies of every document.
 
     Null texts and empty texts have size 0 and get no copies (rate 0).  A null
-    source is a source of its own.  Repeated rows are rounded one by one.  No
-    document gets more than ``limit`` copies.  Reruns agree: strata and order
-    come from seeded hashes of the row.  An empty table gives an empty result;
-    columns other than doc_id, text and source are ignored.
+    source is a source of its own.  Repeated rows are numbered and rounded one
+    by one.  No document gets more than ``limit`` copies.  Reruns agree, however
+    the rows are dealt: strata and order come from seeded hashes of the row and
+    its number among equal rows.  An empty table gives an empty result; columns
+    other than doc_id, text and source are ignored.
     """
     return _mixed(docs, weights, share, limit, seed).drop("__h")
 
@@ -88,18 +91,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 def repeat_by_mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, columns as they are.
 
-    Rows that are equal in doc_id, source and text are all taken the rounded
-    mean of their copies.
+    Rows that are equal in all columns are interchangeable: together they come
+    as often as the mix takes them together.  ``docs`` is read twice or more,
+    so pass a stored table; its columns must be hashable (no maps).
     """
-    taken = (
-        _mixed(docs, (5.0, 2.0, 1.0), 1.5, 2, seed).groupBy(F.col("__h").alias("__k"))
-        .agg(F.bround(F.avg("copies")).cast("int").alias("__copies")).where("__copies > 0")
+    row = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(seed), *row), "__k2": F.xxhash64(F.lit(~seed), *row)})
+    taken = materialize(
+        _mixed(keyed, (5.0, 2.0, 1.0), 1.5, 2, seed, ["__k1", "__k2"])
+        .groupBy("__k1", "__k2").agg(F.count("*").alias("__m"), F.sum("copies").alias("__c")).where("__c > 0"),
+        "mix-taken",
     )
-    keyed = docs.withColumn("__k", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
-    return keyed.join(taken, "__k").withColumn("__n", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
-
-
-def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int, seed: int) -> DataFrame:
+    joined = join_by_count(keyed, taken, ["__k1", "__k2"], "__m")
+    each = F.floor(F.col("__c") / F.col("__m")).cast("int")
+    whole = joined.where(each > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), each)))
+    if not taken.where("__m > 1").limit(1).count():
+        return whole.select(*docs.columns)
+    over = (F.col("__c") % F.col("__m")).cast("int")
+    one = joined.where((F.col("__m") > 1) & (over > 0)).dropDuplicates(["__k1", "__k2"])
+    lots = one.withColumn("__g", F.explode(F.sequence(F.lit(0), F.floor((over - 1) / LOT).cast("int")))).repartition("__k1", "__k2", "__g")
+    rest = lots.withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LOT), over - F.col("__g") * LOT))))
+    return whole.select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Rows with ``__u``, a hash of ``__h`` and the row's number among those that share it.
+
+    Repeated rows are numbered within each part of the stored table and the
+    parts' counts are added up, so no group of equal rows is gathered.
+    """
+    again = materialize(sized.groupBy("__h").agg(F.count("*").alias("__n")).where("__n > 1"), "mix-again")
+    if not again.limit(1).count():
+        return sized.withColumn("__u", F.xxhash64("__h", F.lit(0).cast("long"))).drop("__part")
+    marked = join_small(sized, again, ["__h"], "left")
+    counts = marked.where("__n is not null").groupBy("__h", "__part").count()
+    before = Window.partitionBy("__h").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__h", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__h", "__part").orderBy("size")
+    many = marked.where("__n is not null").withColumn("__i", F.row_number().over(within) - 1).join(bases, ["__h", "__part"])
+    number = (F.col("__base") + F.col("__i")).cast("long")
+    once = marked.where("__n is null").withColumn("__u", F.xxhash64("__h", F.lit(0).cast("long")))
+    return once.drop("__part", "__n").unionByName(many.withColumn("__u", F.xxhash64("__h", number)).drop("__part", "__n", "__i", "__base"))
+
+
+def _mixed(
+    docs: DataFrame, weights: tuple[float, ...], share: float, limit: int, seed: int, carried: list[str] | None = None
+) -> DataFrame:
+    carried = carried or []
     sized = materialize(
         docs.select(
             "doc_id",
@@ -107,6 +145,8 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int
             null_key(F.col("source")).alias("__key"),
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("__h"),
+            F.spark_partition_id().alias("__part"),
+            *carried,
         ),
         "mix-sizes",
     )
@@ -120,8 +160,8 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int
     )
     rows = sized.count()
     strata = max(STRATA, -(-rows // STRATUM_ROWS))
-    rated = join_small(sized, rates, ["__key"]).withColumn("__s", F.pmod(F.col("__h"), F.lit(strata)))
-    within = Window.partitionBy("__key", "__s").orderBy(F.desc("size"), "__h", "doc_id")
+    rated = join_small(_numbered(sized), rates, ["__key"]).withColumn("__s", F.pmod(F.col("__u"), F.lit(strata)))
+    within = Window.partitionBy("__key", "__s").orderBy(F.desc("size"), "__u", "doc_id")
     shift = (F.col("__s") + 0.5) / F.lit(float(strata))
     running = lambda i: F.floor(i * F.col("rate") + shift)
     rounded = rated.withColumn("__i", F.row_number().over(within)).withColumn(
@@ -131,9 +171,9 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: int
         ).cast("long"),
     )
     rounded = materialize(rounded.drop("__i", "__s"), "mix-rounded")
-    repaired = join_small(rounded, _repairs(rounded, rates, limit), ["__key", "doc_id", "__h"], "left")
+    repaired = join_small(rounded, _repairs(rounded, rates, limit), ["__key", "doc_id", "__u"], "left")
     return repaired.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "__h",
+        "doc_id", "source", "size", "source_size", "target", "rate", "__h", *carried,
         (F.col("copies") + F.coalesce(F.col("__delta"), F.lit(0))).alias("copies"),
     )
 
@@ -148,11 +188,11 @@ def _repairs(rounded: DataFrame, rates: DataFrame, limit: int) -> DataFrame:
     octave = F.floor(F.log2("size")).cast("int")
     pick = (
         rounded.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
-        .groupBy("__key", octave.alias("__o"), F.pmod(F.col("__h"), F.lit(16)).alias("__b"))
-        .agg(F.min(F.struct("__h", "doc_id", "size", "copies")).alias("c"))
+        .groupBy("__key", octave.alias("__o"), F.pmod(F.col("__u"), F.lit(16)).alias("__b"))
+        .agg(F.min(F.struct("__u", "doc_id", "size", "copies")).alias("c"))
         .groupBy("__key")
         .agg(
-            F.reverse(F.array_sort(F.collect_list(F.struct("c.size", "c.__h", "c.doc_id", "c.copies")))).alias("__cand")
+            F.reverse(F.array_sort(F.collect_list(F.struct("c.size", "c.__u", "c.doc_id", "c.copies")))).alias("__cand")
         )
     )
     left = rounded.groupBy("__key").agg(F.sum(F.col("size") * F.col("copies")).alias("__taken"))
@@ -170,10 +210,10 @@ def _repairs(rounded: DataFrame, rates: DataFrame, limit: int) -> DataFrame:
             F.when(delta == 0, acc["picks"]).otherwise(
                 F.concat(
                     acc["picks"],
-                    F.array(F.struct(x["doc_id"].cast("long").alias("doc_id"), x["__h"].alias("h"), delta.alias("delta"))),
+                    F.array(F.struct(x["doc_id"].cast("long").alias("doc_id"), x["__u"].alias("h"), delta.alias("delta"))),
                 )
             ).alias("picks"),
         )
 
     picked = state.select("__key", F.explode(F.aggregate("__cand", start, fold)["picks"]).alias("p"))
-    return picked.select("__key", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("__h"), F.col("p.delta").alias("__delta"))
+    return picked.select("__key", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("__u"), F.col("p.delta").alias("__delta"))
