@@ -170,18 +170,19 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprint_chain(docs: DataFrame) -> DataFrame:
     """Fingerprint every text and its edit with the next document's text.
 
-    The next document has the next smaller doc_id (ties: by text; null ids come
-    last); after the last comes the first, so a lone document follows itself.
+    The next document has the next smaller doc_id (ties: by a hash of the text,
+    then the text; null ids come last); after the last comes the first, so a lone document follows itself.
     Null texts are empty.  Repeated rows are all kept.  An empty table gives an
     empty result.  Columns other than doc_id and text are ignored.
 
-    Texts cross the network once, into ranges of doc_id; only the first and
-    last text of every range are handed on.
+    Texts cross the network once, into ranges of doc_id and the text's hash, so
+    ranges are found without texts; only the first and last text of every range
+    are handed on.
     """
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.desc_nulls_last("doc_id"), F.asc("text")]
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    order = [F.desc_nulls_last("doc_id"), F.asc("hash")]
+    ranged = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     placed = ranged.withColumn("part", F.spark_partition_id())
     done = materialize(
         placed.mapInPandas(_ordered_rows, SCHEMA + ", part int, edge string, text string"), "order-minhash"
