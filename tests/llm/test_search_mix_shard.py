@@ -129,3 +129,39 @@ def test_whole_documents_are_shuffled(docs, local, monkeypatch):
     assert "text" in seen[0][0] and seen[0][1] >= sum(len(t.encode()) for t in text)
     assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got.itertuples())
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def brute_targets(sizes):
+    """Targets by resharing the excess until none is above, source by source."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    got, left, free = dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values()), list(names)
+    while free and left > 1e-9:
+        each = left / sum(weight[s] for s in free)
+        full = [s for s in free if got[s] + each * weight[s] >= 2 * sizes[s]]
+        for s in full or free:
+            more = 2 * sizes[s] - got[s] if full else each * weight[s]
+            got[s], left = got[s] + more, left - more
+        free = [s for s in free if s not in full] if full else []
+    return got
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_mix_with_many_repeated_rows_by_brute_force(spark, parts):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(1, "a", text(100))] * 11 + [(2, "a", text(7))] + [(3, "b", text(150))] * 3 + [(4, "b", text(1))] * 40
+    rows += [(5, None, text(30))] * 2000 + [(i, "c", text(int(rng.integers(0, 300)))) for i in range(10, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+    got = mixing.mix(df).toPandas()
+    sizes = {s: sum(len(t.split()) for _, x, t in rows if x == s) for s in ("a", "b", "c", None)}
+    want = brute_targets(sizes)
+    assert len(got) == len(rows) and got.copies.between(0, 2).all()
+    got["source"] = got["source"].map(lambda s: s if isinstance(s, str) else None)
+    for s, t in want.items():
+        own = got[got.source.isna() if s is None else got.source == s]
+        assert own.target.tolist() == pytest.approx([t] * len(own))
+        smallest = min(n for n in own["size"] if n)
+        assert abs((own["size"] * own.copies).sum() - t) <= max(smallest, 0.001 * t)
+    repeated = mixing.repeat_by_mix(df).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    assert repeated == {d: c for d, c in got.groupby("doc_id").copies.sum().items() if c}

@@ -264,14 +264,13 @@ def test_automaton_states_sum_to_one():
     rng = np.random.default_rng(5)
     trained = [[*rng.integers(0, 6, rng.integers(1, 30)).tolist(), 6] for _ in range(80)]
     codes = lambda s: np.array(s, np.uint64)
-    keys, place = lm.ngram_keys([codes(s) for s in trained])
-    seen = [dict(zip(*np.unique(keys[n][place >= n], return_counts=True))) for n in range(3)]
+    seen = [dict(zip(*np.unique(keys[real], return_counts=True))) for keys, real in lm.ngram_keys([codes(s) for s in trained])]
     model = Brute(trained)
 
     def last(s):
-        own, place = lm.ngram_keys([codes(s)])
-        counts = [np.array([float(seen[n].get(k, 0)) if i >= n else 0.0 for i, k in enumerate(own[n])]) for n in range(3)]
-        return 10 ** lm.log_probabilities(counts, place, model.n, model.v)[-1]
+        keys, real = zip(*lm.ngram_keys([codes(s)]))
+        counts = [np.array([seen[n].get(k, 0) for k in own]) for n, own in enumerate(keys)]
+        return 10 ** lm.log_probabilities(counts, real, model.n, model.v)[-1]
 
     for history in ([], [0], [3], [0, 1], [2, 0], [1, 1], [5, 9], [9, 9]):
         assert sum(last([*history, w]) for w in (*range(7), 99)) == pytest.approx(1.0)
@@ -423,3 +422,60 @@ def test_extract_table(spark, sf):
     odd = spark.createDataFrame([(1, None, None), (None, "http://a/x", "<p>t</p>"), (2, "no url", ""), (2, "no url", "")], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     assert sorted(r["text"] for r in html_extract.extract(odd).collect()) == ["", "", "", "t"]
     assert html_extract.extract(odd.where("false")).count() == 0
+
+
+def test_order_minhash_by_brute_force():
+    """K-mers numbered by a dictionary, the two least of each permutation by sorting, pairs in text order."""
+    rng = random.Random(8)
+    k, u = order_minhash.KMER, np.uint64
+    texts = ["", "abc", "a" * 60, "abcabcabc" * 9, "héé😀" * 12] + ["".join(rng.choice("ab ") for _ in range(rng.randint(9, 400))) for _ in range(12)]
+    for text in texts:
+        padded = [text] if len(text) < k else [text[i : i + k] for i in range(len(text) - k + 1)]
+        seen, hashes = Counter(), []
+        for kmer in padded:
+            h = order_minhash.numbered_kmers(kmer)[0]
+            if seen[kmer]:
+                h = order_minhash._mix(np.array([h + u(seen[kmer]) * order_minhash._ROLL]))[0]
+            seen[kmer] += 1
+            hashes.append(int(h))
+        want = []
+        for a in order_minhash._SLOT_A.tolist():
+            ranked = sorted(range(len(hashes)), key=lambda i: ((hashes[i] >> 32) * a % 2**32, i))
+            low, high = sorted((ranked[:2] * 2)[:2])
+            pair = (hashes[low] * int(order_minhash._ROLL) + hashes[high]) % 2**64
+            want.append(int(order_minhash._mix(np.array([pair], u))[0]) >> 48)
+        assert order_minhash.sketch(text).tolist() == want
+
+
+def test_order_minhash_ties_and_repeats(spark):
+    """Rows of one id, some equal, over more ranges than rows: every row once, each followed by the next in order."""
+    rows = [(1, f"text {i % 7} of one id " * 3) for i in range(40)] + [(None, "no id"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = order_minhash.fingerprint_chain(df).toPandas()
+    assert len(got) == 42
+    key = df.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    chain = sorted(key, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.t))
+    want = Counter()
+    for a, b in zip(chain, chain[1:] + chain[:1]):
+        want[a.doc_id, hashlib.sha256(order_minhash.edited(a.t, b.t).encode()).hexdigest()] += 1
+    assert Counter((None if d != d else int(d), s) for d, s in zip(got.doc_id, got.edited_sha256)) == want
+
+
+def test_bin_completion_of_many_pieces_a_sequence():
+    """Sequences of 5 to 20 pieces, made by cutting full ones: never worse than best fit, and better where that fails."""
+    better = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        bins, capacity = 12, 100
+        items = []
+        for _ in range(bins):
+            cuts = np.sort(rng.choice(np.arange(1, capacity), rng.integers(4, 9 if seed % 2 else 19), replace=False))
+            items += np.diff([0, *cuts, capacity]).tolist()
+        counts = np.bincount(items, minlength=capacity + 1).astype(np.int64)
+        first, packed = packing._best_fit(counts, capacity).bins, packing.complete_bins(counts, capacity)
+        assert bins <= packed.bins <= first and Counter(x for own, t in packed.fillings for x in own * t) == Counter(items)
+        better += packed.bins < first
+    assert better or first == bins
+    counts = np.zeros(31, np.int64)
+    counts[[7, 6, 5, 4]] = 2, 2, 2, 6  # 7+7+4+4+4+4 and 6+6+5+5+4+4
+    assert len(packing.fillings(counts, 30)[0]) == 6 or sum(packing.fillings(counts, 30)[0]) == 30
