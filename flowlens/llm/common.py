@@ -35,18 +35,21 @@ def null_key(col: Column) -> Column:
     return F.when(text.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), text))
 
 
-def join_by_count(big: DataFrame, classes: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+def join_by_count(big: DataFrame, classes: DataFrame, on: list[str], n: str = "n") -> DataFrame | None:
     """Inner join of a stored table to ``classes``, one row a key, with ``n`` the rows of ``big`` that it has.
 
     Keys with many rows are broadcast and their rows stay where they are, the
     others are shuffled.  "Many" rises with the table, so that there are never
     more than ``BROADCAST_ROWS`` such keys and no other key gathers many rows.
+    None if there are no classes.
     """
-    total = classes.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    most, total = classes.agg(F.max(n), F.sum(n)).first()
+    if most is None:
+        return None
     bar = max(HOT_ROWS, total // BROADCAST_ROWS)
-    hot = classes.where(F.col(n) > bar)
-    if not hot.limit(1).count():
+    if most <= bar:
         return big.join(classes, on)
+    hot = classes.where(F.col(n) > bar)
     near = big.join(F.broadcast(hot), on)
     far = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(classes.where(F.col(n) <= bar), on)
     return near.unionByName(far)

@@ -1,32 +1,40 @@
-"""Line deduplication over repeated line runs.
-
-A document is the sequence of the ids of its non-blank lines.  Prefix doubling
-names the runs of 1, 2, 4, ... lines at every position: the name of a run of
-2^k lines is made from the names of its halves.  A run of any length l is named
-by two overlapping runs of the largest power of two below it.  All positions
-with one such name are the suffixes of the corpus that share their first l
-lines: an interval of the suffix array in which every LCP is l or more.  Its
-first position is the original, all others are later copies and are deleted;
-the union of the deleted runs is maximal.
-
-Only runs that just reach ``min_words`` words are named (the shortest from each
-line on, and the shortest up to each line): every repeated run with that many
-words is a union of those, so longer names would delete nothing more.
+"""Line deduplication over a suffix array of line ids.
+
+A document is the sequence of the ids of its non-blank lines; the corpus is all
+of these.  Prefix doubling sorts its suffixes: ranks by the first line come
+from sorting the ids, and ranks by the first 2^(k+1) lines from sorting the
+pairs of ranks, by the first 2^k lines, of a suffix and of the one 2^k lines
+after it.  Every round is a grouping, a range sort of the groups, and a join, all
+distributed.  A suffix whose rank is its own has its place in the array and
+leaves the rounds, so these hold repeated runs only, and stop when the longest
+has been passed.
+
+Suffixes that share a rank of round k are an interval of the suffix array whose
+longest common prefixes have 2^k lines or more.  Its earliest place is the
+original, the others begin later copies.  A maximal repeated run of n lines
+(2^k <= n < 2^(k+1)) is the union of its first and last 2^k lines, both of
+them later copies in round k, so the union of what the rounds find is the union
+of the maximal repeated runs.  Short runs may pass ``min_words`` words between
+two powers of two only; for these, lengths up to ``min_words`` lines are ranked too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_count, materialize, shuffle_partitions, spread
 
 #: Words that a repeated run needs to be deleted.
 MIN_WORDS = 5
+#: Lines that a task passes on at a time.
+FLUSH = 50_000
 
 
 def _sequence(text: str) -> tuple[list[int], list[bytes], list[int]]:
@@ -42,97 +50,137 @@ def _sequence(text: str) -> tuple[list[int], list[bytes], list[int]]:
     return numbers, ids, counts
 
 
-def run_names(ids: list[bytes], counts: list[int], min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(name, start, lines) of the shortest runs with ``min_words`` words from and up to each line."""
-    n = len(ids)
-    runs = set()
-    end, total = 0, 0
-    for start in range(n):
-        while end < n and total < min_words:
-            total += counts[end]
-            end += 1
-        if total < min_words:
-            break
-        runs.add((start, end - start))
-        total -= counts[start]
-    start, total = n, 0
-    for end in range(n, 0, -1):
-        while start > 0 and total < min_words:
-            start -= 1
-            total += counts[start]
-        if total < min_words:
-            break
-        runs.add((start, end - start))
-        total -= counts[end - 1]
-    names = [ids]
-    longest = max((length for _, length in runs), default=1)
-    while 2 ** len(names) <= longest:
-        last, half = names[-1], 2 ** (len(names) - 1)
-        names.append([xxhash.xxh3_128_digest(last[i] + last[i + half]) for i in range(len(last) - half)])
-    out = []
-    for start, length in sorted(runs):
-        k = length.bit_length() - 1
-        both = names[k][start] + names[k][start + length - 2**k]
-        out.append((xxhash.xxh3_128_digest(both + length.to_bytes(4, "little")), start, length))
+def odd_runs(counts: list[int], min_words: int = MIN_WORDS) -> dict[int, list[int]]:
+    """By first line, the lengths that are no power of two of the shortest runs with ``min_words`` words from or up to a line.
+
+    They depend on the lines of the run alone, so copies of a run agree.
+    """
+    if not counts or min(counts) >= min_words:
+        return {}
+    before = np.concatenate([[0], np.cumsum(counts)])
+    n = len(counts)
+    stop = np.searchsorted(before, before[:-1] + min_words)  # shortest run from each line, if it is n or less
+    start = np.searchsorted(before, before[1:] - min_words, side="right") - 1  # shortest up to each line, if not negative
+    runs = {(i, int(e) - i) for i, e in enumerate(stop) if e <= n} | {(int(b), i + 1 - int(b)) for i, b in enumerate(start) if b >= 0}
+    out: dict[int, list[int]] = {}
+    for i, length in sorted(runs):
+        if length & (length - 1):
+            out.setdefault(i, []).append(length)
     return out
 
 
-def _runs(min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_LINES = "doc_id long, key long, i int, line binary, odd array<int>"
+
+
+def _lines(min_words: int):
+    names = [c.split()[0] for c in _LINES.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(batch["doc_id"], batch["key"], batch["text"], strict=True):
+            for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
                 _, ids, counts = _sequence(text or "")
-                rows += [(name, doc_id, key, start, length) for name, start, length in run_names(ids, counts, min_words)]
-                if len(rows) > 50_000:
-                    yield _frame(rows)
+                odd = odd_runs(counts, min_words)
+                rows += [(doc_id, key, i, line, odd.get(i)) for i, line in enumerate(ids)]
+                if len(rows) > FLUSH:
+                    yield packed()
                     rows = []
-            yield _frame(rows)
+        yield packed()
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["name", "doc_id", "key", "start", "lines"])
-    return out.astype({"name": "object", "doc_id": "Int64", "key": "int64", "start": "int32", "lines": "int32"})
-
-
 def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, key and cuts (start, lines) in non-blank lines of every document with later copies."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), "text")
-    runs = materialize(rows.mapInPandas(_runs(min_words), "name binary, doc_id long, key long, start int, lines int"), "line-runs")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
-    intervals = runs.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = runs.join(intervals, "name").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start")))
-    )
-    return copies.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "lines")).alias("cuts"))
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "key", "i")
 
 
-def _cut_text(text: str | None, cuts: list | None) -> tuple[str | None, list[tuple[int, int]]]:
-    """The text without the cut lines; the cut spans as (first line, one past the last)."""
+def _ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The groups of ``rows`` with more than one row: earliest place, size, and a rank that rises with ``by``."""
+    groups = rows.groupBy(*by).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+    n = shuffle_partitions(rows.sparkSession)
+    ordered = groups.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    return materialize(ordered.withColumn("new", F.monotonically_increasing_id()), "line-ranks")
+
+
+def _refined(rows: DataFrame, by: list[str]) -> DataFrame | None:
+    """Suffixes of ``rows`` (stored) that share their ``by`` with others: their new rank, and whether they are later copies."""
+    shared = join_by_count(rows, _ranked(rows, by), by)
+    if shared is None:
+        return None
+    return shared.select("doc_id", "key", "i", "odd", F.col("new").alias("rank"), (_place() != F.col("first")).alias("later"))
+
+
+def _pairs(suffixes: DataFrame, step: int) -> DataFrame:
+    """Suffixes with the rank of the one ``step`` lines after them, where that has one."""
+    after = Window.partitionBy("doc_id", "key").orderBy("i").rangeBetween(step, step)
+    return suffixes.select("doc_id", "key", "i", "odd", "rank", F.max("rank").over(after).alias("next")).where("next is not null")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, key, start and lines of runs that copy an earlier place; with at least the lines of every maximal one.
+
+    Runs count non-blank lines.  Runs with fewer than ``min_words`` words may be among them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("key"), "text")
+    lines = materialize(spread(rows).mapInArrow(_lines(min_words), _LINES), "lines")
+    found = _refined(lines, ["line"])
+    runs = lines.select("doc_id", "key", F.col("i").alias("start"), F.lit(1).alias("lines")).where("false")
+    lengths = [n for n in range(3, min_words + 1) if n & (n - 1)]
+    step = 1
+    while found is not None:
+        if step == 1:  # rows that repeat both id and text are one sequence
+            found = found.groupBy("doc_id", "key", "i", "rank", "later").agg(F.first("odd").alias("odd"))
+        suffixes = materialize(found, "suffixes")
+        runs = runs.unionByName(suffixes.where("later").select("doc_id", "key", F.col("i").alias("start"), F.lit(step).alias("lines")))
+        for n in lengths:
+            if step < n < 2 * step and suffixes.where(F.array_contains("odd", n)).limit(1).count():
+                own = _refined(materialize(_pairs(suffixes, n - step).where(F.array_contains("odd", n)), "suffix-pairs"), ["rank", "next"])
+                if own is not None:
+                    runs = runs.unionByName(own.where("later").select("doc_id", "key", F.col("i").alias("start"), F.lit(n).alias("lines")))
+        found = _refined(materialize(_pairs(suffixes, step), "suffix-pairs"), ["rank", "next"])
+        step *= 2
+    return runs
+
+
+def _cut_text(text: str | None, cuts: list | None, min_words: int = MIN_WORDS) -> tuple[str | None, list[tuple[int, int]]]:
+    """The text without the lines of the cuts of at least ``min_words`` words; the spans cut as (first line, one past the last)."""
     if text is None or cuts is None or not len(cuts):
         return text, []
-    numbers, _, _ = _sequence(text)
-    gone = {numbers[i] for c in cuts for i in range(c["start"], min(len(numbers), c["start"] + c["lines"]))}
-    lines = text.split("\n")
-    left = [x for i, x in enumerate(lines) if i not in gone]
+    numbers, _, counts = _sequence(text)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.zeros(len(numbers) + 1, np.int64)
+    for c in cuts:
+        stop = min(len(numbers), c["start"] + c["lines"])
+        if before[stop] - before[c["start"]] >= min_words:
+            edges[c["start"]] += 1
+            edges[stop] -= 1
+    gone = {numbers[i] for i in np.flatnonzero(np.cumsum(edges)[:-1] > 0)}
+    left = [x for i, x in enumerate(text.split("\n")) if i not in gone]
     spans: list[tuple[int, int]] = []
     for i in sorted(gone):
         if spans and spans[-1][1] == i:
             spans[-1] = (spans[-1][0], i + 1)
         else:
             spans.append((i, i + 1))
-    return ("\n".join(left) if len(gone) < len(numbers) else ""), spans
+    return ("\n".join(left) if len(gone) < len(numbers) else "" if gone else text), spans
+
 
+def _cut_all(min_words: int):
+    def cut(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+        done = [_cut_text(t, c, min_words) for t, c in zip(texts, cuts, strict=True)]
+        return pd.DataFrame({"text": [t for t, _ in done], "spans": [[{"first": a, "stop": b} for a, b in s] for _, s in done]})
 
-def _cut_all(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
-    done = [_cut_text(t, c) for t, c in zip(texts, cuts, strict=True)]
-    return pd.DataFrame({"text": [t for t, _ in done], "spans": [[{"first": a, "stop": b} for a, b in s] for _, s in done]})
+    return F.pandas_udf(cut, "text string, spans array<struct<first:int,stop:int>>")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -147,10 +195,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Other columns are kept; ``removed_lines`` replaces a column of that name.
     """
     base = docs.drop("removed_lines")
-    cuts = later_copies(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cuts").alias("__cuts"))
-    cut = F.pandas_udf(_cut_all, "text string, spans array<struct<first:int,stop:int>>")
+    runs = repeated_runs(docs, min_words)
+    cuts = runs.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "lines")).alias("__cuts"))
     keyed = base.withColumn("__key0", _row_key())
     same = (F.col("__key0") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    joined = keyed.join(cuts, same, "left").withColumn("__done", cut(F.col("text"), F.col("__cuts")))
+    joined = keyed.join(cuts, same, "left").withColumn("__done", _cut_all(min_words)(F.col("text"), F.col("__cuts")))
     kept = [F.col("__done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
     return joined.select(*kept, F.col("__done.spans").alias("removed_lines"))

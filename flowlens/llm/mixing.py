@@ -103,6 +103,8 @@ def repeat_by_mix(docs: DataFrame, seed: int = 29) -> DataFrame:
         "mix-taken",
     )
     joined = join_by_count(keyed, taken, ["__k1", "__k2"], "__m")
+    if joined is None:
+        return docs.limit(0)
     each = F.floor(F.col("__c") / F.col("__m")).cast("int")
     whole = joined.where(each > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), each)))
     if not taken.where("__m > 1").limit(1).count():
