@@ -14,8 +14,9 @@ unigram model in which an unknown word is one event, that of all new words.
 Size: every n-gram of every training text counts, the rare ones too; no task
 holds them all.  Texts form chunks of ``CHUNK_BYTES``.  A chunk asks the bucket
 of each of its different n-grams once, in the order of the keys, and the answer
-is the total counts in that order, without keys.  Keys are 64-bit hashes, of
-which longer n-grams use 56 bits: at 10^10 different ones a handful share a key.
+is the total counts in that order, without keys.  Words have 64-bit hashes as
+keys; longer n-grams have as many bits as leave about one in 2^``SPARE_BITS`` a
+key that another has, too.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .common import materialize, shuffle_partitions, spread
 ORDER, LENT = 3, (0.0, 500.0, 4.0)
 #: Bytes of text in a chunk, and behind a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+#: Bits of an n-gram's key beyond the logarithm of the number of bytes of all texts.
+SPARE_BITS = 16
 #: Word codes that a task remembers.
 REMEMBERED = 200_000
 #: The end of a text, as a word; no real word is empty.
@@ -72,16 +75,22 @@ def encode(text: str | None, codes: Codes) -> np.ndarray:
     return np.fromiter(map(codes.__getitem__, found), np.uint64, len(found))
 
 
-def _mix(state: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """56-bit key (in the upper bits) of the n-gram that ``code`` makes of the one with key ``state``."""
+def _mix(state: np.ndarray, code: np.ndarray, mask: np.uint64) -> np.ndarray:
+    """Key of the n-gram that ``code`` makes of the one with key ``state``."""
     x = (state + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) + code
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) & ~np.uint64(0xFF)
+    return (x ^ (x >> np.uint64(31))) & mask
 
 
-def ngram_keys(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def key_mask(text_bytes: int) -> np.uint64:
+    """The upper bits, whole bytes of them, that keys of n-grams use in a corpus of so many bytes."""
+    whole = min(8, -(-(int(text_bytes).bit_length() + SPARE_BITS) // 8))
+    return np.uint64((2 ** (8 * whole) - 1) << (64 - 8 * whole))
+
+
+def ngram_keys(texts: list[np.ndarray], mask: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order n, keys of the n-grams that end at each token of the texts, and where they are real.
 
     They are not real at the first n - 1 tokens of a text.
@@ -93,7 +102,7 @@ def ngram_keys(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     yield keys, real
     for _ in range(1, ORDER):
         real = np.concatenate([[False], real[:-1]]) & ~first
-        keys = np.concatenate([np.zeros(1, np.uint64), _mix(keys[:-1], flat[1:])])
+        keys = np.concatenate([np.zeros(1, np.uint64), _mix(keys[:-1], flat[1:], mask)])
         yield keys, real
 
 
@@ -126,12 +135,18 @@ def log_probabilities(counts: list[np.ndarray], real: list[np.ndarray], tokens:
 
 
 def _planes(numbers: np.ndarray) -> bytes:
-    """64-bit numbers by bytes of equal weight, which compress well where numbers are small."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers by bytes of equal weight, without those that are zero everywhere; the first byte names the others."""
+    planes = numbers.view(np.uint8).reshape(-1, 8).T
+    used = [i for i in range(8) if planes[i].any()]
+    return bytes([sum(1 << i for i in used)]) + b"".join(planes[i].tobytes() for i in used)
 
 
-def _numbers(planes: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def _numbers(packed: bytes, count: int, kind: str) -> np.ndarray:
+    planes = np.zeros((count, 8), np.uint8)
+    used = [i for i in range(8) if packed[0] >> i & 1]
+    for at, i in enumerate(used):
+        planes[:, i] = np.frombuffer(packed, np.uint8, count, 1 + at * count)
+    return planes.view(kind).ravel()
 
 
 _ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
@@ -181,11 +196,11 @@ def _bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-_ASKED = "bucket int, chunk long, n int, keys binary, counts binary"
-_TOLD = "bucket int, chunk long, n int, counts binary, types long, tokens long"
+_ASKED = "bucket int, chunk long, n int, size int, keys binary, counts binary"
+_TOLD = "bucket int, chunk long, n int, size int, counts binary, types long, tokens long"
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, mask: np.uint64):
     """For each chunk, bucket and order the different n-grams with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +209,7 @@ def _ask(buckets: int):
             for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows").to_pylist(), strict=True):
                 table, texts = _encoded(rows, codes)
                 training = ~np.repeat(table.column("held_out").to_numpy(), [len(t) for t in texts])
-                for n, (keys, real) in enumerate(ngram_keys(texts)):
+                for n, (keys, real) in enumerate(ngram_keys(texts, mask)):
                     order, found, begins = _distinct(keys[real])
                     counts = np.add.reduceat(training[real][order], begins, dtype=np.int64) if len(begins) else np.empty(0, np.int64)
                     del order, begins
@@ -206,6 +221,7 @@ def _ask(buckets: int):
                             pa.array([b for b, _ in spans], pa.int32()),
                             pa.array([chunk] * len(spans), pa.int64()),
                             pa.array([n] * len(spans), pa.int32()),
+                            pa.array([s.stop - s.start for _, s in spans], pa.int32()),
                             pa.array([_planes(steps(found[s])) for _, s in spans], pa.binary()),
                             pa.array([_planes(counts[s]) for _, s in spans], pa.binary()),
                         ],
@@ -219,43 +235,41 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The total counts of what each chunk asks for; one row with the bucket's types and tokens."""
     asked: list[tuple] = []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("bucket", "chunk", "n", "keys", "counts")]
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "chunk", "n", "size", "keys", "counts")]
         asked += zip(*columns, strict=True)
     names = [c.split()[0] for c in _TOLD.split(", ")]
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
     for n in range(ORDER):
         own = [a for a in asked if a[2] == n]
         if not own:
             continue
-        keys = [np.cumsum(_numbers(a[3], "<u8"), dtype=np.uint64) for a in own]
-        ends = np.cumsum([len(k) for k in keys])
-        order, _, begins = _distinct(np.concatenate(keys))
-        del keys
-        total = np.add.reduceat(np.concatenate([_numbers(a[4], "<i8") for a in own])[order], begins)
+        ends = np.cumsum([a[3] for a in own])
+        order, _, begins = _distinct(np.concatenate([np.cumsum(_numbers(a[4], a[3], "<u8"), dtype=np.uint64) for a in own]))
+        total = np.add.reduceat(np.concatenate([_numbers(a[5], a[3], "<i8") for a in own])[order], begins)
         each = np.empty(len(order), np.int64)
         each[order] = np.repeat(total, np.diff(np.append(begins, len(order))))
         del order, begins
         for a, begin, end in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            row = (a[0], a[1], n, _planes(each[begin:end]), None, None)
+            row = (a[0], a[1], n, a[3], _planes(each[begin:end]), None, None)
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
         if n == 0:
-            row = (own[0][0], None, n, None, int((total > 0).sum()), int(total.sum()))
+            row = (own[0][0], None, n, 0, None, int((total > 0).sum()), int(total.sum()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(buckets: int, tokens: int, types: int):
+def _score(buckets: int, mask: np.uint64, tokens: int, types: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         codes, parts = Codes(), []
-        told = {(n, b): c for n, b, c in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "counts")), strict=True)}
+        told = {(n, b): (c, size) for n, b, c, size in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "counts", "size")), strict=True)}
         for rows in left.column("rows").to_pylist():
             table, texts = _encoded(rows, codes)
             counts, reals = [], []
-            for n, (keys, real) in enumerate(ngram_keys(texts)):
+            for n, (keys, real) in enumerate(ngram_keys(texts, mask)):
                 order, _, begins = _distinct(keys[real])
-                total = np.concatenate([_numbers(told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")])
+                total = np.concatenate([_numbers(*told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")])
                 own, at = np.zeros(len(keys), np.int64), np.flatnonzero(real)
                 own[at[order]] = np.repeat(total, np.diff(np.append(begins, len(at))))
                 counts.append(own)
@@ -295,11 +309,12 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     buckets = max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
     chunks = materialize(spread(rows).mapInArrow(_chunked, _CHUNK), "lm-chunks")
-    asked = chunks.mapInArrow(_ask(buckets), _ASKED)
+    mask = key_mask(size)
+    asked = chunks.mapInArrow(_ask(buckets, mask), _ASKED)
     told = materialize(asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_tell, _TOLD), "lm-counts")
     totals = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    answers = told.where(F.col("chunk").isNotNull()).select("chunk", "bucket", "n", "counts")
-    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(buckets, totals["n"], totals["v"]), _SCORED)
+    answers = told.where(F.col("chunk").isNotNull()).select("chunk", "bucket", "n", "size", "counts")
+    scored = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(buckets, mask, totals["n"], totals["v"]), _SCORED)
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score"
     )

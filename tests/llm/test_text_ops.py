@@ -264,11 +264,11 @@ def test_automaton_states_sum_to_one():
     rng = np.random.default_rng(5)
     trained = [[*rng.integers(0, 6, rng.integers(1, 30)).tolist(), 6] for _ in range(80)]
     codes = lambda s: np.array(s, np.uint64)
-    seen = [dict(zip(*np.unique(keys[real], return_counts=True))) for keys, real in lm.ngram_keys([codes(s) for s in trained])]
+    seen = [dict(zip(*np.unique(keys[real], return_counts=True))) for keys, real in lm.ngram_keys([codes(s) for s in trained], lm.key_mask(10**6))]
     model = Brute(trained)
 
     def last(s):
-        keys, real = zip(*lm.ngram_keys([codes(s)]))
+        keys, real = zip(*lm.ngram_keys([codes(s)], lm.key_mask(10**6)))
         counts = [np.array([seen[n].get(k, 0) for k in own]) for n, own in enumerate(keys)]
         return 10 ** lm.log_probabilities(counts, real, model.n, model.v)[-1]
 
