@@ -2,7 +2,7 @@
 
 A block of vectors holds one list a dimension, sorted by component.  Queries
 read the lists sequentially, each list from the end that the query's component
-favours, in a few equal strides.  What a vector has shown so far plus the least
+favours, in strides that halve what is unread.  What a vector has shown so far plus the least
 that its unread components can add is its lower bound, with the most its upper
 bound.  Reading stops once no more than a few vectors can still reach a query's
 k-th lower bound; their final scores are then resolved.  The k-th score found in
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 #: Queries whose bounds are held at once for a block of vectors.
 CHUNK = 64
-#: Shares of the lists after which bounds are compared.
-STRIDES = (0.25, 0.5, 1.0)
+#: Shares of the lists after which bounds are compared: what is unread halves each time.
+STRIDES = (0.5, 0.75, 0.875, 0.9375, 1.0)
 #: Vectors a query may leave to the final resolution, in multiples of k.
 LEFT = 8
 
@@ -45,26 +45,33 @@ class SortedLists:
             top, low = (rank >= n - depth).astype(np.float64), (rank < depth).astype(np.float64)
             self.reads.append((depth, top, low, vectors * top, vectors * low))
 
-    def best(self, queries: np.ndarray, k: int, floor: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        """For each query the rows that may be among its k best (scores not under ``floor``)."""
-        n, up = len(self.vectors), queries >= 0
-        plus, minus = np.where(up, queries, 0.0).T, np.where(up, 0.0, queries).T
-        worst = np.where(up, self.lists[0], self.lists[-1]) * queries
-        hidden = self.ids[:, None] == own[None, :]
+    def best(self, queries: np.ndarray, k: int, floor: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query the rows that may be among its k best (scores not under ``floor``), and how deep its lists were read."""
+        n = len(self.vectors)
+        rows, depths = [np.empty(0, np.int64)] * len(queries), np.zeros(len(queries), np.int64)
+        going = np.arange(len(queries))
         for depth, top, low, top_part, low_part in self.reads:
+            q = queries[going]
+            up = q >= 0
+            plus, minus = np.where(up, q, 0.0).T, np.where(up, 0.0, q).T
             shown = top_part @ plus + low_part @ minus
             if depth == n:
                 lower = upper = shown
             else:
-                ahead = np.where(up, self.lists[n - 1 - depth], self.lists[depth]) * queries
                 unread = lambda end: end.sum(1) - top @ np.where(up, end, 0.0).T - low @ np.where(up, 0.0, end).T  # noqa: B023, E731
-                lower, upper = shown + unread(worst), shown + unread(ahead)
+                lower = shown + unread(np.where(up, self.lists[0], self.lists[-1]) * q)
+                upper = shown + unread(np.where(up, self.lists[n - 1 - depth], self.lists[depth]) * q)
+            hidden = self.ids[:, None] == own[going][None, :]
             lower = np.where(hidden, -np.inf, lower)
-            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(queries), -np.inf)
-            alive = (upper >= np.maximum(bar, floor)) & ~hidden
-            if depth == n or (alive.sum(0) <= LEFT * k).all():
+            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(q), -np.inf)
+            alive = (upper >= np.maximum(bar, floor[going])) & ~hidden
+            done = alive.sum(0) <= (n if depth == n else LEFT * k)
+            for i, at in zip(going[done].tolist(), np.flatnonzero(done).tolist(), strict=True):
+                rows[i], depths[i] = np.flatnonzero(alive[:, at]), depth
+            going = going[~done]
+            if not len(going):
                 break
-        return [np.flatnonzero(alive[:, i]) for i in range(len(queries))]
+        return rows, depths
 
 
 def _integers(column: pd.Series, dims: int) -> np.ndarray:
@@ -102,7 +109,7 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
                 if lists is None:
                     rows = [np.flatnonzero(ids != q) for q in query_ids[part]]
                 else:
-                    rows = lists.best(wide[part], k, floor[part], query_ids[part])
+                    rows, _ = lists.best(wide[part], k, floor[part], query_ids[part])
                 for i, r in enumerate(rows, at):
                     if len(r):
                         scored = zip(_exact_scores(vectors[r], wide[i]), ids[r].tolist(), strict=True)
@@ -128,13 +135,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both have vec_id and vector.  A query's own vec_id is left out; ties go to
     the smaller vec_id; fewer than k others give fewer rows.  Rows that repeat
-    a vec_id are candidates one by one, but queries go by vec_id (one of the
-    repeated rows).  Shorter vectors count as padded with zeros.  Scores beyond
+    a vec_id are candidates one by one, but queries go by vec_id (the least of
+    the repeated rows' vectors).  Shorter vectors count as padded with zeros.  Scores beyond
     the range of a long are clamped.  Without vectors or queries the result is
     empty.
     """
     spark = vectors.sparkSession
-    chosen = queries.dropDuplicates(["vec_id"])
+    chosen = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = -(-chosen.count() // QUERY_BLOCK)
     merged = None
     for b in range(blocks):
