@@ -1,6 +1,8 @@
 import hashlib
+import html
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -392,18 +394,68 @@ SITE = '<html><head><title>T {0}</title></head><body><header>Site</header><nav><
 def test_wrapper_of_a_host_and_its_pages():
     pages = [SITE.format(i, "<li><a>m</a></li>" * (2 + i), "<p>One &amp; <b>two</b>\n three</p>" * (i + 1) + ("<h2>More</h2><p>x</p>" if i % 2 else "")) for i in range(4)]
     wrapper = html_extract.infer(pages)
-    kinds = str(wrapper)
+    kinds = str(wrapper["items"])
     assert "'*'" in kinds and "'?'" in kinds
     for i, p in enumerate(pages):
-        assert html_extract.parse(wrapper, html_extract.tokens(p)) is not None
+        assert html_extract.match(wrapper["items"], html_extract.tree(p), frozenset()) is not None
         want = "\n".join([f"Head {i}"] + ["One & two three"] * (i + 1) + (["More", "x"] if i % 2 else []))
         assert html_extract.main_text(p, wrapper) == want == html_extract.main_text(p)
 
 
-def test_pages_without_an_article_lose_template_text():
-    pages = [f"<div>Welcome to the site</div><div>Story number {i} goes on</div>" for i in range(3)]
-    wrapper = html_extract.infer(pages)
-    assert html_extract.main_text(pages[1], wrapper) == "Story number 1 goes on"
+#: Pages of a made-up site without article elements, and their texts, written by hand.
+SOUP = """<html><body><header><h2>Daily Site</h2></header><div class="top"><a href=/>Home</a> | <a href=/n>News</a></div>
+<div class="notice">We use cookies to remember what you read.</div>
+<div class="wrap"><div class="text"><h1>{title}</h1><div class="notice">{note}</div>{body}<div class="share">Tell your friends about this story</div></div>
+<div class="side"><b>Weather</b><p>{side}</p><ul><li><a href=1>{link}</a></li><li><a href=2>Other</a></li></ul></div></div>
+<div class="foot">Made by the people of the Daily Site.</div></body></html>"""
+
+
+def soup(i):
+    word = ["heron", "kettle", "ladder", "mirror", "napkin", "orchard", "pencil", "quarry"][i % 8]
+    body = "".join(f"<p>The {word} number {i} was seen by {j} people who wrote it down.</p>" for j in range(2 + i % 3))
+    body += f"<table><tr><td>{word}<td>{i} of them</table>" * (i % 2)
+    page = SOUP.format(title=f"A {word} &amp; more", note=f"Corrected on day {i}", body=body, side=f"{i} degrees", link=f"Read on about {word}s")
+    text = [f"A {word} & more", f"Corrected on day {i}", *(f"The {word} number {i} was seen by {j} people who wrote it down." for j in range(2 + i % 3))]
+    return page, "\n".join(text + [word, f"{i} of them"] * (i % 2))
+
+
+def test_template_texts_and_the_heaviest_element_decide(spark):
+    """Constants of the site go, inside the article too; what varies there stays, whatever its class."""
+    rows = [(i, f"http://soup.example/{i}", soup(i)[0]) for i in range(30)]
+    rows += [(100 + i, f"https://one.example/{i}", SITE.format(i, "<li><a>m</a></li>", f"<div class='share price'>Up {i}</div><div id=dialog>Talk {i}</div><div class=comments><p>me too</p></div>")) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == soup(i)[1]
+    for i in range(5):
+        assert got[100 + i] == f"Head {i}\nUp {i}\nTalk {i}"
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    """A host whose pages are mostly one article, and one of three pages, keep their texts."""
+    rows = [(i, "http://copies.example/x", soup(1)[0]) for i in range(20)] + [(20 + i, "http://copies.example/y", soup(i)[0]) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(soup(1)[1].split("\n")[0] in got[i] for i in range(20))
+
+
+def test_pages_that_do_not_fit_are_sampled_again_or_cut_at_the_same_element():
+    pages = [soup(i)[0] for i in range(6)]
+    constants = frozenset.intersection(*(frozenset(r.hash for r in html_extract.runs(html_extract.tree(p))) for p in pages))
+    wrapper = html_extract.infer(pages, constants)
+    page, text = soup(7)
+    other = page.replace("<table>", "<section><h3>Also</h3><blockquote>Said so</blockquote></section><table>")
+    assert html_extract.match(wrapper["items"], html_extract.tree(other), constants) is None
+    lines = text.split("\n")
+    want = "\n".join([*lines[:-2], "Also", "Said so", *lines[-2:]])
+    assert html_extract.main_text(other, wrapper) == want
+    wider = html_extract.infer([*pages, other], constants)
+    assert html_extract.match(wider["items"], html_extract.tree(other), constants) is not None and html_extract.main_text(other, wider) == want
+
+
+def test_long_and_deep_pages_are_read_whole():
+    page = "<article>" + "<div>" * 3000 + "".join(f"<h2>t{i}</h2><p>b{i}" + "<ul><li>x</ul>" * (i % 3 == 0) for i in range(4000)) + "</article>"
+    lines = [x for i in range(4000) for x in (f"t{i}", f"b{i}", *(["x"] if i % 3 == 0 else []))]
+    assert html_extract.main_text(page) == "\n".join(lines)
+    assert html_extract.main_text(page, html_extract.infer([page, "<article><p>y</article>"])) == "\n".join(lines)
 
 
 @pytest.mark.parametrize("page,text", [
@@ -418,7 +470,9 @@ def test_extract_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
     for r in pages.collect():
-        assert got[r["page_id"]]["text"] == html_extract.main_text(r["html"]) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
+        article = re.search("<article>(.*)</article>", r["html"], re.S).group(1)
+        blocks = (" ".join(html.unescape(re.sub("<b>|</b>", "", x)).split()) for x in re.split("</?(?:h1|p|br)>", article))
+        assert got[r["page_id"]]["text"] == "\n".join(x for x in blocks if x) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
     odd = spark.createDataFrame([(1, None, None), (None, "http://a/x", "<p>t</p>"), (2, "no url", ""), (2, "no url", "")], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     assert sorted(r["text"] for r in html_extract.extract(odd).collect()) == ["", "", "", "t"]
     assert html_extract.extract(odd.where("false")).count() == 0
