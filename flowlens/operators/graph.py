@@ -33,23 +33,27 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
 
 
-def node_features(edges: DataFrame) -> DataFrame:
-    """Degrees, counts, log volumes, asymmetry, flow-through, reciprocal partners and neighbours' mean degrees."""
-    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"), F.sum("cnt").alias("out_tx"), F.sum("weight").alias("ow"))
-    inn = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"), F.sum("cnt").alias("in_tx"), F.sum("weight").alias("iw"))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = edges.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("reciprocal_partners"))
-    n_out = edges.join(out.select(F.col("node").alias("dst"), F.col("out_degree").alias("d")), "dst", "left")
-    n_in = edges.join(inn.select(F.col("node").alias("src"), F.col("in_degree").alias("d")), "src", "left")
+def node_features(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """Degrees, counts, log volumes, asymmetry, flow-through, reciprocal partners and neighbours' mean degrees.
+
+    ``by`` names a column that tells apart graphs that are measured at once.
+    """
+    g = [by] if by else []
+    out = edges.groupBy(*g, F.col("src").alias("node")).agg(F.count("*").alias("out_degree"), F.sum("cnt").alias("out_tx"), F.sum("weight").alias("ow"))
+    inn = edges.groupBy(*g, F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"), F.sum("cnt").alias("in_tx"), F.sum("weight").alias("iw"))
+    back = edges.select(*g, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    mutual = edges.join(back, [*g, "src", "dst"], "left_semi").groupBy(*g, F.col("src").alias("node")).agg(F.count("*").alias("reciprocal_partners"))
+    n_out = edges.join(out.select(*g, F.col("node").alias("dst"), F.col("out_degree").alias("d")), [*g, "dst"], "left")
+    n_in = edges.join(inn.select(*g, F.col("node").alias("src"), F.col("in_degree").alias("d")), [*g, "src"], "left")
     mean = F.avg(F.coalesce("d", F.lit(0)))
-    wide = out.join(inn, "node", "full")
-    for more in (mutual, n_out.groupBy(F.col("src").alias("node")).agg(mean.alias("nbr_out_degree_mean")), n_in.groupBy(F.col("dst").alias("node")).agg(mean.alias("nbr_in_degree_mean"))):
-        wide = wide.join(more, "node", "left")
-    wide = wide.fillna(0)
+    wide = out.join(inn, [*g, "node"], "full")
+    for more in (mutual, n_out.groupBy(*g, F.col("src").alias("node")).agg(mean.alias("nbr_out_degree_mean")), n_in.groupBy(*g, F.col("dst").alias("node")).agg(mean.alias("nbr_in_degree_mean"))):
+        wide = wide.join(more, [*g, "node"], "left")
+    wide = wide.fillna(0, subset=[c for c in wide.columns if c not in (*g, "node")])
     o, i = F.col("out_degree"), F.col("in_degree")
     most = F.greatest("ow", "iw")
     return wide.select(
-        "node", "in_degree", "out_degree", "in_tx", "out_tx",
+        *g, "node", "in_degree", "out_degree", "in_tx", "out_tx",
         F.log1p("iw").alias("log_in_weight"), F.log1p("ow").alias("log_out_weight"),
         ((o - i) / (o + i + 1)).alias("degree_asymmetry"),
         F.when(most > 0, F.least("ow", "iw") / most).otherwise(0.0).alias("flow_through"),
@@ -57,28 +61,31 @@ def node_features(edges: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(edges: DataFrame, iterations: int = 50, alpha: float = 0.85) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 50, alpha: float = 0.85, by: str | None = None) -> DataFrame:
     """node, pagerank over the accounts of the graph, times their number: 1 on average.
 
-    Unweighted; rank of accounts without payees is spread over all.  A round
-    reads the ranks twice, so each is stored.
+    Unweighted; rank of accounts without payees is spread over all.  ``by`` names
+    a column that tells apart graphs that are ranked at once.  The rank that is
+    passed on adds up to that of the accounts with payees, so a round reads the
+    ranks once; every second round is stored.
     """
-    links = edges.select("src", "dst").distinct()
-    degree = links.groupBy("src").agg(F.count("*").alias("deg"))
-    links = materialize(links.join(degree, "src"), "pagerank-links")
-    nodes = materialize(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct(), "pagerank-nodes")
-    n = nodes.count()
-    ranks = nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for _ in range(iterations):
-        given = links.join(ranks.withColumnRenamed("node", "src"), "src")
-        got = given.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("deg")).alias("g"))
-        kept = given.select("src", "r").distinct().agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("kept"))
-        loose = (1.0 - F.col("kept")) / n
-        ranks = nodes.join(got, "node", "left").crossJoin(F.broadcast(kept)).select(
-            "node", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("g", F.lit(0.0)) + loose)).alias("r")
+    g = by or "__g"
+    links = (edges if by else edges.withColumn(g, F.lit(0))).select(g, "src", "dst").distinct()
+    degree = links.groupBy(g, "src").agg(F.count("*").alias("deg"))
+    links = materialize(links.join(degree, [g, "src"]), "pagerank-links")
+    nodes = links.select(g, F.col("src").alias("node")).union(links.select(g, "dst")).distinct()
+    sizes = materialize(nodes.groupBy(g).agg(F.count("*").cast("double").alias("n")), "pagerank-sizes")
+    ranks = nodes = materialize(nodes.join(F.broadcast(sizes), g).withColumn("r", 1.0 / F.col("n")), "pagerank-nodes")
+    for k in range(iterations):
+        got = links.join(ranks.select(g, F.col("node").alias("src"), "r"), [g, "src"]).groupBy(g, F.col("dst").alias("node")).agg(F.sum(F.col("r") / F.col("deg")).alias("got"))
+        kept = got.groupBy(g).agg(F.sum("got").alias("kept"))
+        spread = (1.0 - F.coalesce("kept", F.lit(0.0))) / F.col("n")
+        ranks = nodes.drop("r").join(got, [g, "node"], "left").join(F.broadcast(kept), g, "left").select(
+            g, "node", "n", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("got", F.lit(0.0)) + spread)).alias("r")
         )
-        ranks = materialize(ranks, "pagerank")
-    return ranks.select("node", (F.col("r") * n).alias("pagerank"))
+        if k % 2 or k == iterations - 1:
+            ranks = materialize(ranks, "pagerank")
+    return ranks.select(*([by] if by else []), "node", (F.col("r") * F.col("n")).alias("pagerank"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -199,15 +206,80 @@ def pair_history(tx: DataFrame, delta: int = DAY) -> DataFrame:
     return rows.select("tx_id", "src", "dst", "p").join(seen.drop("back"), ["src", "dst", "p"]).select("tx_id", "prior_pair_tx", "reverse_edge_exists")
 
 
-def closes_cycle(tx: DataFrame, cutoff: int, delta: int = DAY) -> DataFrame:
-    """tx_id, closes_cycle for the transfers of the period that starts at ``cutoff``."""
-    scc = strongly_connected(account_graph(tx, cutoff)).where("scc_size > 1")
-    rows = tx.where((F.col("t") >= cutoff) & (F.col("t") < cutoff + delta))
-    of = lambda end: scc.select(F.col("node").alias(end), F.col("scc").alias(end + "_scc"))
-    both = rows.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+def snapshots(tx: DataFrame, delta: int = DAY) -> DataFrame:
+    """p, src, dst, cnt, weight: the graph before every period in which there are transfers.
+
+    A pair's counts are running sums over its own periods; each state holds
+    until the pair's next one, and is repeated for the periods between.
+    """
+    rows = tx.withColumn("p", (F.floor(F.col("t") / delta) * delta).cast("long"))
+    periods = rows.select("p").distinct()
+    ordered = periods.agg(F.array_sort(F.collect_list("p")).alias("all"))  # one row; a number for each period
+    pairs = rows.groupBy("src", "dst", "p").agg(F.count("*").alias("c"), F.sum("amount").alias("w"))
+    own = Window.partitionBy("src", "dst").orderBy("p")
+    state = pairs.select("src", "dst", "p", F.sum("c").over(own).alias("cnt"), F.sum("w").over(own).alias("weight"), F.lead("p").over(own).alias("until"))
+    later = F.filter("all", lambda q: (q > F.col("p")) & (F.col("until").isNull() | (q <= F.col("until"))))
+    return state.crossJoin(F.broadcast(ordered)).select(F.explode(later).alias("q"), "src", "dst", "cnt", "weight").withColumnRenamed("q", "p")
+
+
+def snapshot_components(edges: DataFrame) -> DataFrame:
+    """p, node, scc (a member's name), scc_size in every snapshot, all at once: nodes are told apart by their period."""
+    tagged = lambda end: F.struct(F.col("p"), F.col(end).alias("node")).alias(end)
+    return strongly_connected(edges.select(tagged("src"), tagged("dst"))).select("node.p", "node.node", F.col("scc.node").alias("scc"), "scc_size")
+
+
+def closes_cycle(tx: DataFrame, delta: int = DAY, edges: DataFrame | None = None) -> DataFrame:
+    """tx_id, closes_cycle: whether both accounts share a component of the graph before the transfer's period."""
+    edges = materialize(snapshots(tx, delta), "snapshots") if edges is None else edges
+    scc = materialize(snapshot_components(edges).where("scc_size > 1"), "snapshot-scc")
+    rows = tx.select("tx_id", "src", "dst", (F.floor(F.col("t") / delta) * delta).cast("long").alias("p"))
+    of = lambda end: scc.select("p", F.col("node").alias(end), F.col("scc").alias(end + "_scc"))
+    both = rows.join(of("src"), ["p", "src"], "left").join(of("dst"), ["p", "dst"], "left")
     return both.select("tx_id", F.coalesce((F.col("src_scc") == F.col("dst_scc")).cast("int"), F.lit(0)).alias("closes_cycle"))
 
 
+#: Measures of an account in a snapshot.
+NODE_FEATURES = (
+    "in_degree", "out_degree", "in_tx", "out_tx", "log_in_weight", "log_out_weight", "degree_asymmetry", "flow_through",
+    "reciprocal_partners", "pagerank", "log_scc_size", "nbr_out_degree_mean", "nbr_in_degree_mean",
+)
+
+
+def all_node_features(edges: DataFrame, by: str | None = None, iterations: int = 50) -> DataFrame:
+    """All measures of ``NODE_FEATURES`` for each account (and graph, told apart by ``by``)."""
+    g = [by] if by else []
+    one = edges if by else edges.withColumn("p", F.lit(0))
+    scc = snapshot_components(one.withColumnRenamed(by, "p") if by and by != "p" else one)
+    sizes = scc.select(*([F.col("p").alias(by)] if by else []), "node", F.log("scc_size").alias("log_scc_size"))
+    joined = node_features(edges, by).join(pagerank(edges, iterations, by=by), [*g, "node"]).join(sizes, [*g, "node"])
+    return joined.select(*g, "node", *NODE_FEATURES)
+
+
+def graph_features(tx: DataFrame, delta: int = DAY, iterations: int = 50) -> DataFrame:
+    """tx_id, src_ and dst_ copies of all node measures, closes_cycle, reverse_edge_exists, prior_pair_tx.
+
+    All come from the graph before the transfer's period; accounts that it does
+    not hold have zeros.
+    """
+    edges = materialize(snapshots(tx, delta), "snapshots")
+    nodes = materialize(all_node_features(edges, "p", iterations), "snapshot-features")
+    rows = tx.select("tx_id", "src", "dst", (F.floor(F.col("t") / delta) * delta).cast("long").alias("p"))
+    for side in ("src", "dst"):
+        rows = rows.join(nodes.select("p", F.col("node").alias(side), *[F.col(c).cast("double").alias(f"{side}_{c}") for c in NODE_FEATURES]), ["p", side], "left")
+    measures = [f"{side}_{c}" for side in ("src", "dst") for c in NODE_FEATURES]
+    filled = rows.select("tx_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in measures])
+    return filled.join(closes_cycle(tx, delta, edges), "tx_id").join(pair_history(tx, delta), "tx_id")
+
+
+def account_bank(tx: DataFrame, order: str = "tx_id") -> DataFrame:
+    """account and the bank it is first seen at: as a sender anywhere before as a receiver, then by ``order``.
+
+    ``tx``: src, dst, src_bank, dst_bank.
+    """
+    seen = lambda end, turn: tx.select(F.col(end).alias("account"), F.col(f"{end}_bank").alias("bank"), F.struct(F.lit(turn), F.col(order)).alias("at"))
+    return seen("src", 0).unionByName(seen("dst", 1)).groupBy("account").agg(F.min_by("bank", "at").alias("bank"))
+
+
 def snapshot_edges(tx: DataFrame, delta: int = DAY) -> DataFrame:
     """period_start, fmt, src, dst, log_count, last_t, recent for every snapshot.
 

@@ -161,3 +161,10 @@ def indistinguishable(summary: DataFrame, metric: str = "pr_auc") -> DataFrame:
         (F.coalesce(f"{metric}_std", F.lit(0.0)) + F.coalesce(nxt(f"{metric}_std"), F.lit(0.0))).alias("spread"),
     )
     return pairs.where("next_model is not null and gap < spread")
+
+
+def bucket_counts(tx: DataFrame, seconds: int) -> DataFrame:
+    """bucket_start and the transfers in each span of ``seconds``, empty ones between the first and the last included."""
+    placed = tx.select(F.floor(F.col("t") / seconds).alias("b"))
+    grid = placed.agg(F.min("b").alias("lo"), F.max("b").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("b"))
+    return grid.join(placed.groupBy("b").count(), "b", "left").select((F.col("b") * seconds).alias("bucket_start"), F.coalesce("count", F.lit(0)).alias("n"))

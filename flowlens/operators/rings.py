@@ -146,6 +146,19 @@ def label_candidates(rings: DataFrame, truth: DataFrame, theta: float = 0.5) ->
     return rings.select("ring_id").join(best, "ring_id", "left").select("ring_id", (F.coalesce("j", F.lit(0.0)) >= theta).cast("int").alias("y"))
 
 
+def recent_transfers(tx: DataFrame, batch_start: int, hours: int = 96) -> DataFrame:
+    """Transfers of the ``hours`` before a batch of alerts: what its rings are found in."""
+    return tx.where((F.col("t") < batch_start) & (F.col("t") >= batch_start - hours * 3600))
+
+
+def rings_of_alerts(alerts: DataFrame, rings: DataFrame) -> DataFrame:
+    """``alerts`` with the best ring of the sender, or else of the receiver; null if neither is in one."""
+    best = ring_of_account(rings)
+    of = lambda side: best.select(F.col("account").alias(side), F.col("ring_id").alias(f"__{side}"))
+    joined = alerts.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    return joined.select(*alerts.columns, F.coalesce("__src", "__dst").alias("ring_id"))
+
+
 def ring_of_account(rings: DataFrame) -> DataFrame:
     """account and its best-scoring ring."""
     return rings.select(F.explode("members").alias("account"), "ring_id", "score").groupBy("account").agg(F.max_by("ring_id", F.struct("score", "ring_id")).alias("ring_id"))

@@ -170,6 +170,76 @@ def fuse(scores: DataFrame, a: str, b: str, val: str = "val", steps: int = 21) -
     return z.withColumn("score", sigmoid(best * F.col("za") + (1 - best) * F.col("zb"))), best
 
 
+def stack(scores: DataFrame, names: list[str], val: str = "val") -> tuple[DataFrame, dict[str, float]]:
+    """More than two models: a logistic regression on their standardised logits, fitted on the validation fold.
+
+    The score is the sigmoid of the weighted logits without the intercept: a
+    monotone map, so the ranking is the regression's.
+    """
+    z = scores.withColumns({f"__z_{n}": logit(F.col(n)) for n in names})
+    m = z.where(F.col("fold") == val).agg(*[f(f"__z_{n}").alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    z = z.withColumns({f"__z_{n}": (F.col(f"__z_{n}") - m[f"m_{n}"]) / ((m[f"s_{n}"] or 0.0) + 1e-9) for n in names})
+    x = VectorAssembler(inputCols=[f"__z_{n}" for n in names], outputCol="__x")
+    fitted = LogisticRegression(featuresCol="__x", labelCol="label").fit(x.transform(z.where(F.col("fold") == val)))
+    weights = dict(zip(names, map(float, fitted.coefficients), strict=True))
+    total = sum((F.lit(w) * F.col(f"__z_{n}") for n, w in weights.items()), F.lit(0.0))
+    return z.withColumn("score", sigmoid(total)).drop(*[f"__z_{n}" for n in names]), weights
+
+
+class RingScorer:
+    """Second stage for rings: a balanced logistic regression on candidate features, or else their mean score.
+
+    Fewer than ``least`` labelled rings, or rings of one label only, leave the
+    mean score of the members as the score.
+    """
+
+    def __init__(self, features: list[str], least: int = 5):
+        self.features, self.least, self.model, self.weights = features, least, None, {}
+
+    def fit(self, rings: DataFrame) -> RingScorer:
+        """``rings``: the features and y."""
+        n, low, high = rings.agg(F.count("*"), F.min("y"), F.max("y")).first()
+        if n < self.least or low == high:
+            return self
+        stages = [VectorAssembler(inputCols=self.features, outputCol="__x"), StandardScaler(inputCol="__x", outputCol="__s", withMean=True)]
+        regression = LogisticRegression(featuresCol="__s", labelCol="y", weightCol="__weight", regParam=1.0 / n)
+        self.model = Pipeline(stages=[*stages, regression]).fit(_balanced(rings, "y"))
+        self.weights = dict(zip(self.features, map(float, self.model.stages[-1].coefficients), strict=True))
+        return self
+
+    def score(self, rings: DataFrame) -> DataFrame:
+        if self.model is None:
+            return rings.withColumn("score", F.col("mean_score").cast("double"))
+        out = self.model.transform(rings).withColumn("score", vector_to_array("probability")[1])
+        return out.select(*[c for c in rings.columns if c != "score"], "score")
+
+
+class EdgeInputs:
+    """Edge features for a network: signed logs, standardised by training rows, within -10 to 10, with missing flags.
+
+    Missing values get the training mean, which is zero once standardised;
+    flags exist for the columns that miss values in training.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def fit(self, train: DataFrame) -> EdgeInputs:
+        value = {c: F.nanvl(signed_log(F.col(c).cast("double")), F.lit(None).cast("double")) for c in self.columns}
+        stats = [f(v).alias(f"{k}_{c}") for c, v in value.items() for k, f in (("m", F.avg), ("s", F.stddev_pop), ("n", lambda v: F.count_if(v.isNull())))]
+        found = train.agg(*stats).first()
+        self.mean = {c: found[f"m_{c}"] or 0.0 for c in self.columns}
+        self.std = {c: (found[f"s_{c}"] or 0.0) + 1e-6 for c in self.columns}
+        self.flagged = [c for c in self.columns if found[f"n_{c}"]]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with e_<column> and missing_<column>."""
+        value = {c: F.nanvl(signed_log(F.col(c).cast("double")), F.lit(None).cast("double")) for c in self.columns}
+        z = {f"e_{c}": F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (F.coalesce(v, F.lit(self.mean[c])) - self.mean[c]) / self.std[c])) for c, v in value.items()}
+        return df.withColumns(z | {f"missing_{c}": value[c].isNull().cast("double") for c in self.flagged})
+
+
 def platt(val: DataFrame, df: DataFrame, label: str = "label") -> DataFrame:
     """Scores calibrated by a logistic fit on the validation logits."""
     x = VectorAssembler(inputCols=["__z"], outputCol="__x")

@@ -6,7 +6,7 @@ few numbers; folds are then plain filters that reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -112,6 +112,37 @@ def embargo_covers(embargo: int, windows: list[int]) -> None:
         raise ValueError(f"windows {long} are longer than the embargo of {embargo} s")
 
 
+def assert_no_future_edges(edges: DataFrame, cutoff: int, time: str = "last_t") -> DataFrame:
+    """``edges``, after a check that none is at or after ``cutoff``; edges without times can't be checked and fail."""
+    if time not in edges.columns:
+        raise ValueError(f"edges have no {time}: nothing was checked")
+    latest = edges.agg(F.max(time)).first()[0]
+    if latest is not None and latest >= cutoff:
+        raise AssertionError(f"an edge at {latest} is not before the cut-off {cutoff}")
+    return edges
+
+
+def leakage_canary(fit_score: Callable[[DataFrame, DataFrame], DataFrame], df: DataFrame, train_frac: float = 0.6, shuffles: int = 3, seed: int = 0) -> dict[str, float]:
+    """Mean PR-AUC on later rows of models whose training labels were dealt anew, against chance.
+
+    ``fit_score`` takes training rows and later rows and returns the latter with
+    score.  A ratio near 1 is healthy; above about 3 information reaches the model
+    by another way than the labels.
+    """
+    from .metrics import evaluate
+
+    cut = df.agg(F.percentile("t", F.lit(train_frac))).first()[0]
+    train, test = df.where(F.col("t") <= cut), df.where(F.col("t") > cut)
+    chance = test.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
+    found = []
+    for s in range(shuffles):
+        scored = fit_score(permuted_labels(train, seed + s), test)
+        row = evaluate(scored.select(F.col("label").alias("y"), "score")).select("pr_auc").first()
+        found.append(row["pr_auc"] if row else 0.0)
+    observed = sum(found) / max(len(found), 1)
+    return {"observed": observed, "chance": chance, "ratio": observed / max(chance, 1e-12)}
+
+
 def permuted_labels(df: DataFrame, seed: int, label: str = "label") -> DataFrame:
     """``df`` with its labels dealt to other rows, as a canary: skill on them is a leak.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..operators import behaviour as B
 from ..operators import evidence as E
+from ..operators import metrics as M
 from ..operators import rings as R
 from ..operators import scoring as C
 from ..operators import splits as S
@@ -95,19 +96,19 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m4_forest")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, test = _folds(spark, sf_dir)
-    return C.MlScorer("forest", _COLS, numTrees=20, maxDepth=5).fit(train).score(test).select("tx_id", "score")
+    return C.MlScorer("forest", _COLS).fit(train).score(test).select("tx_id", "score")
 
 
 @query("m5_boosting")
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val, test = _folds(spark, sf_dir)
-    return C.MlScorer("boosting", _COLS, maxIter=10, maxDepth=3).fit(train, val).score(test).select("tx_id", "score")
+    return C.MlScorer("boosting", _COLS).fit(train, val).score(test).select("tx_id", "score")
 
 
 @query("m6_isolation_forest")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = event_transfers(spark, sf_dir).withColumn("log_amount", F.log1p("amount"))
-    return C.isolation_forest(df, df, ["log_amount", "amount"], trees=50)
+    return C.isolation_forest(df, df, ["log_amount", "amount"])
 
 
 @query("m11_fusion")
@@ -182,21 +183,16 @@ def a33(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r1_candidates")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.candidates(_scored(spark, sf_dir), quantile=0.99, max_size=20)
+    return R.candidates(_scored(spark, sf_dir), quantile=0.99)
 
 
-@query("n12_has_cycle", f"""WITH RECURSIVE {EVENT_TX}, e AS (SELECT DISTINCT tx_id % 50 AS ring_id, src, dst FROM tx WHERE tx_id % 7 = 0), reach AS (SELECT ring_id, src, dst FROM e UNION SELECT r.ring_id, r.src, e.dst FROM reach r JOIN e ON e.ring_id = r.ring_id AND e.src = r.dst)
+@query("n12_has_cycle", f"""WITH RECURSIVE {EVENT_TX}, e AS (SELECT DISTINCT tx_id % 50 AS ring_id, src, dst FROM tx), reach AS (SELECT ring_id, src, dst FROM e UNION SELECT r.ring_id, r.src, e.dst FROM reach r JOIN e ON e.ring_id = r.ring_id AND e.src = r.dst)
 SELECT ring_id, max(CASE WHEN src = dst THEN 1 ELSE 0 END) AS has_cycle FROM reach GROUP BY ring_id""")
 def n12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = event_transfers(spark, sf_dir).where("tx_id % 7 = 0").select((F.col("tx_id") % 50).alias("ring_id"), "src", "dst").distinct()
+    pairs = event_transfers(spark, sf_dir).select((F.col("tx_id") % 50).alias("ring_id"), "src", "dst").distinct()
     return R.has_cycle(pairs)
 
 
-@query("n12_has_cycle_whole")
-def n12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.has_cycle(event_transfers(spark, sf_dir).select((F.col("tx_id") % 50).alias("ring_id"), "src", "dst").distinct())
-
-
 @query("a29_involvement", f"""WITH {EVENT_TX}, d AS (SELECT node, count(*) AS d FROM (SELECT src AS node FROM tx UNION ALL SELECT dst FROM tx) GROUP BY node), r AS (SELECT d, row_number() OVER (ORDER BY d DESC, node) AS k, count(*) OVER () AS n FROM d)
 SELECT quantile_cont(d, 0.5) AS median, round(quantile_cont(d, 0.99), 4) AS p99, max(d) AS most, round(CAST(sum(d) FILTER (k <= ceil(n / 100.0)) AS DOUBLE) / sum(d), 6) AS top_share FROM r""")
 def a29(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,9 +209,7 @@ def a29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a31_hourly_counts", f"WITH {EVENT_TX}, h AS (SELECT unnest(range(CAST((SELECT min(t) // 3600 FROM tx) AS BIGINT), CAST((SELECT max(t) // 3600 + 1 FROM tx) AS BIGINT))) AS h) SELECT h * 3600 AS hour_start, (SELECT count(*) FROM tx WHERE t // 3600 = h) AS n FROM h")
 def a31(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = event_transfers(spark, sf_dir).select(F.floor(F.col("t") / 3600).alias("h"))
-    grid = tx.agg(F.min("h").alias("lo"), F.max("h").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("h"))
-    return grid.join(tx.groupBy("h").count(), "h", "left").select((F.col("h") * 3600).alias("hour_start"), F.coalesce("count", F.lit(0)).alias("n"))
+    return M.bucket_counts(event_transfers(spark, sf_dir), 3600).withColumnRenamed("bucket_start", "hour_start")
 
 
 @query("a27_skewness", f"WITH {EVENT_TX}, m AS (SELECT avg(amount) AS m FROM tx) SELECT round(avg(power(amount - m, 3)) / power(avg(power(amount - m, 2)), 1.5), 4) AS skewness FROM tx, m")

@@ -12,9 +12,8 @@ from .registry import query, rounded
 #: 2024-style cut-offs do not fit every table: half of the time span serves.
 _CUT = "cut AS (SELECT (min(t) + (max(t) - min(t)) // 2) // 86400 * 86400 AS c FROM tx)"
 _EDGES = f"WITH RECURSIVE {EVENT_TX}, {_CUT}, e AS (SELECT src, dst, count(*) AS cnt, sum(amount) AS weight, max(t) AS last_t FROM tx, cut WHERE t < c GROUP BY src, dst)"
-#: A thin graph with several components: every 97th transfer, as recursive SQL can't keep up with more.
-#: The queries that end in _whole take all transfers; they have no SQL.
-_THIN = f"WITH RECURSIVE {EVENT_TX}, e AS (SELECT DISTINCT src, dst FROM tx WHERE tx_id % 97 = 0)"
+#: The graph of all transfers.
+_ALL = f"WITH RECURSIVE {EVENT_TX}, e AS (SELECT DISTINCT src, dst FROM tx)"
 
 
 def _cut(tx: DataFrame) -> int:
@@ -27,10 +26,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.account_graph(tx, _cut(tx))
 
 
-def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_transfers(spark, sf_dir).where("tx_id % 97 = 0").select("src", "dst").distinct()
-
-
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_transfers(spark, sf_dir).select("src", "dst").distinct()
 
@@ -67,46 +62,34 @@ def _pagerank_sql(rounds: int) -> str:
     return _EDGES + ", n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS deg FROM e GROUP BY src), " + ", ".join(steps) + f" SELECT node, round(r * (SELECT count(*) FROM n), 6) AS pagerank FROM r{rounds}"
 
 
-@query("n5_pagerank", _pagerank_sql(10))
+@query("n5_pagerank", _pagerank_sql(50))
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(G.pagerank(_edges(spark, sf_dir), iterations=10), 6, "pagerank")
+    return rounded(G.pagerank(_edges(spark, sf_dir)), 6, "pagerank")
 
 
-@query("n6_strongly_connected", _THIN + """, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
+@query("n6_strongly_connected", _ALL + """, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 m AS (SELECT node, node AS o FROM n UNION SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src)
 SELECT node, count(*) AS scc_size FROM m GROUP BY node""")
 def n6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.strongly_connected(_thin(spark, sf_dir)).select("node", "scc_size")
-
-
-@query("n6_strongly_connected_whole")
-def n6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strongly_connected(_whole(spark, sf_dir)).select("node", "scc_size")
 
 
-@query("n10_components", _THIN + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-reach AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+@query("n10_components", _ALL + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), n AS (SELECT DISTINCT a AS node FROM u),
+r(node, c) USING KEY (node) AS (SELECT node, node FROM n UNION SELECT u.a, min(r.c) FROM r JOIN u ON u.b = r.node JOIN recurring.r old ON old.node = u.a WHERE r.c < old.c GROUP BY u.a)
+SELECT node, c AS component FROM r""")
 def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.connected_components(_thin(spark, sf_dir))
-
-
-@query("n10_components_whole")
-def n10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connected_components(_whole(spark, sf_dir))
 
 
-@query("n8_period_node_features", f"""WITH {EVENT_TX}, q AS (SELECT tx_id, src, dst, t // 86400 * 86400 AS p FROM tx),
-f AS (SELECT src, dst, min(t) AS t FROM tx GROUP BY src, dst), mu AS (SELECT a.src AS node, greatest(a.t, b.t) AS t FROM f a JOIN f b ON a.src = b.dst AND a.dst = b.src),
-u AS (SELECT src AS acct, t, 1 AS od, 0 AS idg, 0 AS ot, 0 AS it, 0.0::DOUBLE AS ow, 0.0::DOUBLE AS iw, 0 AS rp, NULL AS id FROM f
-  UNION ALL SELECT dst, t, 0, 1, 0, 0, 0, 0, 0, NULL FROM f UNION ALL SELECT src, t, 0, 0, 1, 0, amount, 0, 0, NULL FROM tx
-  UNION ALL SELECT dst, t, 0, 0, 0, 1, 0, amount, 0, NULL FROM tx UNION ALL SELECT node, t, 0, 0, 0, 0, 0, 0, 1, NULL FROM mu
-  UNION ALL SELECT src, p, 0, 0, 0, 0, 0, 0, 0, tx_id * 2 FROM q UNION ALL SELECT dst, p, 0, 0, 0, 0, 0, 0, 0, tx_id * 2 + 1 FROM q),
-c AS (SELECT id, coalesce(sum(od) OVER w, 0) AS od, coalesce(sum(idg) OVER w, 0) AS idg, coalesce(sum(ot) OVER w, 0) AS ot, coalesce(sum(it) OVER w, 0) AS it, coalesce(sum(ow) OVER w, 0) AS ow, coalesce(sum(iw) OVER w, 0) AS iw, coalesce(sum(rp) OVER w, 0) AS rp
-  FROM u WINDOW w AS (PARTITION BY acct ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT * FROM c WHERE id IS NOT NULL)
+@query("n8_period_node_features", f"""WITH {EVENT_TX}, q AS (SELECT *, t // 86400 * 86400 AS p FROM tx),
+f AS (SELECT src, dst, min(p) AS p FROM q GROUP BY src, dst), mu AS (SELECT a.src AS node, greatest(a.p, b.p) AS p FROM f a JOIN f b ON a.src = b.dst AND a.dst = b.src),
+u AS (SELECT src AS acct, p, 1 AS od, 0 AS idg, 0 AS ot, 0 AS it, 0.0::DOUBLE AS ow, 0.0::DOUBLE AS iw, 0 AS rp FROM f UNION ALL SELECT dst, p, 0, 1, 0, 0, 0, 0, 0 FROM f
+  UNION ALL SELECT src, p, 0, 0, 1, 0, amount, 0, 0 FROM q UNION ALL SELECT dst, p, 0, 0, 0, 1, 0, amount, 0 FROM q UNION ALL SELECT node, p, 0, 0, 0, 0, 0, 0, 1 FROM mu),
+g AS (SELECT acct, p, sum(od) AS od, sum(idg) AS idg, sum(ot) AS ot, sum(it) AS it, sum(ow) AS ow, sum(iw) AS iw, sum(rp) AS rp FROM u GROUP BY acct, p),
+s AS (SELECT acct, p, {", ".join(f"coalesce(sum({c}) OVER w, 0) AS {c}" for c in ("od", "idg", "ot", "it", "ow", "iw", "rp"))} FROM g WINDOW w AS (PARTITION BY acct ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT tx_id, {", ".join(f"CAST({a}.idg AS BIGINT) AS {b}_in_degree, CAST({a}.od AS BIGINT) AS {b}_out_degree, CAST({a}.it AS BIGINT) AS {b}_in_tx, CAST({a}.ot AS BIGINT) AS {b}_out_tx, CAST({a}.rp AS BIGINT) AS {b}_reciprocal_partners, round(ln(1 + {a}.iw), 6) AS {b}_log_in_weight, round(ln(1 + {a}.ow), 6) AS {b}_log_out_weight, round(({a}.od - {a}.idg) / CAST({a}.od + {a}.idg + 1 AS DOUBLE), 6) AS {b}_degree_asymmetry, round(CASE WHEN greatest({a}.ow, {a}.iw) > 0 THEN least({a}.ow, {a}.iw) / greatest({a}.ow, {a}.iw) ELSE 0 END, 6) AS {b}_flow_through" for a, b in (("x", "src"), ("y", "dst")))}
-FROM q JOIN s x ON x.id = tx_id * 2 JOIN s y ON y.id = tx_id * 2 + 1""")
+FROM q JOIN s x ON x.acct = q.src AND x.p = q.p JOIN s y ON y.acct = q.dst AND y.p = q.p""")
 def n8(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = G.period_node_features(event_transfers(spark, sf_dir))
     return rounded(made, 6, *[c for c in made.columns if c.endswith(("weight", "asymmetry", "through"))])
@@ -118,15 +101,30 @@ def n7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pair_history(event_transfers(spark, sf_dir))
 
 
-@query("n7_closes_cycle", f"""WITH RECURSIVE {EVENT_TX}, cut AS (SELECT (min(t) + 172800) // 86400 * 86400 AS c FROM tx), e AS (SELECT DISTINCT src, dst FROM tx, cut WHERE t < c),
-reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)
-SELECT tx_id, CASE WHEN src <> dst AND EXISTS (SELECT 1 FROM reach r WHERE r.src = tx.src AND r.dst = tx.dst) AND EXISTS (SELECT 1 FROM reach r WHERE r.src = tx.dst AND r.dst = tx.src)
-  OR src = dst AND EXISTS (SELECT 1 FROM reach a JOIN reach b ON a.dst = b.src AND a.src = b.dst WHERE a.src = tx.src AND a.dst <> a.src) THEN 1 ELSE 0 END AS closes_cycle
-FROM tx, cut WHERE t >= c AND t < c + 86400""")
+@query("n7_closes_cycle", f"""WITH RECURSIVE {EVENT_TX}, q AS (SELECT *, t // 86400 * 86400 AS p FROM tx), f AS (SELECT src, dst, min(p) AS first FROM q GROUP BY src, dst),
+e AS (SELECT d.p, src, dst FROM f JOIN (SELECT DISTINCT p FROM q) d ON first < d.p),
+reach AS (SELECT p, src, dst FROM e UNION SELECT r.p, r.src, e.dst FROM reach r JOIN e ON r.p = e.p AND r.dst = e.src),
+c AS (SELECT DISTINCT a.p, a.src, a.dst FROM reach a JOIN reach b ON a.p = b.p AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst), m AS (SELECT DISTINCT p, src FROM c)
+SELECT tx_id, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.p = q.p AND c.src = q.src AND c.dst = q.dst) OR src = dst AND EXISTS (SELECT 1 FROM m WHERE m.p = q.p AND m.src = q.src) THEN 1 ELSE 0 END AS closes_cycle FROM q""")
 def n7_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tx = event_transfers(spark, sf_dir)
-    cut = (tx.agg(F.min("t")).first()[0] + 172800) // 86400 * 86400
-    return G.closes_cycle(tx, cut)
+    return G.closes_cycle(event_transfers(spark, sf_dir))
+
+
+@query("n8_graph_features")
+def n8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_features(event_transfers(spark, sf_dir))
+
+
+@query("n3_all_node_features")
+def n3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.all_node_features(_edges(spark, sf_dir))
+
+
+@query("n14_account_bank", f"""WITH {EVENT_TX}, s AS (SELECT src AS account, (tx_id + src) % 7 AS bank, 0 AS turn, tx_id FROM tx UNION ALL SELECT dst, (tx_id + dst) % 5, 1, tx_id FROM tx)
+SELECT account, arg_min(bank, struct_pack(turn := turn, tx_id := tx_id)) AS bank FROM s GROUP BY account""")
+def n14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = event_transfers(spark, sf_dir).withColumns({"src_bank": (F.col("tx_id") + F.col("src")) % 7, "dst_bank": (F.col("tx_id") + F.col("dst")) % 5})
+    return G.account_bank(tx)
 
 
 @query("n13_snapshot_edges", f"""WITH {EVENT_TX}, p AS (SELECT unnest(range(CAST(min(t) // 86400 * 86400 AS BIGINT), CAST(max(t) + 86401 AS BIGINT), 86400)) AS period_start FROM tx),
@@ -149,14 +147,9 @@ def n9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.ego_network(tx, 3, (lo + hi) // 2, limit=100).select("tx_id", "hop")
 
 
-@query("n16_hop_distances", _THIN + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+@query("n16_hop_distances", _ALL + """, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 w AS (SELECT 0 AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON w.node = u.a WHERE d < 4) SELECT node, min(d) AS hops FROM w GROUP BY node""")
 def n16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hop_distances(_thin(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 4)
-
-
-@query("n16_hop_distances_whole")
-def n16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.hop_distances(_whole(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 4)
 
 

@@ -108,6 +108,23 @@ def problems(df: DataFrame, tail_cutoff: str | None = None) -> list[str]:
     return [f"{k}: {v}" for k, v in found.asDict().items() if v]
 
 
+def out_of_order(df: DataFrame, position: str, time: str = "timestamp") -> DataFrame:
+    """Rows whose time is before that of an earlier source position.
+
+    Tables have no order, so the check is against the row number of the source.
+    Within a range of positions a running maximum serves; ranges meet by their
+    maxima, one row each.
+    """
+    size = 100_000
+    placed = df.withColumn("__range", F.floor(F.col(position) / size))
+    tops = placed.groupBy("__range").agg(F.max(time).alias("__top"))
+    before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    seen = placed.withColumn("__inside", F.max(time).over(inside)).join(F.broadcast(before), "__range")
+    late = F.col(time) < F.greatest("__inside", "__before")
+    return seen.where(late).drop("__range", "__inside", "__before")
+
+
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """One row a pattern transfer: pattern_id (block number), typology, detail and the fields of a raw row.
 

@@ -119,8 +119,7 @@ def test_graph_cut_off_and_flow(spark):
 def test_cycles_and_pairs(spark):
     day = 86400
     tx = graph_rows(spark, [("A", "B", day, 1), ("B", "C", day, 1), ("C", "A", 2 * day, 1), ("C", "A", 3 * day, 1)])
-    assert {r["tx_id"]: r["closes_cycle"] for r in G.closes_cycle(tx, 2 * day).collect()} == {2: 0}
-    assert {r["tx_id"]: r["closes_cycle"] for r in G.closes_cycle(tx, 3 * day).collect()} == {3: 1}
+    assert {r["tx_id"]: r["closes_cycle"] for r in G.closes_cycle(tx).collect()} == {0: 0, 1: 0, 2: 0, 3: 1}
     p = {r["tx_id"]: r for r in G.pair_history(tx).collect()}
     assert [p[i]["prior_pair_tx"] for i in range(4)] == [0, 0, 0, 1] and [p[i]["reverse_edge_exists"] for i in range(4)] == [0] * 4
 
@@ -213,9 +212,9 @@ def test_whole_graph_queries_take_every_transfer(spark, sf):
 
     one, both = reached([(a, b) for _, a, b in tx]), reached([p for _, a, b in tx for p in ((a, b), (b, a))])
     found = lambda name: dict(tuple(r) for r in QUERIES[name](spark, sf).collect())
-    assert found("n6_strongly_connected_whole") == {n: sum(n in one[m] for m in one[n]) for n in one}
-    assert found("n10_components_whole") == {n: min(both[n]) for n in both}
-    assert found("n16_hop_distances_whole") == {n: h for n, h in both[0].items() if h <= 4}
+    assert found("n6_strongly_connected") == {n: sum(n in one[m] for m in one[n]) for n in one}
+    assert found("n10_components") == {n: min(both[n]) for n in both}
+    assert found("n16_hop_distances") == {n: h for n, h in both[0].items() if h <= 4}
     rings = {}
     for i, a, b in tx:
         rings.setdefault(i % 50, []).append((a, b))
@@ -223,4 +222,4 @@ def test_whole_graph_queries_take_every_transfer(spark, sf):
     for ring, pairs in rings.items():
         hops = reached(pairs)
         want[ring] = int(any(a in hops[b] for a, b in pairs))
-    assert found("n12_has_cycle_whole") == want
+    assert found("n12_has_cycle") == want
