@@ -16,6 +16,8 @@ from .common import join_small, shuffle_partitions
 
 #: Bytes that one bucket may hold while it is shuffled in memory.
 BUCKET_BYTES = 32 << 20
+#: Buckets at least; their number depends on the rows alone, and so does the order.
+BUCKETS = 64
 #: Bytes of a row besides its text.
 ROW_BYTES = 64
 
@@ -36,12 +38,11 @@ def external_shuffle(
     and may share a bucket.  Columns named ``shard`` or ``slot`` are replaced.
     ``df`` is read three times, so pass a stored table.
     """
-    spark = df.sparkSession
     base = df.drop("shard", "slot")
     columns = base.columns
     weight = F.lit(ROW_BYTES) if row_bytes is None else row_bytes
     total = base.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("b")).first()["b"]
-    n = max(shuffle_partitions(spark), -(-int(total) // bucket_bytes))
+    n = max(BUCKETS, -(-int(total) // bucket_bytes))
     placed = base.select(
         F.pmod(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in columns]), F.lit(n)).cast("int").alias("__bucket"),
         F.struct(
@@ -70,7 +71,10 @@ def external_shuffle(
 def write_shards(df: DataFrame, path: str, n_shards: int, seed: int = 17) -> None:
     """Write the rows of ``df`` into ``n_shards`` folders, each in slot order.
 
-    A shard takes several files, each a contiguous run of slots.
+    A shard takes several files, each a contiguous run of slots.  Null texts
+    weigh as empty ones and stay null; repeated rows are all written; an empty
+    table writes no file of rows; other columns are kept, and ``shard`` and
+    ``slot`` replace columns of those names.
     """
     out = external_shuffle(df, n_shards, seed, record_bytes(df))
     files = max(1, shuffle_partitions(df.sparkSession))

@@ -227,7 +227,11 @@ def _label_counts(grammar: Grammar):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """text and toxic of at most ``limit`` labelled documents outside the held fold."""
+    """text and toxic of at most ``limit`` labelled documents outside the held fold.
+
+    Where an id repeats, the least of its texts stands for it, and it is toxic if
+    any of its labels is.
+    """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -236,13 +240,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, held: in
         .limit(limit)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    one = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return one.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> Grammar:
     """Lexicon and label weights from labelled rows outside the held fold.
 
-    Without labels, or with labels of one kind, the built-in words and prior
+    Of the words and stems that the sample makes candidates, the ``LEXICON`` most
+    frequent in toxic texts are looked at in their contexts.  Without labels, or with labels of one kind, the built-in words and prior
     weights stand.
     """
     sample = materialize(training_sample(docs, labels, folds, held), "toxic-sample")
@@ -316,5 +322,9 @@ def score_documents(docs: DataFrame, grammar: Grammar, folds: int = 5, held: int
 
 
 def accepted(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """The documents that are not predicted toxic, all columns as they are."""
+    """The documents that are not predicted toxic, all columns as they are.
+
+    Null texts count as empty and stay; repeated rows are judged alike and all
+    kept or all dropped; an empty table gives an empty result.
+    """
     return docs.where(toxic_score(grammar)(F.col("text")) < 0.5)

@@ -533,3 +533,29 @@ def test_bin_completion_of_many_pieces_a_sequence():
     counts = np.zeros(31, np.int64)
     counts[[7, 6, 5, 4]] = 2, 2, 2, 6  # 7+7+4+4+4+4 and 6+6+5+5+4+4
     assert len(packing.fillings(counts, 30)[0]) == 6 or sum(packing.fillings(counts, 30)[0]) == 30
+
+
+def test_composed_transducers_by_brute_force():
+    """Each label by reading the clause anew: what stands before it, and whether the clause names a target."""
+    rng = random.Random(6)
+    for _ in range(3000):
+        clause = [rng.choice("IITYNRO,O") for _ in range(rng.randint(1, 9))]
+        state, got = (0, 0, int("Y" in clause)), []
+        for s in clause:
+            state, out = toxicity.MACHINE[state, s]
+            got.append(out)
+        for i, s in enumerate(clause):
+            if s not in "IT":
+                continue
+            before = clause[max(0, i - 3) : i]
+            near = "".join(before).rpartition(",")[2]
+            want = s + "-" * ("N" in near) + "r" * ("R" in clause[:i]) + "+" * ("Y" in clause)
+            assert got[i] == want, clause
+
+
+def test_labels_learn_the_same_whatever_text_of_a_repeated_id_comes_first(spark):
+    rows = [(i, ("you are a vile frump " if i % 2 else "a fine day ") + str(i * 31 % 17)) for i in range(60)]
+    rows += [(i, f"other text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.learn(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert (a.insults, a.stems, a.weights, a.base) == (b.insults, b.stems, b.weights, b.base)
