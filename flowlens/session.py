@@ -29,10 +29,14 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in local tests, a folder is made up.
+    Only where that setting is absent and all runs on one machine, as in local
+    tests, a folder is made up; on a cluster its absence is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="flowlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
