@@ -90,13 +90,13 @@ def psi_null(df: DataFrame, feature: str, sample_size: int, draws: int = 200, bi
     """draw, psi between random samples of one stationary population: the statistic's noise.
 
     Each draw takes rows by a seeded hash with the probability that gives
-    ``sample_size`` rows, so nothing is sorted.
+    ``sample_size`` rows, so nothing is sorted, and a row is copied only into the
+    draws that take it.
     """
     n = df.count()
     share = min(1.0, sample_size / max(n, 1))
-    sampled = df.select("tx_id", feature).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).where(
-        F.pmod(F.xxhash64(F.lit(seed), "draw", "tx_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    )
+    takes = lambda d: F.pmod(F.xxhash64(F.lit(seed), d, "tx_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    sampled = df.select(feature, F.explode(F.filter(F.sequence(F.lit(1), F.lit(draws)), takes)).alias("draw"))
     return psi(df, sampled, [feature], "draw", bins=bins).select("draw", "psi")
 
 

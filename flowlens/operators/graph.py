@@ -280,25 +280,48 @@ def account_bank(tx: DataFrame, order: str = "tx_id") -> DataFrame:
     return seen("src", 0).unionByName(seen("dst", 1)).groupBy("account").agg(F.min_by("bank", "at").alias("bank"))
 
 
-def snapshot_edges(tx: DataFrame, delta: int = DAY) -> DataFrame:
-    """period_start, fmt, src, dst, log_count, last_t, recent for every snapshot.
+def snapshot_intervals(tx: DataFrame, delta: int = DAY) -> DataFrame:
+    """fmt, src, dst, log_count, last_t, first_start, last_start: the states of each pair and the snapshots that show them.
 
-    ``recent`` marks pairs that were active in the last ``delta`` before it.
-    Snapshots are a running aggregate: a pair's row repeats for each later
-    period, so filter on period_start to get one.
+    A state holds from the snapshot after the pair's activity to that of its next
+    one, so there is a row for each pair and active period, however many
+    snapshots follow.
     """
-    starts = snapshot_starts(tx, delta)
+    last = snapshot_starts(tx, delta).agg(F.max("period_start").alias("end"))
     pairs = tx.withColumn("p", (F.floor(F.col("t") / delta) * delta).cast("long")).groupBy("fmt", "src", "dst", "p").agg(F.count("*").alias("c"), F.max("t").alias("m"))
     running = Window.partitionBy("fmt", "src", "dst").orderBy("p")
     state = pairs.select(
-        "fmt", "src", "dst", "p", F.sum("c").over(running).alias("c"), F.max("m").over(running).alias("last_t"), F.lead("p").over(running).alias("next_p")
+        "fmt", "src", "dst", F.log1p(F.sum("c").over(running)).alias("log_count"), F.max("m").over(running).alias("last_t"),
+        (F.col("p") + delta).alias("first_start"), F.lead("p").over(running).alias("next_p"),
     )
-    last = starts.agg(F.max("period_start").alias("last_start"))
-    spread = state.crossJoin(F.broadcast(last)).select(
-        F.explode(F.sequence(F.col("p") + delta, F.greatest(F.col("p") + delta, F.coalesce("next_p", "last_start")), F.lit(delta).cast("long"))).alias("period_start"),
-        "fmt", "src", "dst", F.log1p("c").alias("log_count"), "last_t", "last_start",
+    placed = state.crossJoin(F.broadcast(last)).withColumn("last_start", F.coalesce("next_p", "end"))
+    return placed.where("first_start <= last_start and first_start <= end").drop("next_p", "end")
+
+
+def snapshot_edges(tx: DataFrame, period_start: int, delta: int = DAY) -> DataFrame:
+    """fmt, src, dst, log_count, last_t, recent of one snapshot; ``recent``: active in the last ``delta`` before it."""
+    shown = snapshot_intervals(tx, delta).where((F.col("first_start") <= period_start) & (F.col("last_start") >= period_start))
+    return shown.select("fmt", "src", "dst", "log_count", "last_t", (F.col("last_t") >= period_start - delta).alias("recent"))
+
+
+def snapshot_totals(tx: DataFrame, delta: int = DAY) -> DataFrame:
+    """period_start, fmt, n_edges, log_counts, last_t, n_recent of every snapshot that has edges.
+
+    States add to the totals at their first snapshot and are taken off after
+    their last; running sums over the snapshots do the rest.
+    """
+    states = snapshot_intervals(tx, delta)
+    comes = states.select("fmt", F.col("first_start").alias("period_start"), F.lit(1).alias("n"), F.col("log_count").alias("x"), "last_t", F.lit(1).alias("r"))
+    goes = states.select("fmt", (F.col("last_start") + delta).alias("period_start"), F.lit(-1).alias("n"), (-F.col("log_count")).alias("x"), F.lit(None).cast("long").alias("last_t"), F.lit(0).alias("r"))
+    steps = comes.unionByName(goes).groupBy("fmt", "period_start").agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("last_t").alias("last_t"), F.sum("r").alias("r"))
+    grid = tx.select("fmt").distinct().crossJoin(F.broadcast(snapshot_starts(tx, delta)))
+    order = Window.partitionBy("fmt").orderBy("period_start")  # a row a snapshot
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = grid.join(steps, ["fmt", "period_start"], "left").select(
+        "period_start", "fmt", F.sum(zero("n")).over(order).alias("n_edges"), F.sum(zero("x")).over(order).alias("log_counts"),
+        F.max("last_t").over(order).alias("last_t"), zero("r").alias("n_recent"),
     )
-    return spread.where("period_start <= last_start").drop("last_start").withColumn("recent", F.col("last_t") >= F.col("period_start") - delta)
+    return out.where("n_edges > 0")
 
 
 def ego_network(tx: DataFrame, account: int, until: int, limit: int = 200, hops: int = 2) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def cumulative(scored: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score", buckets: int = 256) -> DataFrame:
     """score, tp0/fp0 (above), tp/fp (at or above), p and n (all) for each distinct score.
@@ -114,7 +116,7 @@ def jaccard_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return shared.select("pid", "tid", (F.col("common") / (F.col("np") + F.col("nt") - F.col("common"))).alias("jaccard"))
 
 
-def ring_metrics(predicted: DataFrame, truth: DataFrame, thetas: tuple[float, ...] = (0.3, 0.5, 0.7), max_rounds: int = 50) -> DataFrame:
+def ring_metrics(predicted: DataFrame, truth: DataFrame, thetas: tuple[float, ...] = (0.3, 0.5, 0.7), max_rounds: int = 1000) -> DataFrame:
     """Ring precision and recall under greedy one-to-one matching, for each theta.
 
     Greedy by (jaccard, pid, tid) descending equals taking, round by round,
@@ -129,17 +131,19 @@ def ring_metrics(predicted: DataFrame, truth: DataFrame, thetas: tuple[float, ..
     ).first()
     rows = []
     for theta in thetas:
-        left, matched, total = pairs.where(F.col("jaccard") >= theta).cache(), 0, 0.0
+        left, matched, total = materialize(pairs.where(F.col("jaccard") >= theta), "ring-pairs"), 0, 0.0
         for _ in range(max_rounds):
             key = F.struct("jaccard", "pid", "tid")
             best_p = left.groupBy("pid").agg(F.max(key).alias("k")).select("k")
             best_t = left.groupBy("tid").agg(F.max(key).alias("k")).select("k")
-            taken = best_p.join(best_t, "k").select("k.*").cache()
+            taken = materialize(best_p.join(best_t, "k").select("k.*"), "ring-taken")
             n, s = taken.agg(F.count("*"), F.coalesce(F.sum("jaccard"), F.lit(0.0))).first()
             if not n:
                 break
             matched, total = matched + n, total + s
-            left = left.join(taken.select("pid"), "pid", "left_anti").join(taken.select("tid"), "tid", "left_anti").cache()
+            left = materialize(left.join(taken.select("pid"), "pid", "left_anti").join(taken.select("tid"), "tid", "left_anti"), "ring-pairs")
+        else:
+            raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
         hit, a, b = ((both[k] or 0) for k in ("hit", "a", "b"))
         rows.append((theta, matched / max(np_, 1), matched / max(nt, 1), total / matched if matched else 0.0, hit / max(a, 1), hit / max(b, 1)))
     schema = "theta double, ring_precision double, ring_recall double, mean_jaccard double, member_precision double, member_recall double"

@@ -9,7 +9,7 @@ from ..operators import behaviour as B
 from ..sources.transfers import EVENT_TX, ORDER_TX, event_transfers, order_transfers
 from .registry import query, rounded
 
-_WINDOWS = {"1h": 3600, "24h": 86400, "7D": 604800}
+_WINDOWS = {"5min": 300, "1h": 3600, "24h": 86400, "7D": 604800}
 
 
 def _window_sql(windows: dict[str, int], tx: str = EVENT_TX) -> str:

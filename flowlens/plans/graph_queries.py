@@ -131,10 +131,13 @@ def n14(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT period_start, fmt, src, dst, count(*) AS c, max(t) AS last_t FROM p JOIN tx ON t < period_start GROUP BY ALL)
 SELECT period_start, fmt, count(*) AS n_edges, round(sum(ln(1 + c)), 4) AS log_counts, max(last_t) AS last_t, count(*) FILTER (last_t >= period_start - 86400) AS n_recent FROM s GROUP BY ALL""")
 def n13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = G.snapshot_edges(event_transfers(spark, sf_dir)).groupBy("period_start", "fmt").agg(
-        F.count("*").alias("n_edges"), F.sum("log_count").alias("log_counts"), F.max("last_t").alias("last_t"), F.sum(F.col("recent").cast("long")).alias("n_recent")
-    )
-    return rounded(made, 4, "log_counts")
+    return rounded(G.snapshot_totals(event_transfers(spark, sf_dir)), 4, "log_counts")
+
+
+@query("n13_one_snapshot", f"""WITH {EVENT_TX}, {_CUT} SELECT fmt, src, dst, round(ln(1 + count(*)), 8) AS log_count, max(t) AS last_t, max(t) >= any_value(c) - 86400 AS recent FROM tx, cut WHERE t < c GROUP BY fmt, src, dst""")
+def n13_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = event_transfers(spark, sf_dir)
+    return rounded(G.snapshot_edges(tx, _cut(tx)), 8, "log_count")
 
 
 @query("n9_ego_network", f"""WITH {EVENT_TX}, u AS (SELECT (min(t) + max(t)) // 2 AS u FROM tx), past AS (SELECT *, (tx_id * 7919) % 1000 AS score FROM tx, u WHERE t < u),
