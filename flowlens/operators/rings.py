@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .graph import connected_components
 from .metrics import jaccard_pairs
 
@@ -16,57 +16,57 @@ FEATURES = (
 )
 
 
-def _moved(weights: dict, degree: dict, total: float) -> dict:
-    """Group of each node after moving nodes to the neighbouring group of largest modularity gain."""
-    own = {x: x for x in degree}
-    size = dict(degree)
-    for _ in range(20):
-        moved = False
-        for x in sorted(degree):
-            near: dict = {}
-            for y, w in weights.get(x, {}).items():
-                near[own[y]] = near.get(own[y], 0) + w
-            size[own[x]] -= degree[x]
-            gain = lambda c, x=x, near=near: near.get(c, 0) - degree[x] * size.get(c, 0) / total
-            best = max(sorted({*near, own[x]}), key=gain)
-            best = best if gain(best) > gain(own[x]) + 1e-12 else own[x]
-            moved |= best != own[x]
-            own[x] = best
-            size[best] = size.get(best, 0) + degree[x]
-        if not moved:
-            break
-    return own
-
-
-def _communities(group: pd.DataFrame) -> pd.DataFrame:
-    """Split one oversized component by the Louvain method: move nodes, merge groups, repeat."""
-    weights: dict = {}
-    for a, b in zip(group["src"], group["dst"], strict=True):
-        if a != b:
-            for x, y in ((a, b), (b, a)):
-                weights.setdefault(x, {})[y] = weights.get(x, {}).get(y, 0) + 1
-    nodes = sorted(weights)
-    degree = {x: sum(w.values()) for x, w in weights.items()}
-    total = sum(degree.values()) or 1
-    part = {x: x for x in nodes}
+def _moves(links: DataFrame, own: DataFrame, turn: int) -> DataFrame:
+    """x, degree, total, g, moved: each node in the neighbouring group of largest modularity gain.
+
+    Half of the nodes, by a hash that changes with the turn, may move at once, so
+    that neighbours don't swap for ever.
+    """
+    keys = ["component", "x"]
+    sizes = own.groupBy("component", "g").agg(F.sum("degree").alias("size"))
+    near = links.join(own.select("component", F.col("x").alias("y"), "g"), ["component", "y"]).groupBy(*keys, "g").agg(F.sum("w").alias("k"))
+    stay = own.select(*keys, "g", F.lit(0).cast("long").alias("k"))
+    options = near.unionByName(stay).groupBy(*keys, "g").agg(F.sum("k").alias("k")).join(sizes, ["component", "g"])
+    at_home = F.col("g") == F.col("g0")
+    gain = F.col("k") - F.col("degree") * (F.col("size") - F.when(at_home, F.col("degree")).otherwise(0)) / F.col("total")
+    rated = options.join(own.withColumnRenamed("g", "g0"), keys).withColumn("gain", gain)
+    best = rated.groupBy(*keys, "degree", "total", "g0").agg(F.max(F.when(at_home, F.col("gain"))).alias("home"), F.max("gain").alias("gain"), F.min_by("g", F.struct(-F.col("gain"), F.col("g"))).alias("best"))
+    goes = (F.col("gain") > F.col("home") + 1e-9) & (F.pmod(F.xxhash64("x", F.lit(turn)), F.lit(2)) == 0)
+    return best.select(*keys, "degree", "total", F.when(goes, F.col("best")).otherwise(F.col("g0")).alias("g"), goes.alias("moved"))
+
+
+def communities(edges: DataFrame, turns: int = 20) -> DataFrame:
+    """node, component, part (its least node) of components (component, src, dst) by the Louvain method, all at once.
+
+    Nodes move to neighbouring groups in up to ``turns`` turns, groups become
+    the nodes of the next level, and so on until none merge.  Every turn is a few
+    groupings over links, so no component is gathered.
+    """
+    pairs = edges.where("src <> dst")
+    links = pairs.select("component", F.col("src").alias("x"), F.col("dst").alias("y")).unionAll(pairs.select("component", "dst", "src"))
+    links = materialize(links.groupBy("component", "x", "y").agg(F.count("*").alias("w")), "community-links")
+    degree = links.groupBy("component", "x").agg(F.sum("w").cast("double").alias("degree"))
+    total = degree.groupBy("component").agg(F.sum("degree").alias("total"))
+    own = materialize(degree.join(total, "component").withColumn("g", F.col("x")), "community-own")
+    part = own.select("component", F.col("x").alias("node"), F.col("x").alias("part"))
     while True:
-        own = _moved(weights, degree, total)
-        if all(own[x] == x for x in own):
+        still = 0
+        for turn in range(turns):
+            after = materialize(_moves(links, own, turn), "community-own")
+            still = 0 if after.where("moved").limit(1).count() else still + 1
+            own = after.drop("moved")
+            if still == 3:
+                break
+        if not own.where("g <> x").limit(1).count():
             break
-        part = {x: own[part[x]] for x in nodes}
-        merged: dict = {}
-        for x, near in weights.items():
-            for y, w in near.items():
-                if own[x] != own[y]:
-                    merged.setdefault(own[x], {})[own[y]] = merged.get(own[x], {}).get(own[y], 0) + w
-        sums: dict = {}
-        for x, d in degree.items():
-            sums[own[x]] = sums.get(own[x], 0) + d
-        weights, degree = merged, sums
-    least: dict = {}
-    for x in nodes:
-        least[part[x]] = min(least.get(part[x], x), x)
-    return pd.DataFrame({"node": nodes, "component": group["component"].iloc[0], "part": [least[part[x]] for x in nodes]})
+        to = own.select("component", "x", "g")
+        part = materialize(part.join(to.withColumnRenamed("x", "part"), ["component", "part"]).select("component", "node", F.col("g").alias("part")), "community-part")
+        ends = links.join(to.withColumnRenamed("g", "gx"), ["component", "x"]).join(to.select("component", F.col("x").alias("y"), F.col("g").alias("gy")), ["component", "y"]).where("gx <> gy")
+        links = materialize(ends.groupBy("component", F.col("gx").alias("x"), F.col("gy").alias("y")).agg(F.sum("w").alias("w")), "community-links")
+        merged = own.groupBy("component", F.col("g").alias("x"), "total").agg(F.sum("degree").alias("degree"))
+        own = materialize(merged.withColumn("g", F.col("x")), "community-own")
+    names = part.groupBy("component", "part").agg(F.min("node").alias("least"))
+    return part.join(names, ["component", "part"]).select("node", "component", F.col("least").alias("part"))
 
 
 def candidates(scored: DataFrame, quantile: float = 0.99, max_size: int = 50, min_size: int = 3) -> DataFrame:
@@ -82,9 +82,9 @@ def candidates(scored: DataFrame, quantile: float = 0.99, max_size: int = 50, mi
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))
     edges = hot.join(comps.withColumnRenamed("node", "src"), "src").join(sizes, "component")
     big = edges.where(F.col("n") > max_size).select("component", "src", "dst")
-    kind = dict(comps.dtypes)["node"]
-    split = big.groupBy("component").applyInPandas(_communities, f"node {kind}, component {kind}, part {kind}")
-    parts = comps.join(split, ["node", "component"], "left").select("node", F.coalesce("part", "component").alias("part"))
+    parts = comps.select("node", F.col("component").alias("part"))
+    if big.limit(1).count():
+        parts = comps.join(communities(big), ["node", "component"], "left").select("node", F.coalesce("part", "component").alias("part"))
     ranked = parts.groupBy("part").agg(F.sort_array(F.collect_set("node")).alias("members")).where(F.size("members") >= min_size)
     order = Window.orderBy(F.desc(F.size("members")), F.col("members")[0])
     rings = ranked.withColumn("ring_id", F.format_string("R-%04d", F.row_number().over(order)))  # a row a candidate
@@ -116,19 +116,17 @@ def candidate_features(edges: DataFrame) -> DataFrame:
 
 
 def has_cycle(pairs: DataFrame) -> DataFrame:
-    """ring_id, has_cycle: whether peeling off accounts without payers leaves any (a ring is small)."""
-
-    def peel(group: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(group["src"], group["dst"], strict=True))
-        while left:
-            paid = {b for _, b in left}
-            inner = {e for e in left if e[0] in paid}
-            if len(inner) == len(left):
-                break
-            left = inner
-        return pd.DataFrame({"ring_id": [group["ring_id"].iloc[0]], "has_cycle": [int(bool(left))]})
-
-    return pairs.groupBy("ring_id").applyInPandas(peel, f"ring_id {dict(pairs.dtypes)['ring_id']}, has_cycle int")
+    """ring_id, has_cycle: whether peeling off accounts without payers or payees leaves any pair; all rings at once."""
+    left = materialize(pairs.select("ring_id", "src", "dst").distinct(), "ring-cycle")
+    n = left.count()
+    while n:
+        paid, pays = left.select("ring_id", F.col("dst").alias("src")).distinct(), left.select("ring_id", F.col("src").alias("dst")).distinct()
+        left = materialize(left.join(paid, ["ring_id", "src"], "left_semi").join(pays, ["ring_id", "dst"], "left_semi").select("ring_id", "src", "dst"), "ring-cycle")
+        before, n = n, left.count()
+        if n == before:
+            break
+    cyclic = left.select("ring_id").distinct().withColumn("has_cycle", F.lit(1))
+    return pairs.select("ring_id").distinct().join(cyclic, "ring_id", "left").select("ring_id", F.coalesce("has_cycle", F.lit(0)).alias("has_cycle"))
 
 
 def truth_rings(patterns: DataFrame, tx: DataFrame, window_tx: DataFrame) -> DataFrame:

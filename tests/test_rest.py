@@ -223,3 +223,26 @@ def test_whole_graph_queries_take_every_transfer(spark, sf):
         hops = reached(pairs)
         want[ring] = int(any(a in hops[b] for a, b in pairs))
     assert found("n12_has_cycle") == want
+
+
+def test_communities_by_modularity(spark):
+    """Planted groups, sparsely linked, come out; no single move of a node would better the modularity."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(5):
+        rows += [(g * 8 + int(a), g * 8 + int(b)) for a, b in rng.integers(0, 8, (40, 2))]
+    rows += [(g * 8, (g + 1) % 5 * 8 + 1) for g in range(5)]
+    edges = spark.createDataFrame([(0, a, b) for a, b in rows], "component long, src long, dst long")
+    part = {r["node"]: r["part"] for r in R.communities(edges).collect()}
+    assert all(len({part[n] for n in range(g * 8, g * 8 + 8) if n in part}) == 1 for g in range(5)) and len(set(part.values())) == 5
+    assert all(part[n] == min(m for m in part if part[m] == part[n]) for n in part)
+    weight = {}
+    for a, b in rows:
+        if a != b:
+            weight[a, b] = weight.get((a, b), 0) + 1
+            weight[b, a] = weight.get((b, a), 0) + 1
+    degree = {n: sum(w for (a, _), w in weight.items() if a == n) for n in part}
+    total = sum(degree.values())
+    quality = lambda p: sum(w for (a, b), w in weight.items() if p[a] == p[b]) / total - sum(sum(degree[n] for n in p if p[n] == g) ** 2 for g in set(p.values())) / total**2
+    best = quality(part)
+    assert all(quality(part | {n: g}) <= best + 1e-9 for n in part for g in set(part.values()))
