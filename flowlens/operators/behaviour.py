@@ -14,6 +14,11 @@ which come from one small row an account and bucket.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
+from math import log1p, sqrt
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,22 +141,62 @@ def rolling_velocity(tx: DataFrame, windows: dict[str, int] | None = None) -> Da
     return out
 
 
+class _Past:
+    """Count, mean, squared deviations, maximum and median of what was added: each step costs the logarithm of the count."""
+
+    def __init__(self):
+        self.n, self.mean, self.squares, self.most = 0, 0.0, 0.0, float("-inf")
+        self.low: list[float] = []  # the lower half, negated
+        self.high: list[float] = []
+
+    def add(self, x: float) -> None:
+        self.n += 1
+        apart = x - self.mean
+        self.mean += apart / self.n
+        self.squares += apart * (x - self.mean)
+        self.most = max(self.most, x)
+        heappush(self.high, -heappushpop(self.low, -x))
+        if len(self.high) > len(self.low):
+            heappush(self.low, -heappop(self.high))
+
+    def median(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+
+
+def _baselines(min_history: int):
+    """Rows come sorted by sender and time; only the amounts of the sender at hand are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sender, past = None, _Past()
+        for batch in batches:
+            rows = []
+            for src, amount in zip(batch["src"], batch["amount"], strict=True):
+                if src != sender:
+                    sender, past = src, _Past()
+                enough = past.n >= min_history
+                if enough:
+                    std = sqrt(past.squares / (past.n - 1)) if past.n > 1 else 0.0
+                    rows.append(((amount - past.mean) / (std + 1e-6), amount / (past.most + 1e-6), log1p(amount) - log1p(past.median()), 1))
+                else:
+                    rows.append((None, None, None, 0))
+                past.add(amount)
+            out = pd.DataFrame(rows, columns=["amt_z_personal", "amt_vs_personal_max", "amt_log_ratio_median", "has_history"]).astype({"has_history": "int32"})
+            yield pd.concat([batch[["tx_id"]], out, batch[["counterparty_is_new"]]], axis=1)
+
+    return run
+
+
 def personal_baseline(tx: DataFrame, min_history: int = 5) -> DataFrame:
-    """Row-order baselines of the sender: earlier rows by (t, tx_id), simultaneous ones included."""
-    past = Window.partitionBy("src").orderBy("t", "tx_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Row-order baselines of the sender: earlier rows by (t, tx_id), simultaneous ones included.
+
+    One pass over the sorted rows of each sender: a window with an exact median
+    would sort its whole past again for every row.  ``min_history`` is 1 or more.
+    """
     pair = Window.partitionBy("src", "dst").orderBy("t", "tx_id")
-    n = F.count("amount").over(past)
-    enough = lambda c: F.when(n >= min_history, c)
-    amount = F.col("amount")
-    median = F.percentile("amount", F.lit(0.5)).over(past)
-    return tx.select(
-        "tx_id",
-        enough((amount - F.avg("amount").over(past)) / (F.stddev_samp("amount").over(past) + 1e-6)).alias("amt_z_personal"),
-        enough(amount / (F.max("amount").over(past) + 1e-6)).alias("amt_vs_personal_max"),
-        enough(F.log1p("amount") - F.log1p(median)).alias("amt_log_ratio_median"),
-        (n >= min_history).cast("int").alias("has_history"),
-        (F.row_number().over(pair) == 1).cast("int").alias("counterparty_is_new"),
-    )
+    rows = tx.select("tx_id", "src", "t", F.col("amount").cast("double").alias("amount"), (F.row_number().over(pair) == 1).cast("int").alias("counterparty_is_new"))
+    kind = dict(tx.dtypes)["tx_id"]
+    schema = f"tx_id {kind}, amt_z_personal double, amt_vs_personal_max double, amt_log_ratio_median double, has_history int, counterparty_is_new int"
+    return rows.repartition("src").sortWithinPartitions("src", "t", "tx_id").mapInPandas(_baselines(min_history), schema)
 
 
 def interarrival(tx: DataFrame) -> DataFrame:
