@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread
 from .lm import fold
 
 #: Labelled training rows that the grammar is fitted on, at most (by a hash of the id).
@@ -313,7 +313,7 @@ def score_documents(docs: DataFrame, grammar: Grammar, folds: int = 5, held: int
     clause.  Repeated rows are scored one by one.  An empty table gives an
     empty result.  Columns other than doc_id and text are ignored.
     """
-    scored = docs.select(
+    scored = spread(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold(F.col("doc_id"), folds) == held).alias("held_out"),
         toxic_score(grammar)(F.col("text")).alias("score"),
