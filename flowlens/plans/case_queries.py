@@ -55,7 +55,7 @@ def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(flags, "tx_id")
 
 
-@query("m2_rules", f"""WITH {EVENT_TX}, b AS (SELECT min(t) + (max(t) - min(t)) * CAST(0.6 AS DOUBLE) AS b1 FROM tx),
+_RULES = f"""WITH {EVENT_TX}, b AS (SELECT min(t) + (max(t) - min(t)) * CAST(0.6 AS DOUBLE) AS b1 FROM tx),
 o AS (SELECT *, ln(1 + amount) AS la, count(*) OVER h AS c1, count(*) OVER p AS n, avg(ln(1 + amount)) OVER p AS m, stddev_pop(ln(1 + amount)) OVER p AS sd FROM tx
   WINDOW h AS (PARTITION BY src ORDER BY t RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), p AS (PARTITION BY src ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 x AS (SELECT tx_id, dst AS acct, t, 0 AS ev FROM tx UNION ALL SELECT NULL, dst, t, 1 FROM tx),
@@ -64,15 +64,25 @@ y AS (SELECT tx_id, src AS acct, t, amount, 0 AS ev FROM tx UNION ALL SELECT NUL
 j AS (SELECT tx_id, ev, t - max(CASE WHEN ev = 1 THEN t END) OVER (PARTITION BY acct ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since,
   amount / (coalesce(sum(ev * amount) OVER (PARTITION BY acct ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING), 0) + 1) AS ratio FROM y),
 f AS (SELECT o.*, fan, since, ratio, NOT EXISTS (SELECT 1 FROM tx z WHERE z.src = o.src AND z.dst = o.dst AND z.t < o.t) AS fresh FROM o JOIN i ON i.ev = 0 AND i.tx_id = o.tx_id JOIN j ON j.ev = 0 AND j.tx_id = o.tx_id),
-q AS (SELECT quantile_cont(la, 0.99) AS q1, quantile_cont(c1, 0.99) AS q2, quantile_cont(CAST(fan AS DOUBLE), 0.99) AS q3 FROM f, b WHERE t <= b1)
-SELECT tx_id, CAST(la > q1 AS INTEGER) + CAST(coalesce(CASE WHEN n >= 3 THEN (la - m) / (sd + 1e-3) END > 3, FALSE) AS INTEGER) + CAST(c1 > q2 AS INTEGER) + CAST(fan > q3 AS INTEGER)
-  + CAST(coalesce(since <= 3600 AND ratio BETWEEN 0.5 AND 1.5, FALSE) AS INTEGER) + CAST(fresh AND src % 5 <> dst % 5 AS INTEGER) + CAST(fmt = 'purchase' AS INTEGER) AS n_hits FROM f, q""")
+q AS (SELECT quantile_cont(la, 0.99) AS q1, quantile_cont(c1, 0.99) AS q2, quantile_cont(CAST(fan AS DOUBLE), 0.99) AS q3 FROM f, b WHERE t <= b1)"""
+_HITS = """CAST(la > q1 AS INTEGER) + CAST(coalesce(CASE WHEN n >= 3 THEN (la - m) / (sd + 1e-3) END > 3, FALSE) AS INTEGER) + CAST(c1 > q2 AS INTEGER) + CAST(fan > q3 AS INTEGER)
+  + CAST(coalesce(since <= 3600 AND ratio BETWEEN 0.5 AND 1.5, FALSE) AS INTEGER) + CAST(fresh AND src % 5 <> dst % 5 AS INTEGER) + CAST(fmt = 'purchase' AS INTEGER)"""
+
+
+@query("m2_rules", f"{_RULES} SELECT tx_id, {_HITS} AS n_hits FROM f, q")
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _featured(spark, sf_dir)
     cut = S.boundaries(event_transfers(spark, sf_dir)).train_end
     return C.rule_hits(df, C.fit_rules(df.where(F.col("t") <= cut))).select("tx_id", F.size("rule_hits").alias("n_hits"))
 
 
+@query("p10_rule_score", f"{_RULES} SELECT tx_id, round({_HITS} + 1e-3 * la / 30, 8) AS rule_score FROM f, q")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _featured(spark, sf_dir)
+    cut = S.boundaries(event_transfers(spark, sf_dir)).train_end
+    return rounded(C.rule_hits(df, C.fit_rules(df.where(F.col("t") <= cut))).select("tx_id", "rule_score"), 8, "rule_score")
+
+
 @query("m1_amount_ranking", f"WITH {EVENT_TX} SELECT tx_id, amount AS score FROM tx")
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_transfers(spark, sf_dir).select("tx_id", F.col("amount").alias("score"))
@@ -135,12 +145,25 @@ def n17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the alerts, explained by the contributions of boosted trees."""
+    from .experiment_queries import m14
+
     tx = _scored(spark, sf_dir)
-    parts = F.array(*[F.struct(F.lit(n).alias("feature"), v.cast("double").alias("value"), (v * w).cast("double").alias("contribution")) for n, v, w in (("amt_z_src", F.col("amount") / 100, 0.5), ("src_out_cnt_24h", F.col("tx_id") % 7, 0.1), ("src_pagerank", F.col("tx_id") % 3, -0.2))])
-    alerts = tx.where("score >= 0.99").withColumns({"rule_hits": F.array(F.lit("large_amount")), "contributions": parts})
+    explained = m14(spark, sf_dir).select("tx_id", "contributions")
+    alerts = tx.where("score >= 0.99").withColumn("rule_hits", F.array(F.lit("large_amount"))).join(explained, "tx_id")
     return E.build_packets(alerts, tx, "demo", 0.99)
 
 
+@query("x1_packet_records", f"""WITH {_SCORED}, al AS (SELECT * FROM s WHERE score >= 0.99),
+h AS (SELECT DISTINCT al.tx_id AS alert, s.tx_id AS tx, s.score, s.t FROM al JOIN s ON (s.src IN (al.src, al.dst) OR s.dst IN (al.src, al.dst)) AND s.t < al.t),
+r AS (SELECT *, row_number() OVER (PARTITION BY alert ORDER BY score DESC, t DESC, tx) AS k FROM h)
+SELECT CAST(al.tx_id AS VARCHAR) AS tx_id, al.tx_id || coalesce((SELECT string_agg(',' || tx, '' ORDER BY k) FROM r WHERE k <= 40 AND alert = al.tx_id), '') AS source_record_ids, score AS risk_score FROM al""")
+def x1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = _scored(spark, sf_dir)
+    packets = E.build_packets(tx.where("score >= 0.99").withColumn("rule_hits", F.array(F.lit("large_amount"))), tx, "demo", 0.99)
+    return packets.select("tx_id", F.array_join("source_record_ids", ",").alias("source_record_ids"), "risk_score")
+
+
 @query("x1_packets")
 def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).select("tx_id", F.to_json(F.struct("*")).alias("packet"))

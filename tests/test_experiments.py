@@ -191,3 +191,13 @@ def test_source_order_and_names(spark):
     names = ["log_amount", "is_cross_bank", "src_out_cnt_24h", "dst_pagerank", "other_name"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(fn.feature_label(F.col("n"))).collect()]
     assert got == ["Amount (log USD)", "Sender and receiver at different banks", "Sender's payments: count, last 24h", "Receiver: PageRank (earlier graph)", "other name"]
+
+
+def test_search_and_subsample(spark):
+    df = stream(spark, 10**6)
+    train, val = df.where("tx_id < 250"), df.where("tx_id >= 250")
+    best, log = C.random_search(train, val, lambda p: C.MlScorer("logistic", ["x"], **p), {"regParam": [0.01, 0.1, 10.0]}, trials=3, seed=1)
+    assert len(log) == 3 and best in [p for p, _ in log] and max(v for _, v in log) == dict((str(p), v) for p, v in log)[str(best)]
+    few = C.subsample_negatives(df, 0.3, 5)
+    assert few.where("label = 1").count() == df.where("label = 1").count() and 0.2 < few.where("label = 0").count() / df.where("label = 0").count() < 0.4
+    assert few.exceptAll(C.subsample_negatives(df.repartition(3), 0.3, 5)).count() == 0
