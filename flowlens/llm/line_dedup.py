@@ -183,8 +183,8 @@ def _cut_all(min_words: int):
     return F.pandas_udf(cut, "text string, spans array<struct<first:int,stop:int>>")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with later copies of line runs deleted, and their spans in ``removed_lines``.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "removed_lines") -> DataFrame:
+    """``docs`` with later copies of line runs deleted, and their spans in the column ``into``.
 
     A line goes if it lies in a run of consecutive non-blank lines, of at least
     ``min_words`` words in all, that also starts at an earlier place.  Places
@@ -192,13 +192,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     space at their ends.  Blank lines stay, unless nothing else is left: then
     the text is empty.  Null texts stay null.  Rows that repeat both id and
     text count as one and are cut alike.  An empty table gives an empty result.
-    Other columns are kept; ``removed_lines`` replaces a column of that name.
+    Other columns are kept; ``into`` replaces a column of that name.
     """
-    base = docs.drop("removed_lines")
+    base = docs.drop(into)
     runs = repeated_runs(docs, min_words)
     cuts = runs.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "lines")).alias("__cuts"))
     keyed = base.withColumn("__key0", _row_key())
     same = (F.col("__key0") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
     joined = keyed.join(cuts, same, "left").withColumn("__done", _cut_all(min_words)(F.col("text"), F.col("__cuts")))
     kept = [F.col("__done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
-    return joined.select(*kept, F.col("__done.spans").alias("removed_lines"))
+    return joined.select(*kept, F.col("__done.spans").alias(into))
