@@ -30,8 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     empty text.  Rows that repeat both id and text are cut alike.  An empty table
     stays empty.
     """
-    cut = line_dedup.dedup_lines(docs)
-    size = F.when(F.size("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    cut = line_dedup.dedup_lines(docs, into="__removed")
+    size = F.when(F.size("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", size).select(*docs.columns)
 
 
