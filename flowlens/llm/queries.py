@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, lm, mixing, order_minhash, packing, sharding, simhash, topk_search, toxicity
-from .common import table
+from . import digest_index, filter_audit, html_extract, line_dedup, lm, mixing, order_minhash, packing, sharding, simhash, token_alignment, topk_search, toxicity
+from .common import scratch_path, table
 
 
-def tokenizer_path() -> str:
-    """Where the public byte-level vocabulary lies."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies, by default the byte-level one."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_chain(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_index.dedup_batches(table(spark, sf_dir, "documents"), scratch_path(spark, "digest-index"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nra_topk": op1_nra_topk,
     "op2_entropy_mixing": op2_entropy_mixing,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_trie": op8_simhash_trie,
     "op9_backoff_automaton": op9_backoff_automaton,
     "op10_order_minhash": op10_order_minhash,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_digest_index": op13_digest_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,5 +107,15 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_digest_index": """
+WITH d AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW same AS (PARTITION BY text_sha256)
 """,
 }
