@@ -87,6 +87,13 @@ def test_alignment_of_the_table(spark, sf, local):
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) == row
 
 
+def test_byte_tokens_are_those_of_the_file(local):
+    side, _ = token_alignment._side(A)
+    texts = [t for t in local["text"] if t] + [t for t in ODD_TEXTS if t] + [" " * 5000 + "x", "x" * 50_000, "日本語" * 9000]
+    for text, ids in zip(texts, side.encode(texts), strict=True):
+        assert ids.tolist() == side.model.tokenizer.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_alignment_by_key_beyond_the_bound(spark, docs, monkeypatch):
     some = docs.where("doc_id < 40")
     want = aligned(some)
