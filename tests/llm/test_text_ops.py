@@ -466,8 +466,40 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
-def test_extract_table(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<section>{}</section>", "<blockquote>{}</blockquote>", "<p>{}</p>"])
+def test_article_text_that_pages_share_stays(spark, frame):
+    """Also at the article's edge; shared links, a newsletter and reader comments in the article go."""
+    shared = frame.format("All pages share this passage of the article, word for word.")
+    own = lambda i: f"<p>Page {i} has a longer text of its own, which no other page has, about the number {i * 7919}.</p>"
+    end = '<div class="links"><a href=1>Read this next</a></div><div class="newsletter"><p>Sign up now</p></div><div class="share">Tell a friend</div>'
+    readers = "".join(f'<li class="{{}}"><b class="user-name">Reader {j}</b><p>me too {j}</p></li>' for j in range(3))
+    rows, want = [], {}
+    for i in range(6):
+        comments = f'<ul class="comment-list-items">{readers.format(*["reader-comment"] * 3)}</ul>' if i % 2 else f'<ul class="replies">{readers.format(*["x1", "x2", "x3"])}</ul>'
+        rows.append((i, "http://shared.example/a", f"<body><article><h1>T{i}</h1>{shared}{own(i)}{end}{comments}</article><div>Site</div></body>"))
+        rows.append((10 + i, "http://last.example/a", f"<body><article><h1>T{i}</h1>{own(i)}{shared}</article><div>Site</div></body>"))
+        text = [f"T{i}", "All pages share this passage of the article, word for word.", f"Page {i} has a longer text of its own, which no other page has, about the number {i * 7919}."]
+        want[i], want[10 + i] = "\n".join(text), "\n".join([text[0], text[2], text[1]])
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_lists_and_bylines_are_no_comments():
+    page = '<article class="post comments-open"><div class="author">Ann</div><ul><li>One<p>more</li><li>Two<p>more</li></ul><section><h2>Part</h2><p>x</section><section><h2>Part</h2><p>y</section></article>'
+    assert html_extract.main_text(page) == "Ann\nOne\nmore\nTwo\nmore\nPart\nx\nPart\ny"
+
+
+def test_the_same_text_elsewhere_is_no_template(spark):
+    """A headline that other pages of the host show beside their articles stays in its own."""
+    page = lambda i, head, aside: f"<body><div class=ad>{aside}</div><article><h1>{head}</h1><p>Text {i} of its own, long enough to be an article.</p></article></body>"
+    rows = [(i, "http://heads.example/a", page(i, "Common head" if i else "Other", "x" if i else "Common head")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{'Common head' if i else 'Other'}\nText {i} of its own, long enough to be an article." for i in range(4)}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_extract_table(spark, size):
+    pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
     for r in pages.collect():
         article = re.search("<article>(.*)</article>", r["html"], re.S).group(1)
