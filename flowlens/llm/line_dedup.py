@@ -195,10 +195,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "remove
     Other columns are kept; ``into`` replaces a column of that name.
     """
     base = docs.drop(into)
+    row = F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("__row")  # so that no column's name clashes
     runs = repeated_runs(docs, min_words)
     cuts = runs.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.collect_list(F.struct("start", "lines")).alias("__cuts"))
-    keyed = base.withColumn("__key0", _row_key())
-    same = (F.col("__key0") == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    joined = keyed.join(cuts, same, "left").withColumn("__done", _cut_all(min_words)(F.col("text"), F.col("__cuts")))
-    kept = [F.col("__done.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    keyed = base.select(row, _row_key().alias("__key0"))
+    same = (F.col("__key0") == F.col("__key")) & F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__id"))
+    joined = keyed.join(cuts, same, "left").withColumn("__done", _cut_all(min_words)(F.col("__row.text"), F.col("__cuts")))
+    kept = [(F.col("__done.text") if c == "text" else F.col("__row")[c]).alias(c) for c in base.columns]
     return joined.select(*kept, F.col("__done.spans").alias(into))

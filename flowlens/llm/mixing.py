@@ -96,9 +96,10 @@ def repeat_by_mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     so pass a stored table; its columns must be hashable (no maps).
     """
     row = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(seed), *row), "__k2": F.xxhash64(F.lit(~seed), *row)})
+    keys = [F.xxhash64(F.lit(seed), *row).alias("__k1"), F.xxhash64(F.lit(~seed), *row).alias("__k2")]
+    keyed = docs.select(F.struct(*row).alias("__row"), *keys)  # so that no column's name clashes
     taken = materialize(
-        _mixed(keyed, (5.0, 2.0, 1.0), 1.5, 2, seed, ["__k1", "__k2"])
+        _mixed(docs.select("doc_id", "source", "text", *keys), (5.0, 2.0, 1.0), 1.5, 2, seed, ["__k1", "__k2"])
         .groupBy("__k1", "__k2").agg(F.count("*").alias("__m"), F.sum("copies").alias("__c")).where("__c > 0"),
         "mix-taken",
     )
@@ -108,12 +109,12 @@ def repeat_by_mix(docs: DataFrame, seed: int = 29) -> DataFrame:
     each = F.floor(F.col("__c") / F.col("__m")).cast("int")
     whole = joined.where(each > 0).withColumn("__i", F.explode(F.sequence(F.lit(1), each)))
     if not taken.where("__m > 1").limit(1).count():
-        return whole.select(*docs.columns)
+        return whole.select("__row.*")
     over = (F.col("__c") % F.col("__m")).cast("int")
     one = joined.where((F.col("__m") > 1) & (over > 0)).dropDuplicates(["__k1", "__k2"])
     lots = one.withColumn("__g", F.explode(F.sequence(F.lit(0), F.floor((over - 1) / LOT).cast("int")))).repartition("__k1", "__k2", "__g")
     rest = lots.withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.lit(LOT), over - F.col("__g") * LOT))))
-    return whole.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return whole.select("__row.*").unionByName(rest.select("__row.*"))
 
 
 def _numbered(sized: DataFrame) -> DataFrame:
@@ -173,7 +174,8 @@ def _mixed(
         ).cast("long"),
     )
     rounded = materialize(rounded.drop("__i", "__s"), "mix-rounded")
-    repaired = join_small(rounded, _repairs(rounded, rates, limit), ["__key", "doc_id", "__u"], "left")
+    rounded = rounded.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    repaired = join_small(rounded, _repairs(rounded, rates, limit), ["__key", "__id", "__u"], "left")
     return repaired.select(
         "doc_id", "source", "size", "source_size", "target", "rate", "__h", *carried,
         (F.col("copies") + F.coalesce(F.col("__delta"), F.lit(0))).alias("copies"),
@@ -189,19 +191,19 @@ def _repairs(rounded: DataFrame, rates: DataFrame, limit: int) -> DataFrame:
     """
     octave = F.floor(F.log2("size")).cast("int")
     pick = (
-        rounded.where((F.col("size") > 0) & F.col("doc_id").isNotNull())
+        rounded.where("size > 0")
         .groupBy("__key", octave.alias("__o"), F.pmod(F.col("__u"), F.lit(16)).alias("__b"))
-        .agg(F.min(F.struct("__u", "doc_id", "size", "copies")).alias("c"))
+        .agg(F.min(F.struct("__u", "__id", "size", "copies")).alias("c"))
         .groupBy("__key")
         .agg(
-            F.reverse(F.array_sort(F.collect_list(F.struct("c.size", "c.__u", "c.doc_id", "c.copies")))).alias("__cand")
+            F.reverse(F.array_sort(F.collect_list(F.struct("c.size", "c.__u", "c.__id", "c.copies")))).alias("__cand")
         )
     )
     left = rounded.groupBy("__key").agg(F.sum(F.col("size") * F.col("copies")).alias("__taken"))
     state = left.join(rates, "__key").join(pick, "__key")
     start = F.struct(
         (F.col("target") - F.col("__taken")).cast("double").alias("resid"),
-        F.array().cast("array<struct<doc_id:bigint,h:bigint,delta:bigint>>").alias("picks"),
+        F.array().cast("array<struct<id:bigint,h:bigint,delta:bigint>>").alias("picks"),
     )
 
     def fold(acc: Column, x: Column) -> Column:
@@ -212,10 +214,10 @@ def _repairs(rounded: DataFrame, rates: DataFrame, limit: int) -> DataFrame:
             F.when(delta == 0, acc["picks"]).otherwise(
                 F.concat(
                     acc["picks"],
-                    F.array(F.struct(x["doc_id"].cast("long").alias("doc_id"), x["__u"].alias("h"), delta.alias("delta"))),
+                    F.array(F.struct(x["__id"].alias("id"), x["__u"].alias("h"), delta.alias("delta"))),
                 )
             ).alias("picks"),
         )
 
     picked = state.select("__key", F.explode(F.aggregate("__cand", start, fold)["picks"]).alias("p"))
-    return picked.select("__key", F.col("p.doc_id").alias("doc_id"), F.col("p.h").alias("__u"), F.col("p.delta").alias("__delta"))
+    return picked.select("__key", F.col("p.id").alias("__id"), F.col("p.h").alias("__u"), F.col("p.delta").alias("__delta"))

@@ -180,3 +180,26 @@ def test_mix_with_many_repeated_rows_by_brute_force(spark, parts):
         assert abs((own["size"] * own.copies).sum() - t) <= max(smallest, 0.001 * t)
     repeated = mixing.repeat_by_mix(df).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
     assert repeated == {d: c for d, c in got.groupby("doc_id").copies.sum().items() if c}
+
+
+def test_mix_repairs_rows_without_id(spark):
+    words = lambda n, k: " ".join(f"w{k}x{j}" for j in range(n))
+    docs = spark.createDataFrame([(None, words(100, i), "a") for i in range(7)] + [(None, words(2, 9 + i), "a") for i in range(7)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    taken, target = sum(r["size"] * r["copies"] for r in rows), rows[0]["target"]
+    assert len(rows) == 14 and abs(taken - target) <= 50 and all(0 <= r["copies"] <= 2 for r in rows)
+
+
+def test_clashing_names_of_mixed_and_cut_rows(spark, odd):
+    from flowlens.llm import line_dedup
+
+    inner = ("__c", "__m", "__k1", "__k2", "__i", "__g", "__key", "__key0", "__id", "__cuts", "__done", "__row", "__u", "__h", "__part", "a.b")
+    clash = odd.withColumns({c: F.lit("own") for c in inner})
+    mixed = mixing.repeat_by_mix(clash)
+    assert mixed.columns == clash.columns
+    plain = sorted(map(str, mixing.repeat_by_mix(odd).select("doc_id", "text").distinct().collect()))
+    assert sorted(map(str, mixed.select("doc_id", "text").distinct().collect())) == plain
+    cut = line_dedup.dedup_lines(clash)
+    assert set(cut.columns) == set(clash.columns) and cut.count() == odd.count()
+    assert sorted(map(str, cut.select("doc_id", "text").collect())) == sorted(map(str, line_dedup.dedup_lines(odd).select("doc_id", "text").collect()))
+    assert {r[0] for r in cut.select("`a.b`").collect()} == {"own"}
