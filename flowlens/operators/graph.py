@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-
-DAY = 86400
+from .components import both_ways, connected_components, strongly_connected  # noqa: F401
+from .temporal import DAY, closes_cycle, numbered, temporal_edges, temporal_node_measures  # noqa: F401
 
 
 def account_graph(tx: DataFrame, cutoff: int) -> DataFrame:
@@ -29,10 +29,6 @@ def snapshot_starts(tx: DataFrame, delta: int = DAY) -> DataFrame:
     return ends.select(F.explode(F.sequence(floor("lo"), F.col("hi") + delta, F.lit(delta).cast("long"))).alias("period_start"))
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
-
-
 def node_features(edges: DataFrame, by: str | None = None) -> DataFrame:
     """Degrees, counts, log volumes, asymmetry, flow-through, reciprocal partners and neighbours' mean degrees.
 
@@ -88,75 +84,6 @@ def pagerank(edges: DataFrame, iterations: int = 50, alpha: float = 0.85, by: st
     return ranks.select(*([by] if by else []), "node", (F.col("r") * F.col("n")).alias("pagerank"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, component: the smallest account reachable over undirected edges."""
-    links = materialize(_both_ways(edges).where("node <> other").distinct(), "cc-links")
-    alone = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = materialize(alone.withColumn("component", F.col("node")), "cc")
-    for _ in range(max_rounds):
-        near = links.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("least"))
-        # the label of one's label halves the length of chains
-        grand = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        after = labels.join(near, "node", "left").join(grand, "component", "left").select(
-            "node", F.least("component", "least", "jump").alias("component"), F.col("component").alias("old")
-        )
-        after = materialize(after, "cc")
-        moved = after.where("component <> old").limit(1).count()
-        labels = after.drop("old")
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """node, scc (a member that names it), scc_size.
-
-    Forward-backward colouring: accounts without incoming or outgoing edges are
-    trimmed; the largest account id spreads forward as colour; what reaches a
-    colour's root backwards within the colour is one component and leaves.
-    """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    left = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
-    done = nodes.select("node", F.col("node").alias("scc")).limit(0)
-    for _ in range(max_rounds):
-        while True:
-            inner = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            trimmed = materialize(inner.select("src", "dst"), "scc-edges")
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
-                break
-        if left.isEmpty():
-            break
-        live = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colour = _spread(live.withColumn("c", F.col("node")), left)
-        of = lambda end: colour.select(F.col("node").alias(end), F.col("c").alias(end + "_c"))
-        same_colour = materialize(left.join(of("src"), "src").join(of("dst"), "dst").where("src_c = dst_c").select("src", "dst"), "scc-colour")
-        roots = colour.withColumn("c", F.when(F.col("node") == F.col("c"), F.col("c")))
-        back = _spread(roots, same_colour.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        found = materialize(back.where("c is not null").select("node", F.col("c").alias("scc")), "scc-found")
-        done = done.union(found)
-        gone = found.select(F.col("node").alias("src"))
-        left = materialize(left.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "scc-edges")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    full = nodes.join(done, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
-    return full.join(full.groupBy("scc").agg(F.count("*").alias("scc_size")), "scc")
-
-
-def _spread(start: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """The largest non-null ``c`` that reaches each node along the links."""
-    state = materialize(start, "spread")
-    for _ in range(max_rounds):
-        got = links.join(state.where("c is not null").select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("g"))
-        after = materialize(state.join(got, "node", "left").select("node", F.greatest("c", "g").alias("c"), F.col("c").alias("old")), "spread")
-        moved = after.where(~F.col("c").eqNullSafe(F.col("old"))).limit(1).count()
-        state = after.drop("old")
-        if not moved:
-            return state
-    raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-
-
 def period_node_features(tx: DataFrame, delta: int = DAY) -> DataFrame:
     """tx_id and src_/dst_ copies of the additive node features before each transfer's period.
 
@@ -206,38 +133,6 @@ def pair_history(tx: DataFrame, delta: int = DAY) -> DataFrame:
     return rows.select("tx_id", "src", "dst", "p").join(seen.drop("back"), ["src", "dst", "p"]).select("tx_id", "prior_pair_tx", "reverse_edge_exists")
 
 
-def snapshots(tx: DataFrame, delta: int = DAY) -> DataFrame:
-    """p, src, dst, cnt, weight: the graph before every period in which there are transfers.
-
-    A pair's counts are running sums over its own periods; each state holds
-    until the pair's next one, and is repeated for the periods between.
-    """
-    rows = tx.withColumn("p", (F.floor(F.col("t") / delta) * delta).cast("long"))
-    periods = rows.select("p").distinct()
-    ordered = periods.agg(F.array_sort(F.collect_list("p")).alias("all"))  # one row; a number for each period
-    pairs = rows.groupBy("src", "dst", "p").agg(F.count("*").alias("c"), F.sum("amount").alias("w"))
-    own = Window.partitionBy("src", "dst").orderBy("p")
-    state = pairs.select("src", "dst", "p", F.sum("c").over(own).alias("cnt"), F.sum("w").over(own).alias("weight"), F.lead("p").over(own).alias("until"))
-    later = F.filter("all", lambda q: (q > F.col("p")) & (F.col("until").isNull() | (q <= F.col("until"))))
-    return state.crossJoin(F.broadcast(ordered)).select(F.explode(later).alias("q"), "src", "dst", "cnt", "weight").withColumnRenamed("q", "p")
-
-
-def snapshot_components(edges: DataFrame) -> DataFrame:
-    """p, node, scc (a member's name), scc_size in every snapshot, all at once: nodes are told apart by their period."""
-    tagged = lambda end: F.struct(F.col("p"), F.col(end).alias("node")).alias(end)
-    return strongly_connected(edges.select(tagged("src"), tagged("dst"))).select("node.p", "node.node", F.col("scc.node").alias("scc"), "scc_size")
-
-
-def closes_cycle(tx: DataFrame, delta: int = DAY, edges: DataFrame | None = None) -> DataFrame:
-    """tx_id, closes_cycle: whether both accounts share a component of the graph before the transfer's period."""
-    edges = materialize(snapshots(tx, delta), "snapshots") if edges is None else edges
-    scc = materialize(snapshot_components(edges).where("scc_size > 1"), "snapshot-scc")
-    rows = tx.select("tx_id", "src", "dst", (F.floor(F.col("t") / delta) * delta).cast("long").alias("p"))
-    of = lambda end: scc.select("p", F.col("node").alias(end), F.col("scc").alias(end + "_scc"))
-    both = rows.join(of("src"), ["p", "src"], "left").join(of("dst"), ["p", "dst"], "left")
-    return both.select("tx_id", F.coalesce((F.col("src_scc") == F.col("dst_scc")).cast("int"), F.lit(0)).alias("closes_cycle"))
-
-
 #: Measures of an account in a snapshot.
 NODE_FEATURES = (
     "in_degree", "out_degree", "in_tx", "out_tx", "log_in_weight", "log_out_weight", "degree_asymmetry", "flow_through",
@@ -245,30 +140,32 @@ NODE_FEATURES = (
 )
 
 
-def all_node_features(edges: DataFrame, by: str | None = None, iterations: int = 50) -> DataFrame:
-    """All measures of ``NODE_FEATURES`` for each account (and graph, told apart by ``by``)."""
-    g = [by] if by else []
-    one = edges if by else edges.withColumn("p", F.lit(0))
-    scc = snapshot_components(one.withColumnRenamed(by, "p") if by and by != "p" else one)
-    sizes = scc.select(*([F.col("p").alias(by)] if by else []), "node", F.log("scc_size").alias("log_scc_size"))
-    joined = node_features(edges, by).join(pagerank(edges, iterations, by=by), [*g, "node"]).join(sizes, [*g, "node"])
-    return joined.select(*g, "node", *NODE_FEATURES)
+def all_node_features(edges: DataFrame, iterations: int = 50) -> DataFrame:
+    """All measures of ``NODE_FEATURES`` for each account of one graph."""
+    sizes = strongly_connected(edges).select("node", F.log("scc_size").alias("log_scc_size"))
+    joined = node_features(edges).join(pagerank(edges, iterations), "node").join(sizes, "node")
+    return joined.select("node", *NODE_FEATURES)
 
 
 def graph_features(tx: DataFrame, delta: int = DAY, iterations: int = 50) -> DataFrame:
     """tx_id, src_ and dst_ copies of all node measures, closes_cycle, reverse_edge_exists, prior_pair_tx.
 
     All come from the graph before the transfer's period; accounts that it does
-    not hold have zeros.
+    not hold have zeros.  No snapshot is written out: additive measures are
+    running sums over an account's periods, the others come from
+    :mod:`temporal`.
     """
-    edges = materialize(snapshots(tx, delta), "snapshots")
-    nodes = materialize(all_node_features(edges, "p", iterations), "snapshot-features")
-    rows = tx.select("tx_id", "src", "dst", (F.floor(F.col("t") / delta) * delta).cast("long").alias("p"))
-    for side in ("src", "dst"):
-        rows = rows.join(nodes.select("p", F.col("node").alias(side), *[F.col(c).cast("double").alias(f"{side}_{c}") for c in NODE_FEATURES]), ["p", side], "left")
+    rows, periods, last = numbered(tx, delta)
+    asked = rows.select(F.col("src").alias("node"), "i").union(rows.select("dst", "i"))
+    nodes = materialize(temporal_node_measures(temporal_edges(tx, periods, delta), asked, last, iterations), "temporal-measures")
+    own = ("pagerank", "log_scc_size", "nbr_out_degree_mean", "nbr_in_degree_mean")
+    of = lambda end: nodes.select(F.col("node").alias(end), "i", F.col("scc").alias(f"{end}_scc"), F.log("scc_size").alias(f"{end}_log_scc_size"), *[F.col(c).alias(f"{end}_{c}") for c in own if c != "log_scc_size"])
+    both = rows.select("tx_id", "src", "dst", "i").join(of("src"), ["src", "i"]).join(of("dst"), ["dst", "i"])
+    closes = ((F.col("src_scc") == F.col("dst_scc")) & (F.col("src_log_scc_size") > 0)).cast("int").alias("closes_cycle")
+    iterated = both.select("tx_id", closes, *[f"{side}_{c}" for side in ("src", "dst") for c in own])
     measures = [f"{side}_{c}" for side in ("src", "dst") for c in NODE_FEATURES]
-    filled = rows.select("tx_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in measures])
-    return filled.join(closes_cycle(tx, delta, edges), "tx_id").join(pair_history(tx, delta), "tx_id")
+    wide = period_node_features(tx, delta).join(iterated, "tx_id").select("tx_id", *[F.col(c).cast("double").alias(c) for c in measures], "closes_cycle")
+    return wide.join(pair_history(tx, delta), "tx_id")
 
 
 def account_bank(tx: DataFrame, order: str = "tx_id") -> DataFrame:
@@ -342,7 +239,7 @@ def ego_network(tx: DataFrame, account: int, until: int, limit: int = 200, hops:
 
 def hop_distances(edges: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
     """node, hops from the nearest root over undirected edges, up to ``depth``."""
-    links = _both_ways(edges).where("node <> other").distinct()
+    links = both_ways(edges).where("node <> other").distinct()
     seen = roots.select("node", F.lit(0).alias("hops")).distinct()
     front = seen
     for k in range(1, depth + 1):

@@ -40,29 +40,32 @@ def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.snapshot_starts(event_transfers(spark, sf_dir))
 
 
-@query("n3_node_features", _EDGES + """, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+_DEGREES = """n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 d AS (SELECT node, (SELECT count(*) FROM e WHERE e.dst = node) AS i, (SELECT count(*) FROM e WHERE e.src = node) AS o,
   (SELECT coalesce(sum(cnt), 0) FROM e WHERE e.dst = node) AS it, (SELECT coalesce(sum(cnt), 0) FROM e WHERE e.src = node) AS ot,
   (SELECT coalesce(sum(weight), 0) FROM e WHERE e.dst = node) AS iw, (SELECT coalesce(sum(weight), 0) FROM e WHERE e.src = node) AS ow,
-  (SELECT count(*) FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node) AS rp FROM n)
-SELECT d.node, i AS in_degree, o AS out_degree, CAST(it AS BIGINT) AS in_tx, CAST(ot AS BIGINT) AS out_tx, round(ln(1 + iw), 6) AS log_in_weight, round(ln(1 + ow), 6) AS log_out_weight,
+  (SELECT count(*) FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node) AS rp FROM n)"""
+_MEASURES = """d.node, i AS in_degree, o AS out_degree, CAST(it AS BIGINT) AS in_tx, CAST(ot AS BIGINT) AS out_tx, round(ln(1 + iw), 6) AS log_in_weight, round(ln(1 + ow), 6) AS log_out_weight,
   round((o - i) / CAST(o + i + 1 AS DOUBLE), 6) AS degree_asymmetry, round(CASE WHEN greatest(iw, ow) > 0 THEN least(iw, ow) / greatest(iw, ow) ELSE 0 END, 6) AS flow_through, rp AS reciprocal_partners,
   round(coalesce((SELECT avg(x.o) FROM e JOIN d x ON x.node = e.dst WHERE e.src = d.node), 0), 6) AS nbr_out_degree_mean,
-  round(coalesce((SELECT avg(x.i) FROM e JOIN d x ON x.node = e.src WHERE e.dst = d.node), 0), 6) AS nbr_in_degree_mean FROM d""")
+  round(coalesce((SELECT avg(x.i) FROM e JOIN d x ON x.node = e.src WHERE e.dst = d.node), 0), 6) AS nbr_in_degree_mean"""
+
+
+@query("n3_node_features", f"{_EDGES}, {_DEGREES} SELECT {_MEASURES} FROM d")
 def n3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.node_features(_edges(spark, sf_dir)), 6, "log_in_weight", "log_out_weight", "degree_asymmetry", "flow_through", "nbr_out_degree_mean", "nbr_in_degree_mean")
 
 
-def _pagerank_sql(rounds: int) -> str:
+def _ranks(rounds: int) -> str:
     steps = ["r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS r FROM n)"]
     for k in range(rounds):
         steps.append(f"""r{k + 1} AS MATERIALIZED (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * (coalesce(g, 0)
   + (SELECT coalesce(sum(r), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM e)) / (SELECT count(*) FROM n)) AS r
-  FROM n LEFT JOIN (SELECT e.dst AS node, sum(r / deg) AS g FROM e JOIN r{k} ON r{k}.node = e.src JOIN o USING (src) GROUP BY e.dst) USING (node))""")
-    return _EDGES + ", n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS deg FROM e GROUP BY src), " + ", ".join(steps) + f" SELECT node, round(r * (SELECT count(*) FROM n), 6) AS pagerank FROM r{rounds}"
+  FROM n LEFT JOIN (SELECT e.dst AS node, sum(r / deg) AS g FROM e JOIN r{k} ON r{k}.node = e.src JOIN payees USING (src) GROUP BY e.dst) USING (node))""")
+    return "payees AS (SELECT src, count(*) AS deg FROM e GROUP BY src), " + ", ".join(steps)
 
 
-@query("n5_pagerank", _pagerank_sql(50))
+@query("n5_pagerank", f"{_EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), {_ranks(50)} SELECT node, round(r * (SELECT count(*) FROM n), 6) AS pagerank FROM r50")
 def n5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.pagerank(_edges(spark, sf_dir)), 6, "pagerank")
 
@@ -110,14 +113,54 @@ def n7_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.closes_cycle(event_transfers(spark, sf_dir))
 
 
-@query("n8_graph_features")
+def _period_ranks(rounds: int) -> str:
+    """PageRank in every snapshot; s holds the accounts of each, z what accounts without payees have."""
+    steps = ["s AS (SELECT p, count(*) AS c FROM n GROUP BY p), r0 AS (SELECT p, node, 1.0::DOUBLE / c AS r FROM n JOIN s USING (p))"]
+    for k in range(rounds):
+        steps.append(f"""z{k} AS MATERIALIZED (SELECT p, sum(r) AS z FROM r{k} JOIN d USING (p, node) WHERE o = 0 GROUP BY p),
+g{k} AS MATERIALIZED (SELECT p, e.dst AS node, sum(r / o) AS g FROM e JOIN r{k} USING (p) JOIN d USING (p, node) WHERE node = e.src GROUP BY p, e.dst),
+r{k + 1} AS MATERIALIZED (SELECT p, node, 0.15::DOUBLE / c + 0.85::DOUBLE * (coalesce(g, 0) + coalesce(z, 0) / c) AS r FROM n JOIN s USING (p) LEFT JOIN g{k} USING (p, node) LEFT JOIN z{k} USING (p))""")
+    return ", ".join(steps)
+
+
+_NODE_COLUMNS = {
+    "in_degree": "i", "out_degree": "o", "in_tx": "it", "out_tx": "ot", "log_in_weight": "ln(1 + iw)", "log_out_weight": "ln(1 + ow)", "degree_asymmetry": "(o - i) / CAST(o + i + 1 AS DOUBLE)",
+    "flow_through": "CASE WHEN greatest(iw, ow) > 0 THEN least(iw, ow) / greatest(iw, ow) ELSE 0 END", "reciprocal_partners": "coalesce(rp, 0)", "pagerank": "r * c", "log_scc_size": "ln(coalesce(m, 1))",
+    "nbr_out_degree_mean": "coalesce(mo, 0)", "nbr_in_degree_mean": "coalesce(mi, 0)",
+}
+_ALL_PERIODS = f"""WITH RECURSIVE {EVENT_TX}, q AS (SELECT *, t // 86400 * 86400 AS p FROM tx),
+e AS MATERIALIZED (SELECT x.p, src, dst, count(*) AS cnt, sum(amount) AS weight FROM q JOIN (SELECT DISTINCT p FROM q) x ON q.p < x.p GROUP BY x.p, src, dst),
+n AS MATERIALIZED (SELECT p, src AS node FROM e UNION SELECT p, dst FROM e),
+d AS MATERIALIZED (SELECT p, node, coalesce(i, 0) AS i, coalesce(o, 0) AS o, coalesce(it, 0) AS it, coalesce(ot, 0) AS ot, coalesce(iw, 0) AS iw, coalesce(ow, 0) AS ow, rp FROM n
+  LEFT JOIN (SELECT p, src AS node, count(*) AS o, sum(cnt) AS ot, sum(weight) AS ow FROM e GROUP BY ALL) USING (p, node)
+  LEFT JOIN (SELECT p, dst AS node, count(*) AS i, sum(cnt) AS it, sum(weight) AS iw FROM e GROUP BY ALL) USING (p, node)
+  LEFT JOIN (SELECT a.p, a.src AS node, count(*) AS rp FROM e a JOIN e b ON a.p = b.p AND a.src = b.dst AND a.dst = b.src GROUP BY ALL) USING (p, node)),
+{_period_ranks(50)},
+reach AS (SELECT p, src, dst FROM e UNION SELECT r.p, r.src, e.dst FROM reach r JOIN e ON r.p = e.p AND r.dst = e.src),
+mutual AS MATERIALIZED (SELECT DISTINCT a.p, a.src, a.dst FROM reach a JOIN reach b ON a.p = b.p AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst),
+v AS MATERIALIZED (SELECT p, node, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {name}" for name, c in _NODE_COLUMNS.items())} FROM d JOIN r50 USING (p, node) JOIN s USING (p)
+  LEFT JOIN (SELECT p, src AS node, count(*) + 1 AS m FROM mutual GROUP BY ALL) USING (p, node)
+  LEFT JOIN (SELECT e.p, e.src AS node, avg(d.o) AS mo FROM e JOIN d ON d.p = e.p AND d.node = e.dst GROUP BY ALL) USING (p, node)
+  LEFT JOIN (SELECT e.p, e.dst AS node, avg(d.i) AS mi FROM e JOIN d ON d.p = e.p AND d.node = e.src GROUP BY ALL) USING (p, node))
+SELECT tx_id, {", ".join(f"coalesce({t}.{name}, 0) AS {end}_{name}" for end, t in (("src", "x"), ("dst", "y")) for name in _NODE_COLUMNS)},
+  CASE WHEN q.src <> q.dst AND mutual.p IS NOT NULL OR q.src = q.dst AND x.log_scc_size > 0 THEN 1 ELSE 0 END AS closes_cycle,
+  coalesce(pair.cnt, 0) AS prior_pair_tx, CASE WHEN back.p IS NULL THEN 0 ELSE 1 END AS reverse_edge_exists
+FROM q LEFT JOIN v x ON x.p = q.p AND x.node = q.src LEFT JOIN v y ON y.p = q.p AND y.node = q.dst LEFT JOIN mutual ON mutual.p = q.p AND mutual.src = q.src AND mutual.dst = q.dst
+  LEFT JOIN e pair ON pair.p = q.p AND pair.src = q.src AND pair.dst = q.dst LEFT JOIN e back ON back.p = q.p AND back.src = q.dst AND back.dst = q.src"""
+_EXACT_COLUMNS = ("in_degree", "out_degree", "in_tx", "out_tx", "reciprocal_partners")
+
+
+@query("n8_graph_features", _ALL_PERIODS)
 def n8_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_features(event_transfers(spark, sf_dir))
+    made = G.graph_features(event_transfers(spark, sf_dir))
+    return rounded(made, 6, *[f"{end}_{c}" for end in ("src", "dst") for c in G.NODE_FEATURES])
 
 
-@query("n3_all_node_features")
+@query("n3_all_node_features", f"""{_EDGES}, {_DEGREES}, {_ranks(50)}, reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
+m AS (SELECT a.src AS node, count(DISTINCT a.dst) AS c FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
+SELECT {_MEASURES}, round(r * (SELECT count(*) FROM n), 6) AS pagerank, round(ln(1 + coalesce(m.c, 0)), 6) AS log_scc_size FROM d JOIN r50 ON r50.node = d.node LEFT JOIN m ON m.node = d.node""")
 def n3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.all_node_features(_edges(spark, sf_dir))
+    return rounded(G.all_node_features(_edges(spark, sf_dir)), 6, *[c for c in G.NODE_FEATURES if c not in _EXACT_COLUMNS])
 
 
 @query("n14_account_bank", f"""WITH {EVENT_TX}, s AS (SELECT src AS account, (tx_id + src) % 7 AS bank, 0 AS turn, tx_id FROM tx UNION ALL SELECT dst, (tx_id + dst) % 5, 1, tx_id FROM tx)
