@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .drift import DRIFT, WARN, psi
 from .metrics import evaluate
+from .quantiles import column_quantiles
 from .splits import chronological_fit_rows
 
 
@@ -35,10 +36,10 @@ def budget_threshold(scored: DataFrame, rate: float) -> float:
     """The score above which a share ``rate`` of the rows lies; labels play no part."""
     if not 0 < rate < 1:
         raise ValueError("the alert rate is between 0 and 1")
-    level = scored.agg(F.percentile("score", F.lit(1 - rate))).first()[0]
+    level = column_quantiles(scored, "score", [1 - rate])
     if level is None:
         raise ValueError("no scores to set a threshold on")
-    return level
+    return level[0]
 
 
 @dataclass

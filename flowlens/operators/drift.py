@@ -11,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import column_quantiles, exact_quantiles
+
 #: Customary PSI levels.
 WARN, DRIFT = 0.1, 0.25
 
 
 def bin_edges(reference: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """feature, edges: inner quantiles of the reference, repeated ones once."""
-    long = unpivot(reference, features)
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return long.groupBy("feature").agg(F.coalesce(F.array_sort(F.array_distinct(F.percentile("x", at))), F.array().cast("array<double>")).alias("edges"))
+    found = exact_quantiles(unpivot(reference, features).withColumnRenamed("feature", "g"), [i / bins for i in range(1, bins)])
+    return reference.sparkSession.createDataFrame([(f, sorted(set(found.get(f, [])))) for f in features], "feature string, edges array<double>")
 
 
 def unpivot(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
@@ -140,10 +141,10 @@ def calibrate_threshold(values: DataFrame, rate: float) -> float:
     if not 0 < rate < 1:
         raise ValueError("the rate is between 0 and 1")
     clean = values.where("x is not null and not isnan(x)")
-    n, level = clean.agg(F.count("*"), F.percentile("x", F.lit(1 - rate))).first()
+    n, level = clean.count(), column_quantiles(clean, "x", [1 - rate])
     if n < math.ceil(1 / rate):
         raise ValueError(f"{n} stationary values cannot resolve a rate of {rate:g}")
-    return level
+    return level[0]
 
 
 # --- sequential detectors -------------------------------------------------

@@ -8,11 +8,12 @@ on one snapshot and end every few rounds in a stored table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import both_ways, connected_components, strongly_connected  # noqa: F401
+from .quantiles import column_quantiles
 from .temporal import DAY, closes_cycle, numbered, temporal_edges, temporal_node_measures  # noqa: F401
 
 
@@ -272,9 +273,11 @@ def degree_summary(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Isolated share, median, 99th percentile and maximum of edge ends over all nodes."""
     degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     d = nodes.join(degree, "node", "left").select(F.coalesce("d", F.lit(0)).alias("d"))
-    p: Column = F.percentile("d", F.array(F.lit(0.5), F.lit(0.99)))
-    return d.agg(F.avg((F.col("d") == 0).cast("double")).alias("isolated_fraction"), p.alias("q"), F.max("d").alias("max_degree")).select(
-        "isolated_fraction", F.col("q")[0].alias("median_degree"), F.col("q")[1].alias("p99_degree"), "max_degree"
+    d = materialize(d, "degrees")
+    median, high = column_quantiles(d, "d", [0.5, 0.99]) or (None, None)
+    return d.agg(
+        F.avg((F.col("d") == 0).cast("double")).alias("isolated_fraction"), F.lit(median).cast("double").alias("median_degree"),
+        F.lit(high).cast("double").alias("p99_degree"), F.max("d").alias("max_degree"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .graph import connected_components
 from .metrics import jaccard_pairs
+from .quantiles import column_quantiles
 
 #: Features of a candidate.
 FEATURES = (
@@ -76,7 +77,7 @@ def candidates(scored: DataFrame, quantile: float = 0.99, max_size: int = 50, mi
     the candidates, larger ones split into communities, transfers between
     communities dropped.
     """
-    tau = scored.agg(F.percentile("score", F.lit(quantile))).first()[0]
+    tau = (column_quantiles(scored, "score", [quantile]) or [None])[0]
     hot = scored.where(F.col("score") >= tau)
     comps = connected_components(hot.select("src", "dst"))
     sizes = comps.groupBy("component").agg(F.count("*").alias("n"))

@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions import logit, sigmoid, signed_log
 from .metrics import cumulative
+from .quantiles import exact_quantiles
 
 RULES = ("large_amount", "far_above_own_history", "burst_1h", "fan_in_24h", "pass_through_1h", "new_cross_bank_counterparty", "cross_currency")
 
 
 def fit_rules(train: DataFrame, quantile: float = 0.99) -> dict[str, float]:
     """Thresholds from the training rows, without labels."""
-    q = lambda c, n: F.percentile(c, F.lit(quantile)).alias(n)
-    return train.agg(q("log_amount", "large_amount"), q("src_out_cnt_1h", "burst_1h"), q("dst_in_cnt_24h", "fan_in_24h")).first().asDict()
+    of = {"large_amount": "log_amount", "burst_1h": "src_out_cnt_1h", "fan_in_24h": "dst_in_cnt_24h"}
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(rule).alias("g"), F.col(c).cast("double").alias("x")) for rule, c in of.items()])))
+    found = exact_quantiles(long, [quantile])
+    return {rule: found[rule][0] if rule in found else None for rule in of}
 
 
 def rule_hits(df: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import column_quantiles
+
 
 @dataclass(frozen=True)
 class Boundaries:
@@ -131,7 +133,7 @@ def leakage_canary(fit_score: Callable[[DataFrame, DataFrame], DataFrame], df: D
     """
     from .metrics import evaluate
 
-    cut = df.agg(F.percentile("t", F.lit(train_frac))).first()[0]
+    cut = (column_quantiles(df, "t", [train_frac]) or [None])[0]
     train, test = df.where(F.col("t") <= cut), df.where(F.col("t") > cut)
     chance = test.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
     found = []

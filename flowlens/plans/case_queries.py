@@ -71,14 +71,14 @@ _HITS = """CAST(la > q1 AS INTEGER) + CAST(coalesce(CASE WHEN n >= 3 THEN (la -
 
 @query("m2_rules", f"{_RULES} SELECT tx_id, {_HITS} AS n_hits FROM f, q")
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _featured(spark, sf_dir)
+    df = materialize(_featured(spark, sf_dir), "featured")  # read to fit and to score
     cut = S.boundaries(event_transfers(spark, sf_dir)).train_end
     return C.rule_hits(df, C.fit_rules(df.where(F.col("t") <= cut))).select("tx_id", F.size("rule_hits").alias("n_hits"))
 
 
 @query("p10_rule_score", f"{_RULES} SELECT tx_id, round({_HITS} + 1e-3 * la / 30, 8) AS rule_score FROM f, q")
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _featured(spark, sf_dir)
+    df = materialize(_featured(spark, sf_dir), "featured")  # read to fit and to score
     cut = S.boundaries(event_transfers(spark, sf_dir)).train_end
     return rounded(C.rule_hits(df, C.fit_rules(df.where(F.col("t") <= cut))).select("tx_id", "rule_score"), 8, "rule_score")
 
