@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import metrics as M
 from ..operators import rings as R
 from ..operators import scoring as C
+from ..operators.boosting import BoostedTrees
 from ..operators import splits as S
 from ..session import materialize
 from ..sources.transfers import EVENT_TX, event_transfers, order_transfers, read
@@ -112,7 +113,7 @@ def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m5_boosting")
 def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val, test = _folds(spark, sf_dir)
-    return C.MlScorer("boosting", _COLS).fit(train, val).score(test).select("tx_id", "score")
+    return BoostedTrees(_COLS).fit(train, val).score(test).select("tx_id", "score")
 
 
 @query("m6_isolation_forest")
