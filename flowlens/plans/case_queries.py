@@ -12,6 +12,9 @@ from ..operators import metrics as M
 from ..operators import rings as R
 from ..operators import scoring as C
 from ..operators.boosting import BoostedTrees
+from ..operators.message_passing import GraphScorer
+from ..operators.quantiles import column_quantiles
+from ..operators.transfer_graph import transfer_flow, typed_graph
 from ..operators import splits as S
 from ..session import materialize
 from ..sources.transfers import EVENT_TX, event_transfers, order_transfers, read
@@ -116,6 +119,27 @@ def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return BoostedTrees(_COLS).fit(train, val).score(test).select("tx_id", "score")
 
 
+@query("m9_typed_graph_scorer")
+def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers scored by message passing over accounts, formats and banks before the middle of the training fold."""
+    train, val, test = _folds(spark, sf_dir)
+    cut = int(column_quantiles(train, "t", [0.5])[0])
+    scored = train.where(F.col("t") >= cut).unionByName(val).unionByName(test)
+    nodes, links, inputs, kinds = typed_graph(train, scored, cut, _COLS, "account % 5")
+    made = GraphScorer(inputs, kinds).fit(nodes, links).score()
+    return test.select("tx_id").join(made.select(((F.col("node") - 1) / 3).cast("long").alias("tx_id"), "score", F.col("node")).where("node % 3 = 1").drop("node"), "tx_id")
+
+
+@query("m10_node_scorer")
+def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers as nodes, linked by money that flows on within a day."""
+    train, val, test = _folds(spark, sf_dir)
+    rows = train.unionByName(val).unionByName(test)
+    nodes = rows.select(F.col("tx_id").alias("node"), *_COLS, F.col("label").alias("y"), "fold")
+    made = GraphScorer(_COLS, 2).fit(nodes, transfer_flow(rows)).score()
+    return test.select("tx_id").join(made.withColumnRenamed("node", "tx_id"), "tx_id")
+
+
 @query("m6_isolation_forest")
 def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = event_transfers(spark, sf_dir).withColumn("log_amount", F.log1p("amount"))

@@ -161,6 +161,8 @@ def test_packets_notes_and_serving(spark):
     assert p["source_record_ids"] == ["HI:0003", "HI:0001", "HI:0002"]
     note = E.verify_notes(E.template_note(packet)).first()
     assert all(c["verified"] for c in note["claims"]) and any("1.1 hours" in c["text"] for c in note["claims"])
+    across = E.template_note(E.build_packets(alert.withColumns({"is_cross_bank": F.lit(1), "is_cross_currency": F.lit(True)}), tx, "v1", 0.9)).first()
+    assert any("between two banks, with a change of currency." in c["text"] for c in across["claims"]) and not any("banks" in c["text"] for c in note["claims"])
     forged = E.template_note(packet).withColumn("claims", F.array(F.struct(F.lit("proves HI:99999").alias("text"), F.array().cast("array<string>").alias("source_record_ids"))))
     assert len(E.verify_notes(forged).first()["claims"][0]["problems"]) == 3
     assert V.account_transactions(tx, "A", 3000).count() == 2
