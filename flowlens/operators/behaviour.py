@@ -1,15 +1,16 @@
 """Strict-past behavioural features of both sides of every transfer.
 
-A transfer becomes two rows, one for each account it touches.  Over an account's
-rows in time order, sums of the "out" and "in" flags give all four streams (what
-the sender sent and received, what the receiver received and sent) in a single
-exchange.  Frames end one second before the row, so simultaneous transfers never
-see each other.
-
-Hub accounts are cut by time: rows are grouped by (account, bucket), where a
-bucket is as long as the longest window, and every row also serves as an event
-in the next bucket.  Unbounded histories add the totals of all earlier buckets,
-which come from one small row an account and bucket.
+Transfers that touch an account at one time have the same past, so they are
+added up first, before any shuffle: an account and second is one moment with its
+sums in both directions ("out" what it sent, "in" what it received).  Frames
+over an account's moments in time order end one second before the moment, and
+every transfer looks up the moments of its sender and its receiver.
+
+An account's moments are cut into buckets as long as the longest window, and
+every moment also serves as an event in the next bucket.  A bucket holds a
+moment a second at most, however many transfers a hub has.  Unbounded histories
+add the totals of all earlier buckets, which come from one small row an account
+and bucket.
 """
 
 from __future__ import annotations
@@ -22,46 +23,99 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 WINDOWS = {"5min": 300, "1h": 3600, "24h": 86400}
 MIN_HISTORY = 3
 _ROLES = (("src", "out"), ("src", "in"), ("dst", "in"), ("dst", "out"))
 
 
-def _sides(tx: DataFrame, bucket: int) -> DataFrame:
-    """Two rows a transfer: account, side, flags and values by direction."""
-    order = Window.partitionBy("src", "dst").orderBy("t", "tx_id")
-    fresh = tx.withColumn("fresh", (F.row_number().over(order) == 1).cast("int"))
-    sides = F.array(
-        F.struct(F.col("src").alias("acct"), F.lit("src").alias("side"), F.lit(1).alias("out")),
-        F.struct(F.col("dst").alias("acct"), F.lit("dst").alias("side"), F.lit(0).alias("out")),
-    )
-    return fresh.select("tx_id", "t", "amount", "fresh", F.inline(sides)).withColumn("b", F.floor(F.col("t") / F.lit(bucket)))
+def _moments(tx: DataFrame, bucket: int, history: bool = True) -> DataFrame:
+    """acct, t, b and the sums of the account's transfers at that time, by direction; for a history, of logarithms and of pairs that first meet then, too."""
+    amount, la = F.col("amount").cast("double"), F.log1p("amount")
+    nothing, none, one = F.lit(None).cast("double"), F.lit(0).cast("long"), F.lit(1).cast("long")
+    kinds = {"n_out": F.sum, "n_in": F.sum, "a_out": F.sum, "a_in": F.sum} | ({"s1": F.sum, "s2": F.sum, "mx": F.max, "f_out": F.sum, "f_in": F.sum} if history else {})
 
+    def row(end: str, **values: Column) -> Column:
+        blank = lambda c: none if c.startswith(("n_", "f_")) else nothing
+        return F.struct(F.col(end).alias("acct"), *[values.get(c, blank(c)).alias(c) for c in kinds])
 
-def _by_side(rows: DataFrame, values: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row a transfer: each output column taken from the row of its side."""
-    return rows.groupBy("tx_id").agg(*[F.max(F.when(F.col("side") == side, F.col(c))).alias(name) for name, (side, c) in values.items()])
+    rows = tx.select("t", F.inline(F.array(row("src", n_out=one, a_out=amount, s1=la, s2=la * la, mx=amount), row("dst", n_in=one, a_in=amount))))
+    if history:
+        first = tx.groupBy("src", "dst").agg(F.min("t").alias("t"))
+        rows = rows.unionByName(first.select("t", F.inline(F.array(row("src", f_out=one), row("dst", f_in=one)))))
+    return rows.groupBy("acct", "t").agg(*[f(c).alias(c) for c, f in kinds.items()]).withColumn("b", F.floor(F.col("t") / F.lit(bucket)))
 
 
-def window_features(tx: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
-    """tx_id and {stream}_{cnt,sum}_{window} over [t - window, t)."""
-    bucket = max(windows.values())
-    rows = _sides(tx, bucket)
-    spread = rows.withColumn("query", F.lit(1)).unionByName(
-        rows.withColumns({"b": F.col("b") + 1, "query": F.lit(0)})
-    )
+def _of_both(tx: DataFrame, moments: DataFrame, values: dict[str, tuple[str, Column]], *keep: str) -> DataFrame:
+    """tx_id, ``keep`` and each output column, taken from the moment of its side; ``values`` may use the transfer's amount.
+
+    The moments are stored, so that both sides read what one computation made.
+    """
+    moments = materialize(moments, "moments")
+    out = tx.select("tx_id", "src", "dst", "t", "amount", *[c for c in keep if c not in ("src", "dst", "t", "amount")])
+    for end in ("src", "dst"):
+        out = out.join(moments.select(F.col("acct").alias(end), "t", F.struct(*[c for c in moments.columns if c not in ("acct", "t", "b")]).alias(f"__{end}")), [end, "t"], "left")
+    return out.select("tx_id", *keep, *[c.alias(name) for name, c in values.items()])
+
+
+def _window_columns(windows: dict[str, int]) -> dict[str, Column]:
+    """Counts and sums over each window, by direction."""
     over = Window.partitionBy("acct", "b").orderBy("t")
-    columns, values = {}, {}
+    columns: dict[str, Column] = {}
     for name, w in windows.items():
         past = over.rangeBetween(-w, -1)
         for way in ("out", "in"):
-            flag = F.col("out") if way == "out" else 1 - F.col("out")
-            columns[f"{way}_cnt_{name}"] = F.coalesce(F.sum(flag).over(past), F.lit(0))
-            columns[f"{way}_sum_{name}"] = F.coalesce(F.sum(flag * F.col("amount")).over(past), F.lit(0.0))
-        for side, way in _ROLES:
-            for what in ("cnt", "sum"):
-                values[f"{side}_{way}_{what}_{name}"] = (side, f"{way}_{what}_{name}")
-    return _by_side(spread.withColumns(columns).where("query = 1"), values)
+            columns[f"{way}_cnt_{name}"] = F.coalesce(F.sum(f"n_{way}").over(past), F.lit(0))
+            columns[f"{way}_sum_{name}"] = F.coalesce(F.sum(f"a_{way}").over(past), F.lit(0.0))
+    return columns
+
+
+def _with_windows(moments: DataFrame, windows: dict[str, int]) -> DataFrame:
+    twice = moments.withColumn("query", F.lit(True)).unionByName(moments.withColumns({"b": F.col("b") + 1, "query": F.lit(False)}))
+    return twice.withColumns(_window_columns(windows)).where("query").drop("query")
+
+
+def _window_values(windows: dict[str, int]) -> dict[str, Column]:
+    zero = {"cnt": F.lit(0).cast("long"), "sum": F.lit(0.0)}
+    return {f"{side}_{way}_{what}_{name}": F.coalesce(F.col(f"__{side}.{way}_{what}_{name}"), zero[what]) for name in windows for side, way in _ROLES for what in ("cnt", "sum")}
+
+
+def window_features(tx: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
+    """tx_id and {stream}_{cnt,sum}_{window} over [t - window, t)."""
+    return _of_both(tx, _with_windows(_moments(tx, max(windows.values()), False), windows).drop("n_out", "n_in", "a_out", "a_in"), _window_values(windows))
+
+
+#: What is carried over an account's buckets, and how.
+_CARRIED = {"n_out": F.sum, "n_in": F.sum, "s1": F.sum, "s2": F.sum, "mx": F.max, "t_out": F.max, "t_in": F.max, "f_out": F.sum, "f_in": F.sum}
+
+
+def _with_history(moments: DataFrame) -> DataFrame:
+    """The moments with h_ columns: totals of the account's whole strict past."""
+    marked = moments.withColumns({"t_out": F.when(F.col("n_out") > 0, F.col("t")), "t_in": F.when(F.col("n_in") > 0, F.col("t"))})
+    carry = marked.groupBy("acct", "b").agg(*[f(c).alias("c_" + c) for c, f in _CARRIED.items()])
+    earlier = Window.partitionBy("acct").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    carry = carry.select("acct", "b", *[f("c_" + c).over(earlier).alias("c_" + c) for c, f in _CARRIED.items()])
+    within = Window.partitionBy("acct", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    seen = marked.withColumns({"h_" + c: f(c).over(within) for c, f in _CARRIED.items()}).join(carry, ["acct", "b"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = {"h_" + c: F.greatest("h_" + c, "c_" + c) if f is F.max else zero("h_" + c) + zero("c_" + c) for c, f in _CARRIED.items()}
+    return seen.withColumns(both).drop("t_out", "t_in", *["c_" + c for c in _CARRIED])
+
+
+def _history_values(min_history: int) -> dict[str, Column]:
+    past = lambda side, c: F.col(f"__{side}.h_{c}")
+    n, la = past("src", "n_out"), F.log1p("amount")
+    mean = past("src", "s1") / n
+    std = F.sqrt(F.greatest(past("src", "s2") / n - mean * mean, F.lit(0.0)))
+    some = lambda least, c: F.when(n >= least, c)
+    return {
+        "src_out_n_hist": n, "src_has_history": (n >= min_history).cast("int"), "amt_z_src": some(min_history, (la - mean) / (std + 1e-3)),
+        "amt_log_ratio_src_mean": some(1, la - mean), "amt_vs_src_max": some(1, F.col("amount") / (past("src", "mx") + 1e-6)),
+        "src_secs_since_out": F.col("t") - past("src", "t_out"), "src_secs_since_in": F.col("t") - past("src", "t_in"),
+        "src_in_n_hist": past("src", "n_in"), "dst_in_n_hist": past("dst", "n_in"), "dst_out_n_hist": past("dst", "n_out"),
+        "src_n_counterparties": past("src", "f_out"), "dst_n_counterparties": past("dst", "f_in"),
+    }
 
 
 def history_features(tx: DataFrame, bucket: int = 86400, min_history: int = MIN_HISTORY) -> DataFrame:
@@ -70,41 +124,7 @@ def history_features(tx: DataFrame, bucket: int = 86400, min_history: int = MIN_
     Missing history is null; counts are 0.  Standard deviations are those of
     the population.
     """
-    rows = _sides(tx, bucket).withColumn("la", F.log1p("amount"))
-    out, inn = F.col("out"), 1 - F.col("out")
-    when = lambda flag, x: F.when(flag == 1, x)
-    parts = {
-        "n_out": F.sum(out), "n_in": F.sum(inn), "s1": F.sum(out * F.col("la")), "s2": F.sum(out * F.col("la") * F.col("la")),
-        "mx": F.max(when(out, F.col("amount"))), "t_out": F.max(when(out, F.col("t"))), "t_in": F.max(when(inn, F.col("t"))),
-        "f_out": F.sum(out * F.col("fresh")), "f_in": F.sum(inn * F.col("fresh")),
-    }
-    carry = rows.groupBy("acct", "b").agg(*[c.alias("c_" + k) for k, c in parts.items()])
-    earlier = Window.partitionBy("acct").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    largest = ("mx", "t_out", "t_in")
-    carry = carry.select("acct", "b", *[(F.max if k in largest else F.sum)("c_" + k).over(earlier).alias("c_" + k) for k in parts])
-    within = Window.partitionBy("acct", "b").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    seen = rows.join(carry, ["acct", "b"]).withColumns({k: c.over(within) for k, c in parts.items()})
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    both = {k: F.greatest(k, "c_" + k) if k in largest else zero(F.col(k)) + zero(F.col("c_" + k)) for k in parts}
-    seen = seen.select("tx_id", "t", "side", "amount", "la", *[c.alias(k) for k, c in both.items()])
-    mean = F.col("s1") / F.col("n_out")
-    std = F.sqrt(F.greatest(F.col("s2") / F.col("n_out") - mean * mean, F.lit(0.0)))
-    some = lambda n, c: F.when(F.col("n_out") >= n, c)
-    made = seen.withColumns({
-        "z": some(min_history, (F.col("la") - mean) / (std + 1e-3)),
-        "ratio": some(1, F.col("la") - mean),
-        "vs_max": some(1, F.col("amount") / (F.col("mx") + 1e-6)),
-        "since_out": F.col("t") - F.col("t_out"),
-        "since_in": F.col("t") - F.col("t_in"),
-        "has": (F.col("n_out") >= min_history).cast("int"),
-    })
-    return _by_side(made, {
-        "src_out_n_hist": ("src", "n_out"), "src_has_history": ("src", "has"), "amt_z_src": ("src", "z"),
-        "amt_log_ratio_src_mean": ("src", "ratio"), "amt_vs_src_max": ("src", "vs_max"),
-        "src_secs_since_out": ("src", "since_out"), "src_secs_since_in": ("src", "since_in"),
-        "src_in_n_hist": ("src", "n_in"), "dst_in_n_hist": ("dst", "n_in"), "dst_out_n_hist": ("dst", "n_out"),
-        "src_n_counterparties": ("src", "f_out"), "dst_n_counterparties": ("dst", "f_in"),
-    })
+    return _of_both(tx, _with_history(_moments(tx, bucket)), _history_values(min_history))
 
 
 def counterparty_is_new(tx: DataFrame) -> DataFrame:
@@ -116,26 +136,28 @@ def counterparty_is_new(tx: DataFrame) -> DataFrame:
 def behavioural_features(tx: DataFrame, windows: dict[str, int] = WINDOWS, min_history: int = MIN_HISTORY) -> DataFrame:
     """All of the above and the pass-through ratio, one row a transfer."""
     longest = max(windows, key=windows.get)
-    wide = window_features(tx, windows).join(history_features(tx, max(windows.values()), min_history), "tx_id")
-    wide = wide.join(counterparty_is_new(tx), "tx_id").join(tx.select("tx_id", "amount"), "tx_id")
-    ratio = F.col("amount") / (F.col(f"src_in_sum_{longest}") + 1)
-    return wide.withColumn(f"amt_over_src_in_{longest}", ratio).drop("amount")
+    moments = _with_history(_with_windows(_moments(tx, max(windows.values())), windows))
+    ratio = F.col("amount") / (F.coalesce(F.col(f"__src.in_sum_{longest}"), F.lit(0.0)) + 1)
+    values = _window_values(windows) | _history_values(min_history) | {f"amt_over_src_in_{longest}": ratio}
+    return _of_both(tx, moments, values).join(counterparty_is_new(tx), "tx_id")
 
 
 def rolling_velocity(tx: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:
     """cnt, sum and max of each sender's transfers in [t - window, t), and the one-hour burst."""
     windows = windows or {"5min": 300, "1h": 3600, "24h": 86400, "7D": 604800}
     bucket = max(windows.values())
-    rows = tx.select("tx_id", "src", "t", "amount", F.floor(F.col("t") / F.lit(bucket)).alias("b"), F.lit(1).alias("query"))
-    rows = rows.unionByName(rows.withColumns({"b": F.col("b") + 1, "query": F.lit(0)}))
+    sent = tx.groupBy("src", "t").agg(F.count("amount").alias("n"), F.sum("amount").alias("a"), F.max("amount").alias("mx"))  # a row a second
+    rows = sent.withColumns({"b": F.floor(F.col("t") / F.lit(bucket)), "query": F.lit(True)})
+    rows = rows.unionByName(rows.withColumns({"b": F.col("b") + 1, "query": F.lit(False)}))
     over = Window.partitionBy("src", "b").orderBy("t")
     columns: dict[str, Column] = {}
     for name, w in windows.items():
         past = over.rangeBetween(-w, -1)
-        columns[f"cnt_{name}"] = F.count("amount").over(past)
-        columns[f"sum_{name}"] = F.coalesce(F.sum("amount").over(past), F.lit(0.0))
-        columns[f"max_{name}"] = F.coalesce(F.max("amount").over(past), F.lit(0.0))
-    out = rows.withColumns(columns).where("query = 1").drop("query", "b", "src", "t", "amount")
+        columns[f"cnt_{name}"] = F.coalesce(F.sum("n").over(past), F.lit(0))
+        columns[f"sum_{name}"] = F.coalesce(F.sum("a").over(past), F.lit(0.0))
+        columns[f"max_{name}"] = F.coalesce(F.max("mx").over(past), F.lit(0.0))
+    seen = rows.withColumns(columns).where("query").select("src", "t", *columns)
+    out = tx.select("tx_id", "src", "t").join(seen, ["src", "t"]).select("tx_id", *columns)
     if {"1h", "7D"} <= windows.keys():
         out = out.withColumn("burst_1h", F.col("cnt_1h") / (F.col("cnt_7D") / 168 + 1e-6))
     return out

@@ -86,3 +86,27 @@ def test_interarrival_of_constant_and_simultaneous_transfers(spark):
     assert (r["A"]["automation_score"], r["A"]["iat_cv"]) == (1.0, 0.0)
     assert r["B"]["iat_cv"] == 0 and r["B"]["iat_median"] == 600
     assert r["C"]["iat_cv"] is None and r["C"]["automation_score"] == 0
+
+
+def test_a_hub_is_a_moment_a_second(spark):
+    """Half of all rows touch one account, most of them at the same few times: windows see moments, and the sums stay right."""
+    import random
+
+    from flowlens.operators import behaviour as B
+
+    rng = random.Random(5)
+    rows = [(i, 0 if i % 2 else rng.randrange(1, 40), 0 if not i % 2 and i % 4 else rng.randrange(1, 40), 1000 + rng.randrange(40), float(rng.randrange(1, 99))) for i in range(3000)]
+    tx = spark.createDataFrame(rows, "tx_id long, src long, dst long, t long, amount double").repartition(6)
+    assert B._moments(tx, 86400).where("acct = 0").count() <= 40
+    got = {r["tx_id"]: r for r in B.behavioural_features(tx, {"5s": 5, "24h": 86400}).collect()}
+    assert len(got) == 3000
+    for i, s, d, t, a in rng.sample(rows, 60):
+        past = [r for r in rows if t - 5 <= r[3] < t]
+        r = got[i]
+        assert r["src_out_cnt_5s"] == sum(x[1] == s for x in past) and r["dst_in_cnt_5s"] == sum(x[2] == d for x in past)
+        assert abs(r["src_in_sum_5s"] - sum(x[4] for x in past if x[2] == s)) < 1e-6
+        before = [x for x in rows if x[3] < t]
+        assert r["src_out_n_hist"] == sum(x[1] == s for x in before) if any(s in x[1:3] for x in rows) else True
+        assert r["src_n_counterparties"] == len({x[2] for x in before if x[1] == s}) and r["dst_n_counterparties"] == len({x[1] for x in before if x[2] == d})
+        assert r["counterparty_is_new"] == int(not any(x[1:3] == (s, d) for x in before))
+        assert abs(r["amt_over_src_in_24h"] - a / (sum(x[4] for x in before if x[2] == s) + 1)) < 1e-9
