@@ -1,15 +1,16 @@
 """Exact top-k search by inner product without random access.
 
-A block of vectors holds one list a dimension, sorted by component.  Queries
-read the lists sequentially, each list from the end that the query's component
-favours, in strides that halve what is unread.  What a vector has shown so far plus the least
+A block of vectors holds one list a dimension, sorted by component.  A query
+reads the lists sequentially, each from the end that its component favours, a
+slice of every list at a time.  What a vector has shown so far plus the least
 that its unread components can add is its lower bound, with the most its upper
-bound.  Reading stops once no more than a few vectors can still reach a query's
-k-th lower bound; their final scores are then resolved.  The k-th score found in
-a partition so far carries over to its next blocks.
+bound.  Lower bounds grow with the entries that are read; upper bounds are taken
+once no unseen vector can reach the k-th lower bound, and then for those vectors
+only that can still reach it.  A query stops when few are left; their final
+scores are then resolved.  The k-th score found in a partition so far carries
+over to its next blocks.
 
-Bounds of all queries are matrix products over the read part of the lists, with
-integers that doubles hold exactly.
+Bounds are integers that doubles hold exactly.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch_path
+
 #: Queries that are handed to the executors at once; further ones take further passes.
 QUERY_BLOCK = 4096
-#: Queries whose bounds are held at once for a block of vectors.
-CHUNK = 64
-#: Shares of the lists after which bounds are compared: what is unread halves each time.
-STRIDES = (0.5, 0.75, 0.875, 0.9375, 1.0)
+#: Blocks of queries in one plan; the results of more are stored plan by plan.
+PLAN_BLOCKS = 8
+#: Shares of the lists up to which a query reads before it looks at its bounds.
+STRIDES = (0.03125, 0.0625, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
 #: Vectors a query may leave to the final resolution, in multiples of k.
 LEFT = 8
 
@@ -35,43 +38,49 @@ class SortedLists:
     """A block of integer vectors (as doubles) with a sorted list for each dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, n = ids, vectors, len(vectors)
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.lists = np.take_along_axis(vectors, order, axis=0)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        self.reads = []
-        for depth in sorted({max(1, int(np.ceil(n * s))) for s in STRIDES}):
-            top, low = (rank >= n - depth).astype(np.float64), (rank < depth).astype(np.float64)
-            self.reads.append((depth, top, low, vectors * top, vectors * low))
-
-    def best(self, queries: np.ndarray, k: int, floor: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each query the rows that may be among its k best (scores not under ``floor``), and how deep its lists were read."""
-        n = len(self.vectors)
-        rows, depths = [np.empty(0, np.int64)] * len(queries), np.zeros(len(queries), np.int64)
-        going = np.arange(len(queries))
-        for depth, top, low, top_part, low_part in self.reads:
-            q = queries[going]
-            up = q >= 0
-            plus, minus = np.where(up, q, 0.0).T, np.where(up, 0.0, q).T
-            shown = top_part @ plus + low_part @ minus
+        self.ids, self.vectors = ids, vectors
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.lists = np.take_along_axis(vectors, self.order, axis=0)
+        n = len(vectors)
+        self.depths = sorted({max(1, int(np.ceil(n * s))) for s in STRIDES})
+
+    def search(self, query: np.ndarray, k: int, floor: float, own: int) -> tuple[np.ndarray, int, int]:
+        """The rows that may be among the k best (scores not under ``floor``), how deep the lists were read, and how many entries."""
+        n, dims = self.vectors.shape
+        up = query >= 0
+        column = np.arange(dims)
+        first, last = np.where(up, self.lists[-1], self.lists[0]) * query, np.where(up, self.lists[0], self.lists[-1]) * query
+        lower = np.full(n, last.sum())  # each entry that is read takes the place of its list's least
+        hidden = self.ids == own
+        read = np.zeros((n, dims), bool)
+        alive, before, touched = np.flatnonzero(~hidden), 0, 0
+        for depth in self.depths:
+            rows = np.where(up, self.order[n - depth : n - before][::-1], self.order[before:depth])
+            shown = np.where(up, self.lists[n - depth : n - before][::-1], self.lists[before:depth]) * query
+            lower += np.bincount(rows.ravel(), (shown - last).ravel(), n)
+            read[rows, column] = True
+            touched += rows.size
+            before = depth
             if depth == n:
-                lower = upper = shown
+                bar = first * 0.0
             else:
-                unread = lambda end: end.sum(1) - top @ np.where(up, end, 0.0).T - low @ np.where(up, 0.0, end).T  # noqa: B023, E731
-                lower = shown + unread(np.where(up, self.lists[0], self.lists[-1]) * q)
-                upper = shown + unread(np.where(up, self.lists[n - 1 - depth], self.lists[depth]) * q)
-            hidden = self.ids[:, None] == own[going][None, :]
-            lower = np.where(hidden, -np.inf, lower)
-            bar = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(q), -np.inf)
-            alive = (upper >= np.maximum(bar, floor[going])) & ~hidden
-            done = alive.sum(0) <= (n if depth == n else LEFT * k)
-            for i, at in zip(going[done].tolist(), np.flatnonzero(done).tolist(), strict=True):
-                rows[i], depths[i] = np.flatnonzero(alive[:, at]), depth
-            going = going[~done]
-            if not len(going):
+                bar = np.where(up, self.lists[n - 1 - depth], self.lists[depth]) * query
+            known = lower[alive]
+            least = max(np.partition(known, len(known) - k)[len(known) - k] if len(known) > k else -np.inf, floor)
+            # An unseen vector has at most the sum of the lists' next entries.
+            if depth < n and bar.sum() >= least:
+                continue
+            unread = ~read[alive]
+            upper = known + unread @ (bar - last) if depth < n else known
+            alive = alive[upper >= least]
+            if len(alive) <= LEFT * k or depth == n:
                 break
-        return rows, depths
+        return alive, before, touched
+
+    def best(self, queries: np.ndarray, k: int, floor: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The rows for each query, and how deep its lists were read."""
+        found = [self.search(q, k, f, i) for q, f, i in zip(queries, floor, own, strict=True)]
+        return [r for r, _, _ in found], np.array([d for _, d, _ in found])
 
 
 def _integers(column: pd.Series, dims: int) -> np.ndarray:
@@ -104,18 +113,13 @@ def _search(query_ids: np.ndarray, queries: np.ndarray, k: int):
             ids, vectors = batch["vec_id"].to_numpy(np.int64), _integers(batch["vector"], dims)
             exact = np.abs(vectors).max(initial=0.0) * np.abs(wide).max(initial=0.0) * max(1, dims) < 2.0**52
             lists = SortedLists(ids, vectors) if exact and dims else None
-            for at in range(0, len(wide), CHUNK):
-                part = slice(at, at + CHUNK)
-                if lists is None:
-                    rows = [np.flatnonzero(ids != q) for q in query_ids[part]]
-                else:
-                    rows, _ = lists.best(wide[part], k, floor[part], query_ids[part])
-                for i, r in enumerate(rows, at):
-                    if len(r):
-                        scored = zip(_exact_scores(vectors[r], wide[i]), ids[r].tolist(), strict=True)
-                        found[i] = sorted(found[i] + list(scored), key=lambda x: (-x[0], x[1]))[:k]
-                        if len(found[i]) == k:
-                            floor[i] = found[i][-1][0]
+            for i, (q, own) in enumerate(zip(wide, query_ids, strict=True)):
+                r = np.flatnonzero(ids != own) if lists is None else lists.search(q, k, floor[i], own)[0]
+                if len(r):
+                    scored = zip(_exact_scores(vectors[r], q), ids[r].tolist(), strict=True)
+                    found[i] = sorted(found[i] + list(scored), key=lambda x: (-x[0], x[1]))[:k]
+                    if len(found[i]) == k:
+                        floor[i] = found[i][-1][0]
         for q, hits in zip(query_ids.tolist(), found, strict=True):
             if hits:
                 yield pd.DataFrame({"query_id": q, "vec_id": [v for _, v in hits], "score": [s for s, _ in hits]})
@@ -143,15 +147,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     chosen = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = -(-chosen.count() // QUERY_BLOCK)
-    merged = None
+    empty = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    path = scratch_path(spark, "top-k") if blocks > PLAN_BLOCKS else None
+    merged = empty
     for b in range(blocks):
         block = chosen.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
         dims = max((len(v) for v in block["vector"]), default=0)
         run = _search(block["vec_id"].to_numpy(np.int64), _integers(block["vector"], dims), k)
-        hits = vectors.select("vec_id", "vector").mapInPandas(run, "query_id long, vec_id long, score long")
-        merged = hits if merged is None else merged.unionByName(hits)
-    if merged is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        merged = merged.unionByName(vectors.select("vec_id", "vector").mapInPandas(run, "query_id long, vec_id long, score long"))
+        if path and (b % PLAN_BLOCKS == PLAN_BLOCKS - 1 or b == blocks - 1):
+            _ranked(merged, k).drop("rank").write.mode("append").parquet(path)
+            merged = empty
+    return _ranked(spark.read.schema(empty.schema).parquet(path) if path else merged, k)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -55,6 +55,28 @@ def test_topk_stops_before_the_end_of_dense_lists():
     assert np.median(lists.best(q, 10, tenth, np.arange(0, 2000, 100))[1]) <= 1500
 
 
+def test_topk_work_is_in_proportion_to_the_depth():
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.random((4000, 6)) ** 12 * 1000)
+    lists = topk_search.SortedLists(np.arange(4000), x)
+    for i in range(0, 4000, 400):
+        rows, depth, touched = lists.search(x[i], 5, -np.inf, i)
+        assert touched == depth * 6
+        scores = np.where(np.arange(4000) == i, -np.inf, x @ x[i])
+        assert set(np.flatnonzero(scores >= np.sort(scores)[-5])) <= set(rows)
+    assert lists.search(x[0], 5, -np.inf, 0)[1] <= 2000
+
+
+def test_topk_of_many_query_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 5)).round(1)
+    df = topk_search.valid_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    want = sorted(map(tuple, topk_search.top_k(df, df, 3).collect()))
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(topk_search, "PLAN_BLOCKS", 2)
+    assert sorted(map(tuple, topk_search.top_k(df, df, 3).collect())) == want and len(want) == 360
+
+
 def test_topk_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [None, 1.0]), (5, []), (6, [1e30, 1.0]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (100, [1.0, -1.0])]
