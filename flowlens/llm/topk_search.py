@@ -29,7 +29,7 @@ QUERY_BLOCK = 4096
 #: Blocks of queries in one plan; the results of more are stored plan by plan.
 PLAN_BLOCKS = 8
 #: Shares of the lists up to which a query reads before it looks at its bounds.
-STRIDES = (0.03125, 0.0625, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
+STRIDES = (0.03125, 0.125, 0.25, 0.5, 0.75, 0.875, 0.9375, 1.0)
 #: Vectors a query may leave to the final resolution, in multiples of k.
 LEFT = 8
 
@@ -39,26 +39,28 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.lists = np.take_along_axis(vectors, self.order, axis=0)
         n = len(vectors)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.lists = np.take_along_axis(vectors, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        # Every list from its upper end, then every list from its lower one.
+        self.rows, self.values = np.hstack([order[::-1], order]).astype(np.int32), np.hstack([self.lists[::-1], self.lists])
         self.depths = sorted({max(1, int(np.ceil(n * s))) for s in STRIDES})
 
     def search(self, query: np.ndarray, k: int, floor: float, own: int) -> tuple[np.ndarray, int, int]:
         """The rows that may be among the k best (scores not under ``floor``), how deep the lists were read, and how many entries."""
         n, dims = self.vectors.shape
         up = query >= 0
-        column = np.arange(dims)
+        end = np.where(up, 0, dims) + np.arange(dims)
         first, last = np.where(up, self.lists[-1], self.lists[0]) * query, np.where(up, self.lists[0], self.lists[-1]) * query
         lower = np.full(n, last.sum())  # each entry that is read takes the place of its list's least
         hidden = self.ids == own
-        read = np.zeros((n, dims), bool)
         alive, before, touched = np.flatnonzero(~hidden), 0, 0
         for depth in self.depths:
-            rows = np.where(up, self.order[n - depth : n - before][::-1], self.order[before:depth])
-            shown = np.where(up, self.lists[n - depth : n - before][::-1], self.lists[before:depth]) * query
-            lower += np.bincount(rows.ravel(), (shown - last).ravel(), n)
-            read[rows, column] = True
+            rows = self.rows[before:depth].take(end, axis=1)
+            shown = self.values[before:depth].take(end, axis=1)
+            lower += np.bincount(rows.ravel(), (shown * query - last).ravel(), n)
             touched += rows.size
             before = depth
             if depth == n:
@@ -70,8 +72,10 @@ class SortedLists:
             # An unseen vector has at most the sum of the lists' next entries.
             if depth < n and bar.sum() >= least:
                 continue
-            unread = ~read[alive]
-            upper = known + unread @ (bar - last) if depth < n else known
+            upper = known
+            if depth < n:
+                place = self.place[alive]
+                upper = known + np.where(up, place < n - depth, place >= depth) @ (bar - last)
             alive = alive[upper >= least]
             if len(alive) <= LEFT * k or depth == n:
                 break
