@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .set_similarity import similar_pairs
 
 
 def cumulative(scored: DataFrame, by: list[str] | None = None, y: str = "y", score: str = "score", buckets: int = 256) -> DataFrame:
@@ -123,7 +124,7 @@ def ring_metrics(predicted: DataFrame, truth: DataFrame, thetas: tuple[float, ..
     every pair that is the best one left of both its sides; a round is two
     grouped maxima, so sides never meet in one task.
     """
-    pairs = jaccard_pairs(predicted, truth)
+    pairs = similar_pairs(predicted, truth, min(thetas))
     np_, nt = predicted.count(), truth.count()
     members = lambda df, name: df.select(F.explode("members").alias("m")).distinct().withColumn(name, F.lit(1))
     both = members(predicted, "a").join(members(truth, "b"), "m", "full").agg(

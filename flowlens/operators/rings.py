@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .graph import connected_components
-from .metrics import jaccard_pairs
 from .quantiles import column_quantiles
+from .set_similarity import similar_pairs
 
 #: Features of a candidate.
 FEATURES = (
@@ -140,9 +140,9 @@ def truth_rings(patterns: DataFrame, tx: DataFrame, window_tx: DataFrame) -> Dat
 
 def label_candidates(rings: DataFrame, truth: DataFrame, theta: float = 0.5) -> DataFrame:
     """ring_id, y: 1 if some true ring overlaps with a Jaccard of theta or more."""
-    pairs = jaccard_pairs(rings.select(F.col("ring_id").alias("pid"), "members"), truth.select(F.col("ring_id").alias("tid"), "members"))
-    best = pairs.groupBy(F.col("pid").alias("ring_id")).agg(F.max("jaccard").alias("j"))
-    return rings.select("ring_id").join(best, "ring_id", "left").select("ring_id", (F.coalesce("j", F.lit(0.0)) >= theta).cast("int").alias("y"))
+    pairs = similar_pairs(rings.select(F.col("ring_id").alias("pid"), "members"), truth.select(F.col("ring_id").alias("tid"), "members"), theta)
+    like = pairs.select(F.col("pid").alias("ring_id")).distinct().withColumn("y", F.lit(1))
+    return rings.select("ring_id").join(like, "ring_id", "left").select("ring_id", F.coalesce("y", F.lit(0)).alias("y"))
 
 
 def recent_transfers(tx: DataFrame, batch_start: int, hours: int = 96) -> DataFrame:

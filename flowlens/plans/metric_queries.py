@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as D
 from ..operators import metrics as M
+from ..operators.set_similarity import similar_pairs
 from ..operators import splits as S
 from ..sources.transfers import EVENT_TX, ORDER_TX, event_transfers, order_transfers
 from .registry import query, rounded
@@ -212,6 +213,16 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.jaccard_pairs(*_member_sets(spark, sf_dir)), 8, "jaccard")
 
 
+@query("j12_similar_sets", f"""WITH {EVENT_TX}, p AS (SELECT DISTINCT tx_id % 997 AS pid, src FROM tx), q AS (SELECT DISTINCT tx_id % 1499 AS tid, src FROM tx),
+np AS (SELECT pid, count(*) AS n FROM p GROUP BY pid), nq AS (SELECT tid, count(*) AS n FROM q GROUP BY tid),
+j AS (SELECT pid, tid, count(*) / CAST(any_value(np.n) + any_value(nq.n) - count(*) AS DOUBLE) AS jaccard FROM p JOIN q USING (src) JOIN np USING (pid) JOIN nq USING (tid) GROUP BY pid, tid)
+SELECT pid, tid, round(jaccard, 8) AS jaccard FROM j WHERE jaccard >= 0.3""")
+def j12_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tx = event_transfers(spark, sf_dir)
+    sets = lambda k, name: tx.groupBy((F.col("tx_id") % k).alias(name)).agg(F.collect_set("src").alias("members"))
+    return rounded(similar_pairs(sets(997, "pid"), sets(1499, "tid"), 0.3), 8, "jaccard")
+
+
 @query("a20_ring_metrics")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.ring_metrics(*_member_sets(spark, sf_dir))
