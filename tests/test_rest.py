@@ -170,6 +170,20 @@ def test_packets_notes_and_serving(spark):
         V.set_disposition(alert, 1, "freeze")
 
 
+def test_evidence_of_a_hub_by_blocks_of_days(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, 0 if i % 2 else rng.randrange(1, 6), rng.randrange(1, 6) if i % 2 else 0, float(i), rng.randrange(21 * 86400) + 5 * 86400, "x", rng.randrange(50) / 50) for i in range(400)]
+    tx = spark.createDataFrame(rows, "tx_id long, src long, dst long, amount double, t long, fmt string, score double")
+    late = (999, 0, 3, 1.0, 400 * 86400, "x", 0.5)  # long after the last transfer
+    alerts = tx.where("tx_id % 13 = 0").unionByName(spark.createDataFrame([late], tx.schema))
+    got = {r["tx_id"]: [e["tx_id"] for e in r["edges"]] for r in E.graph_evidence(alerts, tx, 5).collect()}
+    for a in [r for r in rows if r[0] % 13 == 0] + [late]:
+        near = [r for r in rows if r[4] < a[4] and {r[1], r[2]} & {a[1], a[2]}]
+        assert got[a[0]] == [r[0] for r in sorted(near, key=lambda r: (-r[6], -r[4], r[0]))[:5]], a
+
+
 def test_feature_labels(spark):
     names = ["amt_z_src", "src_out_cnt_24h", "dst_in_sum_1h", "src_pagerank", "some_thing"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(fn.feature_label(F.col("n"))).collect()]
