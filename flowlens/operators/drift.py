@@ -69,10 +69,11 @@ def ks_statistic(reference: DataFrame, current: DataFrame, feature: str, buckets
         current.select(F.col(feature).cast("double").alias("x"), F.lit(0).alias("a"))
     ).where("x is not null and not isnan(x)")
     points = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum(1 - F.col("a")).alias("b"))
-    span = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    width = (F.col("hi") - F.col("lo")) / buckets
-    slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(buckets - 1))).otherwise(F.lit(0))
-    points = points.crossJoin(F.broadcast(span)).withColumn("slot", slot)
+    # Ranges of about as many distinct values each, however they are spread.
+    bounds = F.array_distinct(F.percentile_approx("x", [i / buckets for i in range(1, buckets)])).alias("bounds")
+    span = points.agg(bounds, F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    slot = F.size(F.filter("bounds", lambda v: v < F.col("x")))
+    points = points.crossJoin(F.broadcast(span)).withColumn("slot", slot).drop("bounds")
     totals = points.groupBy("slot").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
@@ -140,11 +141,17 @@ def monitored_columns(columns: list[str], cumulative: tuple[str, ...] = CUMULATI
 
 
 def bulk_load(tx: DataFrame, scores: DataFrame, version: str, table: str) -> int:
-    """Replace a table with the transfers, their scores (null if unscored) and the model's version; its rows.
+    """Replace what the view ``table`` shows with the transfers, their scores (null if unscored) and the model's version; its rows.
 
-    Spark writes the partitions in parallel; readers see the old table until the
-    new one is complete.
+    Every load writes a table of its own, in parallel; the view is pointed to it
+    when it is complete, so that readers see the old rows until then.  The
+    tables of earlier loads stay for readers that have begun.
     """
+    spark = tx.sparkSession
     joined = tx.join(scores.select("tx_id", "score"), "tx_id", "left").withColumn("model_version", F.lit(version))
-    joined.write.mode("overwrite").saveAsTable(table)
-    return tx.sparkSession.table(table).count()
+    loaded = f"{table}_{uuid.uuid4().hex}"
+    joined.write.saveAsTable(loaded)
+    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {loaded}")
+    return spark.table(loaded).count()

@@ -45,6 +45,19 @@ def rule_hits(df: DataFrame, limits: dict[str, float]) -> DataFrame:
     return out.withColumn("rule_hits", names).withColumn("rule_score", F.size("rule_hits") + 1e-3 * F.col("log_amount") / 30)
 
 
+def random_scores(df: DataFrame, seed: int = 0) -> DataFrame:
+    """tx_id and a score in [0, 1) that depends on id and seed alone: the floor for every ranking."""
+    mixed = F.pmod(F.col("tx_id").cast("long") * 2_654_435_761 + seed * 40_503, F.lit(1 << 32))
+    return df.select("tx_id", (mixed / float(1 << 32)).alias("score"))
+
+
+def join_scores(df: DataFrame, scores: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with a column for each model's scores (tx_id, score); rows that a model left out are left out."""
+    for name, scored in scores.items():
+        df = df.join(scored.select("tx_id", F.col("score").alias(name)), "tx_id")
+    return df
+
+
 def _balanced(train: DataFrame, label: str) -> DataFrame:
     pos, n = train.agg(F.sum(label), F.count("*")).first()
     weight = F.when(F.col(label) == 1, n / (2.0 * max(pos or 0, 1))).otherwise(n / (2.0 * max(n - (pos or 0), 1)))

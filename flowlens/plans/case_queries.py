@@ -92,6 +92,20 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_transfers(spark, sf_dir).select("tx_id", F.col("amount").alias("score"))
 
 
+@query("m1_random", f"WITH {EVENT_TX} SELECT tx_id, (tx_id * 2654435761 + 3 * 40503) % 4294967296 / 4294967296.0 AS score FROM tx")
+def m1_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.random_scores(event_transfers(spark, sf_dir), 3)
+
+
+@query("j4_joined_scores", f"""WITH {EVENT_TX}, c AS (SELECT tx_id, round(amount / (1 + amount), 8) AS amount_score FROM tx WHERE label IS NOT NULL AND tx_id % 5 <> 1)
+SELECT tx_id, label, (tx_id * 2654435761) % 4294967296 / 4294967296.0 AS random_score, amount_score FROM tx JOIN c USING (tx_id)""")
+def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model for all transfers and of one that left some out."""
+    tx = event_transfers(spark, sf_dir)
+    by_amount = tx.where("label is not null and tx_id % 5 <> 1").select("tx_id", F.round(F.col("amount") / (1 + F.col("amount")), 8).alias("score"))
+    return C.join_scores(tx.select("tx_id", "label"), {"random_score": C.random_scores(tx), "amount_score": by_amount})
+
+
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     df = S.temporal_split(_featured(spark, sf_dir).withColumn("label", F.when(F.col("amount") > 100, 1).otherwise(F.col("label"))))
     stored = materialize(df, "folds")  # models read their rows many times

@@ -169,9 +169,11 @@ def t7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.assert_no_future_edges(account_graph(tx, (lo + hi) // 2), (lo + hi) // 2).select("src", "dst", "last_t")
 
 
-@query("p11_out_of_order", f"WITH {EVENT_TX} SELECT tx_id FROM (SELECT tx_id, t, max(t) OVER (ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM tx) WHERE t < top")
+@query("p11_out_of_order", f"""WITH {EVENT_TX}, late AS (SELECT tx_id, t - CASE WHEN tx_id % 13 = 0 THEN 9000 ELSE 0 END AS t FROM tx)
+SELECT tx_id FROM (SELECT tx_id, t, max(t) OVER (ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM late) WHERE t < top""")
 def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw.out_of_order(event_transfers(spark, sf_dir), "tx_id", "t").select("tx_id")
+    late = event_transfers(spark, sf_dir).withColumn("t", F.col("t") - F.when(F.col("tx_id") % 13 == 0, 9000).otherwise(0))
+    return raw.out_of_order(late, "tx_id", "t").select("tx_id")
 
 
 @query("p13_feature_labels")

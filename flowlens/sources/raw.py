@@ -17,6 +17,9 @@ FIELDS = (
 TIME = "yyyy/MM/dd HH:mm"
 KEY = ["timestamp", "src", "dst", "amount_paid", "pay_currency", "amount_received", "recv_currency", "payment_format"]
 
+#: Rows of a range of positions at least, ranges at most; entries of a vocabulary that are broadcast at most.
+RANGE_ROWS, RANGES, WORDS = 100_000, 100_000, 100_000
+
 
 class DataValidationError(ValueError):
     """Input that breaks its contract."""
@@ -113,9 +116,10 @@ def out_of_order(df: DataFrame, position: str, time: str = "timestamp") -> DataF
 
     Tables have no order, so the check is against the row number of the source.
     Within a range of positions a running maximum serves; ranges meet by their
-    maxima, one row each.
+    maxima, one row each, of which there are no more than ``RANGES``.
     """
-    size = 100_000
+    last = df.agg(F.max(position)).first()[0] or 0
+    size = max(RANGE_ROWS, int(last) // RANGES + 1)
     placed = df.withColumn("__range", F.floor(F.col(position) / size))
     tops = placed.groupBy("__range").agg(F.max(time).alias("__top"))
     before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
@@ -179,9 +183,13 @@ def pattern_report(matched: DataFrame) -> DataFrame:
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with <column>_code: place in the sorted vocabulary, -1 for null (a row a category: small)."""
+    """``df`` with <column>_code: place in the sorted vocabulary, -1 for null.
+
+    The vocabulary is broadcast up to ``WORDS`` entries, and joined by key beyond.
+    """
     words = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__c", F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(F.broadcast(words), column, "left").withColumn(f"{column}_code", F.coalesce("__c", F.lit(-1))).drop("__c")
+    small = words.limit(WORDS + 1).count() <= WORDS
+    return df.join(F.broadcast(words) if small else words, column, "left").withColumn(f"{column}_code", F.coalesce("__c", F.lit(-1))).drop("__c")
 
 
 def tabular_features(df: DataFrame) -> DataFrame:
