@@ -141,17 +141,18 @@ def monitored_columns(columns: list[str], cumulative: tuple[str, ...] = CUMULATI
 
 
 def bulk_load(tx: DataFrame, scores: DataFrame, version: str, table: str) -> int:
-    """Replace what the view ``table`` shows with the transfers, their scores (null if unscored) and the model's version; its rows.
+    """Replace a table with the transfers, their scores (null if unscored) and the model's version; its rows.
 
-    Every load writes a table of its own, in parallel; the view is pointed to it
-    when it is complete, so that readers see the old rows until then.  The
-    tables of earlier loads stay for readers that have begun.
+    The rows are written to a table of another name, in parallel, and the old
+    table stays as it is until they are complete.  Then it is dropped and the
+    new one takes its name: readers between the two steps don't find the name,
+    those still at the old rows have to start again.
     """
     spark = tx.sparkSession
     joined = tx.join(scores.select("tx_id", "score"), "tx_id", "left").withColumn("model_version", F.lit(version))
     loaded = f"{table}_{uuid.uuid4().hex}"
     joined.write.saveAsTable(loaded)
-    if spark.catalog.tableExists(table) and spark.catalog.getTable(table).tableType != "VIEW":
-        spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {loaded}")
-    return spark.table(loaded).count()
+    rows = spark.table(loaded).count()
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    spark.sql(f"ALTER TABLE {loaded} RENAME TO {table}")
+    return rows
