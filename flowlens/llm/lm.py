@@ -11,6 +11,10 @@ failure state, so the failure arc of an unseen word weighs K / (c + K).  These
 add up to one after every state, whatever is seen.  The root is a Witten-Bell
 unigram model in which an unknown word is one event, that of all new words.
 
+A chunk of texts is read by the part of the automaton that it can reach:
+arrays of states, arcs and failure arcs, built from the total counts of the
+chunk's n-grams.
+
 Size: every n-gram of every training text counts, the rare ones too; no task
 holds them all.  Texts form chunks of ``CHUNK_BYTES``.  A chunk asks the bucket
 of each of its different n-grams once, in the order of the keys, and the answer
@@ -22,6 +26,7 @@ key that another has, too.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -39,6 +44,8 @@ ORDER, LENT = 3, (0.0, 500.0, 4.0)
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Bits of an n-gram's key beyond the logarithm of the number of bytes of all texts.
 SPARE_BITS = 16
+#: Tokens of a text that are read in one go.
+PIECE = 512
 #: Word codes that a task remembers.
 REMEMBERED = 200_000
 #: The end of a text, as a word; no real word is empty.
@@ -114,21 +121,123 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, ranked[begins], begins
 
 
-def log_probabilities(counts: list[np.ndarray], real: list[np.ndarray], tokens: int, types: int) -> np.ndarray:
-    """log10 of each token's probability after the state that the tokens before it lead to.
+def numbered(texts: list[np.ndarray], mask: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the number of the n-gram that ends at each token (-1: none), a token where each ends, and the keys.
+
+    Numbers go by key.
+    """
+    for keys, real in ngram_keys(texts, mask):
+        at = np.flatnonzero(real)
+        order, found, begins = _distinct(keys[at])
+        ids = np.full(len(keys), -1)
+        ids[at[order]] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(at))))
+        yield ids, at[order[begins]], found
+
+
+# --- the automaton ------------------------------------------------------------
 
-    ``counts[n - 1]`` are training counts of the n-grams that end at each token,
-    ``real`` where there are such.  The state after a token is the longest
-    n-gram below ``ORDER`` that ends there, so the traversal is one pass over
-    arrays: from the root up, arcs where the n-gram was seen, failure weights
-    times the shorter state's probability where not.
+
+@dataclass(frozen=True)
+class Automaton:
+    """The part of the model's automaton that some texts can reach.
+
+    State 0 is the root.  ``root_log`` and ``root_to`` hold its arc for each
+    word; an unknown word leads back to it.  Arcs of the other states are sorted
+    by ``arcs`` = state * number of words + word (the last one matches nothing).
+    A state without an arc for a word passes it on to state ``fail`` at the
+    weight ``fail_log``.  Weights are log10.
+    """
+
+    root_log: np.ndarray
+    root_to: np.ndarray
+    arcs: np.ndarray
+    arc_log: np.ndarray
+    arc_to: np.ndarray
+    fail: np.ndarray
+    fail_log: np.ndarray
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of reading a word in each state, and the state after it."""
+        log, to, at = np.zeros(len(word)), np.zeros(len(word), np.int64), state.copy()
+        lost = np.flatnonzero(at)
+        down = [np.flatnonzero(at == 0)]
+        while len(lost):
+            wanted = at[lost] * len(self.root_to) + word[lost]
+            arc = np.searchsorted(self.arcs, wanted)
+            hit = self.arcs[arc] == wanted
+            log[lost[hit]] += self.arc_log[arc[hit]]
+            to[lost[hit]] = self.arc_to[arc[hit]]
+            lost = lost[~hit]
+            log[lost] += self.fail_log[at[lost]]
+            at[lost] = self.fail[at[lost]]
+            down.append(lost[at[lost] == 0])
+            lost = lost[at[lost] > 0]
+        root = np.concatenate(down)
+        log[root] += self.root_log[word[root]]
+        to[root] = self.root_to[word[root]]
+        return log, to
+
+    def read(self, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The weight of each token of texts that follow one another, each read from left to right.
+
+        Texts are read side by side.  Long ones are cut: a state says no more
+        than the last ORDER - 1 tokens, so a piece starts at the root that many
+        tokens early and has the state that the whole text leads to.
+        """
+        ends = np.cumsum(lengths)
+        pieces = -(-lengths // PIECE)
+        first = np.repeat(ends - lengths, pieces)
+        begin = first + PIECE * (np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + PIECE, np.repeat(ends, pieces))
+        start = np.maximum(first, begin - ORDER + 1)
+        longest = np.argsort(start - end)
+        begin, start, size = begin[longest], start[longest], (end - start)[longest]
+        state, out = np.zeros(len(start), np.int64), np.empty(len(word))
+        for i in range(size[0] if len(size) else 0):
+            going = np.searchsorted(-size, -i)
+            at = start[:going] + i
+            log, state = self.step(state[:going], word[at])
+            own = at >= begin[:going]
+            out[at[own]] = log[own]
+        return out
+
+
+def automaton(ids: list[np.ndarray], where: list[np.ndarray], counts: list[np.ndarray], tokens: int, types: int) -> Automaton:
+    """States, arcs and failure arcs of n-grams (see :func:`numbered`) with their counts in training.
+
+    An n-gram that training has is an arc from the state of its first n - 1
+    words to the longest state that is a suffix of it; below ORDER that is the
+    n-gram itself.  Its probability needs that of the same word in the failure
+    state, so orders go upwards.
     """
     whole = float(max(1, tokens + types))
     p = np.where(counts[0] > 0, counts[0] / whole, types / whole if tokens else 1.0)
+    own = np.where(counts[0] > 0, np.cumsum(counts[0] > 0), 0)  # state of each n-gram, 0 if it is none
+    to, states = own, 1 + int((counts[0] > 0).sum())
+    root_log, root_to = np.log10(p), to
+    fail, fail_log = [np.zeros(states, np.int64)], [np.zeros(1)]
+    arcs, arc_log, arc_to = [], [], []
     for n in range(1, ORDER):
-        at = np.flatnonzero(real[n])
-        p[at] = (counts[n][at] + LENT[n] * p[at]) / (counts[n - 1][at - 1] + LENT[n])
-    return np.log10(p)
+        state, suffix = own[ids[n - 1][where[n] - 1]], ids[n - 1][where[n]]
+        seen = counts[n - 1][ids[n - 1][where[n] - 1]]
+        fail_log.append(np.log10(LENT[n] / (counts[n - 1][counts[n - 1] > 0] + LENT[n])))
+        real = (counts[n] > 0) & (state > 0)
+        counts = [*counts[:n], np.where(real, counts[n], 0), *counts[n + 1 :]]
+        p = (counts[n] + LENT[n] * p[suffix]) / (seen + LENT[n])
+        shorter, own = to[suffix], np.zeros(len(p), np.int64)
+        if n + 1 < ORDER:
+            own[real] = states + np.arange(int(real.sum()))
+            fail.append(shorter[real])
+            states += int(real.sum())
+        to = np.where(own > 0, own, shorter)
+        arcs.append(state[real] * len(root_to) + ids[0][where[n][real]])
+        arc_log.append(np.log10(p[real]))
+        arc_to.append(to[real])
+    order = np.argsort(np.concatenate(arcs))
+    return Automaton(
+        root_log, root_to, np.append(np.concatenate(arcs)[order], np.iinfo(np.int64).max), np.concatenate(arc_log)[order],
+        np.concatenate(arc_to)[order], np.concatenate(fail), np.concatenate(fail_log),
+    )
 
 
 # --- chunks and buckets -----------------------------------------------------
@@ -266,26 +375,25 @@ def _score(buckets: int, mask: np.uint64, tokens: int, types: int):
         told = {(n, b): (c, size) for n, b, c, size in zip(*(right.column(c).to_pylist() for c in ("n", "bucket", "counts", "size")), strict=True)}
         for rows in left.column("rows").to_pylist():
             table, texts = _encoded(rows, codes)
-            counts, reals = [], []
-            for n, (keys, real) in enumerate(ngram_keys(texts, mask)):
-                order, _, begins = _distinct(keys[real])
-                total = np.concatenate([_numbers(*told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")])
-                own, at = np.zeros(len(keys), np.int64), np.flatnonzero(real)
-                own[at[order]] = np.repeat(total, np.diff(np.append(begins, len(at))))
-                counts.append(own)
-                reals.append(real)
-                del order, begins, at
-            first = np.cumsum([0, *(len(t) for t in texts[:-1])])
-            base = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
-            score = log_probabilities(counts, reals, tokens, types)
+            ids, where, counts = [], [], []
+            for n, (own, ends, _) in enumerate(numbered(texts, mask)):
+                ids.append(own)
+                where.append(ends)
+                counts.append(np.concatenate([_numbers(*told[n, b], "<i8") for b in range(buckets) if (n, b) in told] or [np.empty(0, "<i8")]))
+            lengths = np.array([len(t) for t in texts], np.int64)
+            score = automaton(ids, where, counts, tokens, types).read(ids[0], lengths)
+            known = counts[0][ids[0]]
+            del ids, where, counts
+            first = np.cumsum(lengths) - lengths
+            base = np.log10((known + 1.0) / (tokens + types + 1.0))
             added = lambda x: np.add.reduceat(x, first)
             parts.append(
                 pa.table(
                     {
                         "doc_id": table.column("doc_id"),
                         "held_out": table.column("held_out"),
-                        "n_tokens": pa.array([len(t) for t in texts], pa.int64()),
-                        "n_known": pa.array(added((counts[0] > 0).astype(np.int64)), pa.int64()),
+                        "n_tokens": pa.array(lengths),
+                        "n_known": pa.array(added((known > 0).astype(np.int64)), pa.int64()),
                         "base_score": pa.array(added(base)),
                         "score": pa.array(added(score)),
                     }

@@ -270,9 +270,9 @@ def test_automaton_states_sum_to_one():
     model = Brute(trained)
 
     def last(s):
-        keys, real = zip(*lm.ngram_keys([codes(s)], lm.key_mask(10**6)))
-        counts = [np.array([seen[n].get(k, 0) for k in own]) for n, own in enumerate(keys)]
-        return 10 ** lm.log_probabilities(counts, real, model.n, model.v)[-1]
+        ids, where, keys = zip(*lm.numbered([codes(s)], lm.key_mask(10**6)))
+        counts = [np.array([seen[n].get(k, 0) for k in own], np.int64) for n, own in enumerate(keys)]
+        return 10 ** lm.automaton(ids, where, counts, model.n, model.v).read(ids[0], np.array([len(s)]))[-1]
 
     for history in ([], [0], [3], [0, 1], [2, 0], [1, 1], [5, 9], [9, 9]):
         assert sum(last([*history, w]) for w in (*range(7), 99)) == pytest.approx(1.0)
@@ -280,6 +280,59 @@ def test_automaton_states_sum_to_one():
             assert last([*history, w]) == pytest.approx(model.p(tuple(history), w))
 
 
+def _automaton_of(trained, texts):
+    """The automaton that the texts can reach, its input and the names of its states."""
+    codes = lambda s: np.array(s, np.uint64)
+    mask = lm.key_mask(10**6)
+    seen = [dict(zip(*np.unique(keys[real], return_counts=True))) for keys, real in lm.ngram_keys([codes(s) for s in trained], mask)]
+    ids, where, keys = zip(*lm.numbered([codes(s) for s in texts], mask))
+    counts = [np.array([seen[n].get(k, 0) for k in own], np.int64) for n, own in enumerate(keys)]
+    flat = [w for s in texts for w in s]
+    names = [()]
+    for n in range(lm.ORDER - 1):
+        names += [tuple(flat[e - n : e + 1]) for e, c in zip(where[n], counts[n]) if c]
+    model = Brute(trained)
+    return lm.automaton(ids, where, counts, model.n, model.v), ids[0], [flat[e] for e in where[0]], names, model
+
+
+def test_automaton_states_arcs_and_failure_arcs():
+    rng = np.random.default_rng(11)
+    made = lambda k: [[*rng.integers(0, 9, rng.integers(1, 40)).tolist(), 9] for _ in range(k)]
+    trained, texts = made(40), [*made(15), [77, 1, 77, 2, 9]]
+    a, _, words, names, model = _automaton_of(trained, texts)
+    assert len(a.fail) == len(a.fail_log) == len(names) and len(set(names)) == len(names)
+    here = [{g for s in texts for g in zip(*(s[i:] for i in range(n)))} for n in (1, 2, 3)]
+    assert set(names[1:]) == {g for n in (0, 1) for g in here[n] if model.c[n][g]}
+    for state, name in enumerate(names[1:], 1):
+        lent, c = lm.LENT[len(name)], model.c[len(name) - 1][name]
+        assert names[a.fail[state]] == name[1:] and 10 ** a.fail_log[state] == pytest.approx(lent / (c + lent))
+    arcs = {(names[k // len(words)], words[k % len(words)]): j for j, k in enumerate(a.arcs[:-1].tolist())}
+    assert set(arcs) == {(g[:-1], g[-1]) for n in (1, 2) for g in here[n] if model.c[n][g]}
+    for (name, w), j in arcs.items():
+        longest = next(t for i in range(3) if len(t := (*name, w)[i:]) < lm.ORDER and t in names)
+        assert names[a.arc_to[j]] == longest and 10 ** a.arc_log[j] == pytest.approx(model.p(name, w))
+    for k, w in enumerate(words):
+        assert names[a.root_to[k]] == ((w,) if model.c[0][(w,)] else ()) and 10 ** a.root_log[k] == pytest.approx(model.p((), w))
+
+
+def test_one_traversal_carries_the_state_and_pieces_start_in_the_right_one(monkeypatch):
+    rng = np.random.default_rng(12)
+    made = lambda k, most: [[*rng.integers(0, 12, rng.integers(1, most)).tolist(), 12] for _ in range(k)]
+    trained, texts = made(60, 50), [*made(20, 30), *made(2, 400), [12]]
+    a, read, _, _, model = _automaton_of(trained, texts)
+    state, one_by_one = np.zeros(1, np.int64), []
+    for s in texts:
+        state[:] = 0
+        for k in read[len(one_by_one) : len(one_by_one) + len(s)]:
+            log, state = a.step(state, np.array([k]))
+            one_by_one.append(log[0])
+    lengths = np.array([len(s) for s in texts])
+    for piece in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        assert a.read(read, lengths) == pytest.approx(one_by_one)
+    assert np.add.reduceat(a.read(read, lengths), np.cumsum(lengths) - lengths) == pytest.approx([model.score(s) for s in texts])
+
+
 def test_copies_of_held_out_texts_score_higher(spark):
     """Text that training holds is told from text that it doesn't, though all words are known to it."""
     rng = random.Random(3)
