@@ -204,7 +204,22 @@ class Adwin:
         return changed
 
 
-def detect(values: DataFrame, make: Callable[[], PageHinkley | Adwin], key: str = "stream") -> DataFrame:
+@dataclass
+class Patience:
+    """A level reached by ``patience`` values one after another; an alarm starts the count anew."""
+
+    level: float = DRIFT
+    patience: int = 1
+    state: list[float] = field(default_factory=lambda: [0.0])
+
+    def update(self, x: float) -> bool:
+        streak = self.state[0] + 1 if x >= self.level else 0.0
+        alarm = streak >= self.patience
+        self.state = [0.0 if alarm else streak]
+        return alarm
+
+
+def detect(values: DataFrame, make: Callable[[], PageHinkley | Adwin | Patience], key: str = "stream") -> DataFrame:
     """Alarms (key, i, x) of an ordered detector over each stream's rows (i, x).
 
     A stream is one monitored statistic, a row a window: streams are many and

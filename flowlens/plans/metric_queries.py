@@ -10,7 +10,9 @@ from ..operators import metrics as M
 from ..operators.set_similarity import similar_pairs
 from ..operators import splits as S
 from ..sources.transfers import EVENT_TX, ORDER_TX, event_transfers, order_transfers
-from .registry import query, rounded
+from ..streaming.look_back import alert_look_back
+from ..streaming.replay import detect_stream, run_through
+from .registry import SQL, query, rounded
 
 #: A score with some signal and many ties, from whole numbers only.
 _SCORE = "CAST((tx_id * 7919) % 1000 + label * 300 AS DOUBLE) / 1300"
@@ -170,6 +172,28 @@ def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detect(days.withColumn("x", F.col("x") + F.when(F.col("i") > 15, 100).otherwise(0)), lambda: D.Adwin())
 
 
+@query("d8_threshold_stream", SQL["d8_threshold_alarms"])
+def d8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_through(lambda days: detect_stream(days, lambda: D.Patience(level=50.0, patience=2)), _daily(spark, sf_dir), "threshold-stream")
+
+
+@query("d7_adwin_stream")
+def d7_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector of ``d7_adwin`` with its window as state, on the hourly mean amount of each payment format."""
+    hours = event_transfers(spark, sf_dir).groupBy(F.col("fmt").alias("stream"), F.floor(F.col("t") / 3600).cast("long").alias("i")).agg(F.avg("amount").alias("x"))
+    return run_through(lambda values: detect_stream(values, lambda: D.Adwin()), hours, "adwin-stream")
+
+
+@query("d2_stream_look_back", f"""WITH {EVENT_TX}, e AS (SELECT *, {_SCORE} AS score FROM tx), a AS (SELECT * FROM e WHERE score >= 0.95 AND t + 1 + 3600 <= (SELECT max(t) FROM e)),
+s AS (SELECT tx_id, src AS account, t FROM a UNION SELECT tx_id, dst, t FROM a), h AS (SELECT src AS account, t, amount, score FROM e UNION ALL SELECT dst, t, amount, score FROM e WHERE src <> dst)
+SELECT s.tx_id, s.account, s.t, count(h.t) AS n, round(coalesce(sum(h.amount), 0), 4) AS amount, count(h.t) FILTER (WHERE h.score >= 0.95) AS hot, round(max(h.score), 6) AS most
+FROM s LEFT JOIN h ON h.account = s.account AND h.t < s.t AND h.t >= s.t - 345600 GROUP BY s.tx_id, s.account, s.t""")
+def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What both accounts of every alert did in the 96 hours before, for all alerts that the watermark has passed."""
+    out = run_through(lambda tx: alert_look_back(tx, 0.95), _scored(spark, sf_dir).select("tx_id", "src", "dst", "t", "amount", "score"), "look-back")
+    return rounded(rounded(out, 4, "amount"), 6, "most")
+
+
 _RING_DATA = """
 mem AS (SELECT tx_id % 40 AS ring_id, src AS account, t FROM tx WHERE label = 1 UNION ALL SELECT tx_id % 40, dst, t FROM tx WHERE label = 1),
 rings AS (SELECT ring_id, min(t) AS t_start, max(t) AS t_end FROM mem GROUP BY ring_id),

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators.drift import PageHinkley, status
+from ..operators.drift import Adwin, PageHinkley, Patience, status
+from ..session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int = 1) -> DataFrame:
@@ -45,28 +46,58 @@ def with_status(windows: DataFrame, warn: float, drift: float) -> DataFrame:
     return windows.withColumn("status", status(F.col("mean_score"), warn, drift))
 
 
-class PageHinkleyProcessor(StatefulProcessor):
-    """Carries a Page-Hinkley detector across micro-batches for every stream key; puts out the alarms."""
+class DetectorProcessor(StatefulProcessor):
+    """Carries a detector's numbers across micro-batches for every stream key; puts out the alarms."""
 
-    def __init__(self, delta: float = 0.005, threshold: float = 50.0, direction: str = "up"):
-        self.options = {"delta": delta, "threshold": threshold, "direction": direction}
+    def __init__(self, make: Callable[[], PageHinkley | Adwin | Patience]):
+        self.make = make
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("detector", ", ".join(f"s{i} double" for i in range(6)))
+        self.state = handle.getListState("detector", "x double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        detector = PageHinkley(**self.options)
-        if self.state.exists():
-            detector.state = list(self.state.get())
+        detector = self.make()
+        before = [float(x) for (x,) in self.state.get()] if self.state.exists() else []
+        if before:
+            detector.state = before
         values = pd.concat(list(rows)).sort_values("i")
         alarms = values[[detector.update(float(x)) for x in values["x"]]]
-        self.state.update(tuple(float(s) for s in detector.state))
+        after = [float(x) for x in detector.state]
+        if before and after[: len(before)] == before:  # a window that only grew
+            if len(after) > len(before):
+                self.state.appendList([(x,) for x in after[len(before) :]])
+        elif after:
+            self.state.put([(x,) for x in after])
+        else:
+            self.state.clear()
         yield pd.DataFrame({"stream": key[0], "i": alarms["i"].astype("int64"), "x": alarms["x"].astype("float64")})
 
     def close(self) -> None:
         pass
 
 
-def detect_stream(values: DataFrame, **options: object) -> DataFrame:
-    """Alarms (stream, i, x) of a keyed stream of values; needs the RocksDB state store."""
-    return values.groupBy("stream").transformWithStateInPandas(PageHinkleyProcessor(**options), "stream string, i long, x double", "Append", "None")
+def detect_stream(values: DataFrame, make: Callable[[], PageHinkley | Adwin | Patience] | None = None, **options: object) -> DataFrame:
+    """Alarms (stream, i, x) of a keyed stream of values, by ``make`` or else Page-Hinkley with ``options``; needs the RocksDB state store.
+
+    Values come in order of i from batch to batch; within one they are sorted.
+    """
+    made = make or (lambda: PageHinkley(**options))
+    return values.groupBy("stream").transformWithStateInPandas(DetectorProcessor(made), "stream string, i long, x double", "Append", "None")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_through(made: Callable[[DataFrame], DataFrame], rows: DataFrame, name: str) -> DataFrame:
+    """``made`` applied to ``rows`` as a stream until all is read; its output as a table in the shared folder."""
+    spark = rows.sparkSession
+    folder = scratch_path(spark, name)
+    rows.write.parquet(f"{folder}/in")
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = made(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
