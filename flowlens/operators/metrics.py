@@ -111,10 +111,11 @@ def summarise_early_warning(ewt: DataFrame) -> DataFrame:
 
 def jaccard_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """pid, tid, jaccard for every predicted and true member set that share a member."""
-    left = predicted.select("pid", F.size(F.array_distinct("members")).alias("np"), F.explode(F.array_distinct("members")).alias("m"))
-    right = truth.select("tid", F.size(F.array_distinct("members")).alias("nt"), F.explode(F.array_distinct("members")).alias("m"))
-    shared = left.join(right, "m").groupBy("pid", "tid", "np", "nt").agg(F.count("*").alias("common"))
-    return shared.select("pid", "tid", (F.col("common") / (F.col("np") + F.col("nt") - F.col("common"))).alias("jaccard"))
+    # Sizes are counted over the exploded rows: a generator beside an array would work through the array once a member.
+    left, right = (sets.select(key, F.explode("members").alias("m")).distinct() for sets, key in ((predicted, "pid"), (truth, "tid")))
+    shared = left.join(right, "m").groupBy("pid", "tid").agg(F.count("*").alias("common"))
+    sized = shared.join(left.groupBy("pid").agg(F.count("*").alias("np")), "pid").join(right.groupBy("tid").agg(F.count("*").alias("nt")), "tid")
+    return sized.select("pid", "tid", (F.col("common") / (F.col("np") + F.col("nt") - F.col("common"))).alias("jaccard"))
 
 
 def ring_metrics(predicted: DataFrame, truth: DataFrame, thetas: tuple[float, ...] = (0.3, 0.5, 0.7), max_rounds: int = 1000) -> DataFrame:
