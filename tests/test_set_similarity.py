@@ -63,3 +63,21 @@ def test_jaccard_of_all_pairs_works_through_no_array_a_member(spark):
             if (x & y) - {None}:
                 plain[p, t] = len((x & y) - {None}) / (len(x) + len(y) - len((x & y) - {None}))
     assert found == pytest.approx(plain)
+
+
+def test_many_candidates_are_counted_not_laid_side_by_side(spark, monkeypatch):
+    """Counted meetings give the pairs of compared arrays."""
+    left, right = sets(7, 40), sets(8, 40)
+    make = lambda rows, name: spark.createDataFrame(rows, f"{name} long, members array<long>")
+    monkeypatch.setattr(J, "BESIDE", 0)
+    made = J.similar_pairs(make(left, "pid"), make(right, "tid"), 0.1)
+    assert "array_intersect" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r["pid"], r["tid"]): r["jaccard"] for r in made.collect()} == pytest.approx(brute(left, right, 0.1))
+
+
+def test_sets_that_share_little_are_no_candidates(spark):
+    """One shared member early in both prefixes is not enough: the others would have to be behind them."""
+    sets_ = lambda k, name: spark.createDataFrame([(i, [i % 7, *range(k + 100 * i, k + 100 * i + 40)]) for i in range(30)], f"{name} long, members array<long>")
+    p, t = sets_(10_000, "pid"), sets_(90_000, "tid")
+    counts = p.select(F.explode("members").alias("m")).unionAll(t.select(F.explode("members").alias("m"))).groupBy("m").agg(F.lit(1).cast("long").alias("df"))
+    assert J.candidate_classes(J._ordered(p, "pid", counts)[0], J._ordered(t, "tid", counts)[0], 0.3).count() == 0
