@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,23 +47,43 @@ def leaves(model: object) -> list[Leaf]:
     return found
 
 
+#: Features on a path up to which a leaf's contributions are worked out once for every pattern of passed splits.
+PATTERNS = 8
+
+
+def _shares(leaf: Leaf, passes: np.ndarray) -> np.ndarray:
+    """Contributions of the features on a leaf's path (path by columns of ``passes``)."""
+    d, n = passes.shape
+    share = [p[3] for p in leaf.path]
+    order = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+    out = np.zeros((d, n))
+    for i in range(d):
+        sums = np.zeros((d, n))  # by size of the coalition, of products over the other features
+        sums[0] = 1.0
+        for j in range(d):
+            if j != i:
+                sums[1:] = sums[1:] * share[j] + sums[:-1] * passes[j]
+                sums[0] *= share[j]
+        out[i] = leaf.value * (passes[i] - share[i]) * (order @ sums)
+    return out
+
+
 def shapley(found: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Contributions (rows by features) and the expected margin."""
     out, base = np.zeros(x.shape), 0.0
     for leaf in found:
         d = len(leaf.path)
-        share = np.array([p[3] for p in leaf.path])
-        passes = np.array([(p[1] < x[:, p[0]]) & (x[:, p[0]] <= p[2]) for p in leaf.path], float).reshape(d, len(x))
-        base += leaf.value * float(share.prod())
-        order = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-        for i, (f, *_) in enumerate(leaf.path):
-            sums = np.zeros((d, len(x)))  # by size of the coalition, of products over the other features
-            sums[0] = 1.0
-            for j in range(d):
-                if j != i:
-                    sums[1:] = sums[1:] * share[j] + sums[:-1] * passes[j]
-                    sums[0] *= share[j]
-            out[:, f] += leaf.value * (passes[i] - share[i]) * (order @ sums)
+        base += leaf.value * float(np.array([p[3] for p in leaf.path]).prod())
+        if not d:
+            continue
+        passes = np.array([(low < x[:, f]) & (x[:, f] <= high) for f, low, high, _ in leaf.path])
+        if d <= PATTERNS:
+            # What a leaf gives depends on the splits passed alone.
+            made = _shares(leaf, (np.arange(1 << d) >> np.arange(d)[:, None] & 1).astype(float))[:, (1 << np.arange(d)) @ passes]
+        else:
+            made = _shares(leaf, passes.astype(float))
+        for (f, *_), c in zip(leaf.path, made, strict=True):
+            out[:, f] += c
     return out, base
 
 
@@ -75,12 +95,15 @@ def tree_contributions(model: object, rows: DataFrame, names: list[str], vector:
     """
     found = leaves(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["x"].tolist(), float).reshape(len(batch), len(names))
+            x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(len(names))])
             values, base = shapley(found, x)
-            parts = [[{"feature": n, "value": float(v), "contribution": float(c)} for n, v, c in zip(names, a, b, strict=True)] for a, b in zip(x, values, strict=True)]
-            yield pd.DataFrame({id_col: batch[id_col], "base": base, "contributions": parts})
+            n = len(x)
+            parts = pa.StructArray.from_arrays([pa.array(names * n, pa.string()), pa.array(x.ravel()), pa.array(values.ravel())], ["feature", "value", "contribution"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(names)), parts)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.full(n, base)), lists], [id_col, "base", "contributions"])
 
     schema = f"{id_col} {dict(rows.dtypes)[id_col]}, base double, contributions array<struct<feature:string,value:double,contribution:double>>"
-    return rows.select(id_col, vector_to_array(F.col(vector)).alias("x")).mapInPandas(run, schema)
+    x = vector_to_array(F.col(vector))
+    return rows.select(id_col, *[x[i].alias(f"x{i}") for i in range(len(names))]).mapInArrow(run, schema)

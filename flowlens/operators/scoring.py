@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logit, sigmoid, signed_log
+from ..session import materialize
 from .metrics import cumulative
 from .quantiles import exact_quantiles
 
@@ -65,13 +66,14 @@ def _balanced(train: DataFrame, label: str) -> DataFrame:
 
 
 def _prepared(features: list[str], scale: bool) -> list:
-    stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"__i_{f}" for f in features]), VectorAssembler(inputCols=[*[f"__i_{f}" for f in features], *[f"__m_{f}" for f in features]], outputCol="__x")]
+    stages = [Imputer(strategy="median", inputCols=[f"__v_{f}" for f in features], outputCols=[f"__i_{f}" for f in features]), VectorAssembler(inputCols=[*[f"__i_{f}" for f in features], *[f"__m_{f}" for f in features]], outputCol="__x")]
     return [*stages, StandardScaler(inputCol="__x", outputCol="__features", withMean=True)] if scale else stages
 
 
 def _inputs(df: DataFrame, features: list[str], log: bool) -> DataFrame:
+    """``df`` with its features as doubles (__v_) and flags of missing ones (__m_)."""
     value = lambda f: signed_log(F.col(f).cast("double")) if log else F.col(f).cast("double")
-    return df.withColumns({f"__m_{f}": F.col(f).isNull().cast("double") for f in features}).withColumns({f: value(f) for f in features})
+    return df.withColumns({f"__m_{f}": F.col(f).isNull().cast("double") for f in features} | {f"__v_{f}": value(f) for f in features})
 
 
 class MlScorer:
@@ -85,9 +87,12 @@ class MlScorer:
         common = {"labelCol": self.label, "weightCol": "__weight"}
         linear = self.kind == "logistic"
         column = "__features" if linear else "__x"
-        rows = _balanced(_inputs(train, self.features, linear), self.label).withColumn("__val", F.lit(False))
+        own = [*[f"__v_{f}" for f in self.features], *[f"__m_{f}" for f in self.features], self.label]
+        made = _inputs(train, self.features, linear).select(*own)
+        made = materialize(made, "scorer-rows")  # every stage and step of the fit reads them
+        rows = _balanced(made, self.label).withColumn("__val", F.lit(False))
         if self.kind == "boosting" and val is not None:
-            rows = rows.unionByName(_inputs(val, self.features, linear).withColumns({"__weight": F.lit(1.0), "__val": F.lit(True)}), allowMissingColumns=True)
+            rows = rows.unionByName(_inputs(val, self.features, linear).select(*own).withColumns({"__weight": F.lit(1.0), "__val": F.lit(True)}))
             common["validationIndicatorCol"] = "__val"
         model = {
             "logistic": lambda: LogisticRegression(featuresCol=column, **common, **({"regParam": 0.01} | self.params)),
@@ -99,8 +104,8 @@ class MlScorer:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with score, the probability of label 1."""
-        out = self.model.transform(_inputs(df, self.features, self.kind == "logistic").select("tx_id", *self.features, *[f"__m_{f}" for f in self.features]))
-        return df.join(out.select("tx_id", vector_to_array("probability")[1].alias("score")), "tx_id")
+        out = self.model.transform(_inputs(df, self.features, self.kind == "logistic"))
+        return out.select(*[c for c in df.columns if c != "score"], vector_to_array("probability")[1].alias("score"))
 
 
 def random_search(train: DataFrame, val: DataFrame, make: Callable[[dict], MlScorer], space: dict[str, list], trials: int, seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:

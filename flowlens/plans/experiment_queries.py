@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -85,9 +85,14 @@ def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m14_tree_contributions")
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contributions(spark, sf_dir)
+
+
+def contributions(spark: SparkSession, sf_dir: str, shown: Column | None = None) -> DataFrame:
+    """Contributions of boosted trees, fitted on all transfers, to each of the transfers ``shown`` (all)."""
     rows = VectorAssembler(inputCols=_FEATURES, outputCol="x").transform(_plain(spark, sf_dir))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=20, maxDepth=4, seed=0).fit(rows)
-    return explain.tree_contributions(model, rows, _FEATURES, "x")
+    return explain.tree_contributions(model, rows if shown is None else rows.where(shown), _FEATURES, "x")
 
 
 @query("m11_stacker")

@@ -73,6 +73,20 @@ def test_policies(spark):
         A.budget_threshold(recent.where("false"), 0.1)
 
 
+def test_contributions_come_from_patterns_of_passed_splits(monkeypatch):
+    """Tables of patterns give the numbers of every row's own polynomial."""
+    rng = np.random.default_rng(3)
+    found = [explain.Leaf(float(rng.normal()), tuple((f, -0.5 * f, 1.0 + f, float(rng.uniform(0.2, 0.9))) for f in range(d))) for d in (0, 1, 2, 4)]
+    x, asked = rng.normal(size=(500, 4)), []
+    own = explain._shares
+    monkeypatch.setattr(explain, "_shares", lambda leaf, passes: asked.append(passes.shape[1]) or own(leaf, passes))
+    fast, base = explain.shapley(found, x)
+    assert asked == [2, 4, 16]
+    monkeypatch.setattr(explain, "PATTERNS", 0)
+    slow, same = explain.shapley(found, x)
+    assert (fast == slow).all() and base == same
+
+
 def test_tree_contributions_match_coalitions(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 4)).round(2)
