@@ -121,7 +121,8 @@ def has_cycle(pairs: DataFrame) -> DataFrame:
     left = materialize(pairs.select("ring_id", "src", "dst").distinct(), "ring-cycle")
     n = left.count()
     while n:
-        paid, pays = left.select("ring_id", F.col("dst").alias("src")).distinct(), left.select("ring_id", F.col("src").alias("dst")).distinct()
+        # Merged, not broadcast: every round would send its accounts through the driver.
+        paid, pays = (left.select("ring_id", F.col(a).alias(b)).distinct().hint("merge") for a, b in (("dst", "src"), ("src", "dst")))
         left = materialize(left.join(paid, ["ring_id", "src"], "left_semi").join(pays, ["ring_id", "dst"], "left_semi").select("ring_id", "src", "dst"), "ring-cycle")
         before, n = n, left.count()
         if n == before:

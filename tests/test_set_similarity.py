@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import metrics
+from flowlens.operators import metrics, rings, scoring
 from flowlens.operators import set_similarity as J
 
 
@@ -81,3 +81,25 @@ def test_sets_that_share_little_are_no_candidates(spark):
     p, t = sets_(10_000, "pid"), sets_(90_000, "tid")
     counts = p.select(F.explode("members").alias("m")).unionAll(t.select(F.explode("members").alias("m"))).groupBy("m").agg(F.lit(1).cast("long").alias("df"))
     assert J.candidate_classes(J._ordered(p, "pid", counts)[0], J._ordered(t, "tid", counts)[0], 0.3).count() == 0
+
+
+def test_peeling_of_cycles_sends_no_accounts_through_the_driver(spark, monkeypatch):
+    """Rounds join by sorting, so that nothing is broadcast however small a round looks."""
+    plans, own = [], rings.materialize
+    monkeypatch.setattr(rings, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    rows = [(1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 1, 2), (2, 2, 3), (3, 4, 4)]
+    made = rings.has_cycle(spark.createDataFrame(rows, "ring_id long, src long, dst long"))
+    assert {r["ring_id"]: r["has_cycle"] for r in made.collect()} == {1: 1, 2: 0, 3: 1}
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_scorers_keep_the_columns_of_their_rows(spark):
+    """Scores come without a join, and inputs under a logarithm stay as they were; missing ones are imputed."""
+    rows = [(i, float(i % 9) if i % 10 else None, int(i % 9 > 4)) for i in range(90)]
+    df = spark.createDataFrame(rows, "tx_id long, x double, label int")
+    scored = scoring.MlScorer("logistic", ["x"]).fit(df).score(df)
+    assert scored.columns == ["tx_id", "x", "label", "score"]
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r["tx_id"]: (r["x"], r["score"]) for r in scored.collect()}
+    assert {i: v[0] for i, v in got.items()} == {i: x for i, x, _ in rows}
+    assert got[8][1] > 0.5 > got[1][1]
