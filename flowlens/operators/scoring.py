@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import logit, sigmoid, signed_log
 from ..session import materialize
+from .forest import Forest
+from .forest import Params as ForestParams
 from .metrics import cumulative
 from .quantiles import exact_quantiles
 
@@ -77,13 +79,17 @@ def _inputs(df: DataFrame, features: list[str], log: bool) -> DataFrame:
 
 
 class MlScorer:
-    """A Spark ML classifier on behavioural columns: imputed by the median, with missing flags."""
+    """A Spark ML classifier, or a forest over counted cells, on behavioural columns: imputed by the median, with missing flags."""
 
     def __init__(self, kind: str, features: list[str], label: str = "label", seed: int = 0, **params: object):
         self.kind, self.features, self.label, self.seed, self.params = kind, features, label, seed, params
 
     def fit(self, train: DataFrame, val: DataFrame | None = None) -> MlScorer:
         """Fit on ``train``; boosting stops early on the loss of ``val``."""
+        if self.kind == "forest":
+            own = {"numTrees": 300, "maxDepth": 10, "subsamplingRate": 0.8} | self.params
+            self.model = Forest(self.features, self.label, ForestParams(own["numTrees"], own["maxDepth"], own["subsamplingRate"], self.seed)).fit(train)
+            return self
         common = {"labelCol": self.label, "weightCol": "__weight"}
         linear = self.kind == "logistic"
         column = "__features" if linear else "__x"
@@ -96,7 +102,6 @@ class MlScorer:
             common["validationIndicatorCol"] = "__val"
         model = {
             "logistic": lambda: LogisticRegression(featuresCol=column, **common, **({"regParam": 0.01} | self.params)),
-            "forest": lambda: RandomForestClassifier(featuresCol=column, seed=self.seed, **common, **({"numTrees": 300, "maxDepth": 10, "subsamplingRate": 0.8} | self.params)),
             "boosting": lambda: GBTClassifier(featuresCol=column, seed=self.seed, **common, **({"maxIter": 100, "maxDepth": 5, "stepSize": 0.1} | self.params)),
         }[self.kind]()
         self.model = Pipeline(stages=[*_prepared(self.features, linear), model]).fit(rows)
@@ -104,6 +109,8 @@ class MlScorer:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with score, the probability of label 1."""
+        if self.kind == "forest":
+            return self.model.score(df)
         out = self.model.transform(_inputs(df, self.features, self.kind == "logistic"))
         return out.select(*[c for c in df.columns if c != "score"], vector_to_array("probability")[1].alias("score"))
 
