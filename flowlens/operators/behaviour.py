@@ -47,13 +47,13 @@ def _moments(tx: DataFrame, bucket: int, history: bool = True) -> DataFrame:
     return rows.groupBy("acct", "t").agg(*[f(c).alias(c) for c, f in kinds.items()]).withColumn("b", F.floor(F.col("t") / F.lit(bucket)))
 
 
-def _of_both(tx: DataFrame, moments: DataFrame, values: dict[str, tuple[str, Column]], *keep: str) -> DataFrame:
-    """tx_id, ``keep`` and each output column, taken from the moment of its side; ``values`` may use the transfer's amount.
+def _of_both(tx: DataFrame, moments: DataFrame, values: dict[str, tuple[str, Column]], *keep: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """tx_id, ``keep`` and each output column, taken from the moment of its side; ``values`` may use the transfer's amount and ``also``.
 
     The moments are stored, so that both sides read what one computation made.
     """
     moments = materialize(moments, "moments")
-    out = tx.select("tx_id", "src", "dst", "t", "amount", *[c for c in keep if c not in ("src", "dst", "t", "amount")])
+    out = tx.select("tx_id", "src", "dst", "t", "amount", *[c for c in (*keep, *also) if c not in ("tx_id", "src", "dst", "t", "amount")])
     for end in ("src", "dst"):
         out = out.join(moments.select(F.col("acct").alias(end), "t", F.struct(*[c for c in moments.columns if c not in ("acct", "t", "b")]).alias(f"__{end}")), [end, "t"], "left")
     return out.select("tx_id", *keep, *[c.alias(name) for name, c in values.items()])
@@ -133,13 +133,15 @@ def counterparty_is_new(tx: DataFrame) -> DataFrame:
     return tx.join(first, ["src", "dst"]).select("tx_id", (F.col("first_t") == F.col("t")).cast("int").alias("counterparty_is_new"))
 
 
-def behavioural_features(tx: DataFrame, windows: dict[str, int] = WINDOWS, min_history: int = MIN_HISTORY) -> DataFrame:
-    """All of the above and the pass-through ratio, one row a transfer."""
+def behavioural_features(tx: DataFrame, windows: dict[str, int] = WINDOWS, min_history: int = MIN_HISTORY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All of the above and the pass-through ratio, one row a transfer, beside its columns ``keep``."""
     longest = max(windows, key=windows.get)
-    moments = _with_history(_with_windows(_moments(tx, max(windows.values())), windows))
+    moments = materialize(_moments(tx, max(windows.values())), "moments")  # read for the windows and for what is carried
+    moments = _with_history(_with_windows(moments, windows))
     ratio = F.col("amount") / (F.coalesce(F.col(f"__src.in_sum_{longest}"), F.lit(0.0)) + 1)
-    values = _window_values(windows) | _history_values(min_history) | {f"amt_over_src_in_{longest}": ratio}
-    return _of_both(tx, moments, values).join(counterparty_is_new(tx), "tx_id")
+    values = _window_values(windows) | _history_values(min_history) | {f"amt_over_src_in_{longest}": ratio, "counterparty_is_new": (F.col("first_t") == F.col("t")).cast("int")}
+    first = tx.groupBy("src", "dst").agg(F.min("t").alias("first_t"))
+    return _of_both(tx.join(first, ["src", "dst"]), moments, values, *keep, also=("first_t",))
 
 
 def rolling_velocity(tx: DataFrame, windows: dict[str, int] | None = None) -> DataFrame:

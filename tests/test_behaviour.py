@@ -110,3 +110,10 @@ def test_a_hub_is_a_moment_a_second(spark):
         assert r["src_n_counterparties"] == len({x[2] for x in before if x[1] == s}) and r["dst_n_counterparties"] == len({x[1] for x in before if x[2] == d})
         assert r["counterparty_is_new"] == int(not any(x[1:3] == (s, d) for x in before))
         assert abs(r["amt_over_src_in_24h"] - a / (sum(x[4] for x in before if x[2] == s) + 1)) < 1e-9
+
+
+def test_features_join_no_ids_and_keep_columns(spark):
+    """Transfers that share an id stay one row each: nothing is joined by id."""
+    tx = spark.createDataFrame([(1, 1, 2, 10, 5.0, "a"), (1, 2, 1, 20, 4.0, "b"), (2, 1, 2, 30, 2.0, "c")], "tx_id long, src long, dst long, t long, amount double, fmt string")
+    rows = B.behavioural_features(tx, {"1h": 3600}, keep=("t", "fmt")).orderBy("t").collect()
+    assert [(r["tx_id"], r["t"], r["fmt"], r["counterparty_is_new"], r["src_out_n_hist"], r["src_in_n_hist"]) for r in rows] == [(1, 10, "a", 1, 0, 0), (1, 20, "b", 1, 0, 1), (2, 30, "c", 0, 1, 1)]
