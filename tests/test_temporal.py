@@ -90,3 +90,27 @@ def test_rows_stored_are_of_the_order_of_the_pairs(spark, monkeypatch):
     asked = spark.range(40).select(F.col("id").alias("node"), F.lit(periods).alias("i"))
     temporal.merged_components(edges, asked, periods).count()
     assert max(n for name, n in stored if name == "temporal-edges") <= 150
+
+
+def test_pagerank_by_blocks_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(a), int(b)) for g, a, b in zip(rng.integers(0, 2, 90), rng.integers(0, 25, 90), rng.integers(0, 30, 90))] + [(0, k, 3) for k in range(20)] + [(2, 7, 7), (3, 1, 2)]
+    edges = spark.createDataFrame(rows, "period long, src long, dst long")
+
+    def want(pairs):
+        pairs, names = set(pairs), sorted({v for p in pairs for v in p})
+        r = {v: 1 / len(names) for v in names}
+        for _ in range(12):
+            pays = {v: [b for a, b in pairs if a == v] for v in names}
+            loose = sum(r[v] for v in names if not pays[v])
+            new = {v: 0.15 / len(names) + 0.85 * loose / len(names) for v in names}
+            for v in names:
+                for b in pays[v]:
+                    new[b] += 0.85 * r[v] / len(pays[v])
+            r = new
+        return {v: x * len(names) for v, x in r.items()}
+
+    for bound in (10**6, 12):
+        monkeypatch.setattr(G, "RANK_LINKS", bound)
+        got = {(r["period"], r["node"]): r["pagerank"] for r in G.pagerank(edges, 12, by="period").collect()}
+        assert got == pytest.approx({(g, v): x for g in range(4) for v, x in want([r[1:] for r in rows if r[0] == g]).items()})
