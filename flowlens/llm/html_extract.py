@@ -1,19 +1,19 @@
 """Main text of web pages by union-free wrapper inference.
 
-Pages of every host, one of each of several layouts, are aligned one after
-another.  A page is a tree of elements whose leaves are text slots (runs of text
-with its inline mark-up and paragraphs).  Equal neighbours are folded into
-repeated groups, the folded sequences are aligned, and what one page has and the
-other has not becomes optional.  What results is a wrapper: a regular expression
-without unions over elements and text slots.  Pages that it does not fit are
-sampled again, and the wrapper is aligned with them too.
+The layouts of all pages of a host are aligned.  A page is a tree of elements
+whose leaves are text slots (runs of text with its inline mark-up and
+paragraphs).  Equal neighbours are folded into repeated groups, the folded
+sequences are aligned, and what one page has and the other has not becomes
+optional.  What results is a wrapper: a regular expression without unions over
+elements and text slots.  Of the host's pages each different layout is aligned
+once, in groups of a few, then what they gave, until one is left.
 
 The wrapper decides which slots hold the article: texts that most of a host's
 pages share in the same place are constants of its template, and the article is
 the element that gathers the varying text outside of links.  In an element that
 is marked as the article a constant stays, unless it is mostly links or stands
-in an element for promotion.  A page that the wrapper does not fit even then is
-cut at the same element.
+in an element for promotion.  A page that the wrapper does not fit, as one is too
+long to align, is cut at the same element.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import join_small, materialize, spread
 
-#: Layouts of a host that its wrapper is inferred from, at most, in each of the two rounds.
-SAMPLE = 8
+#: Layouts that are aligned in one group, on average.
+ALIGNED = 64
 #: Longest group of neighbours that is folded as a repeat; cells of a table of alignment or matching; nesting that is kept apart.
 PERIOD, CELLS, DEPTH = 6, 400_000, 60
 #: Wrappers that are broadcast, and their characters, at most.
@@ -221,11 +221,6 @@ def runs(e: Element) -> Iterator[Run]:
             yield from runs(c)
 
 
-def layout(page: str | None) -> int:
-    """A number for the page's tree with repeats folded and texts left out."""
-    return xxhash.xxh64_intdigest(json.dumps(_folded(tree(page), frozenset()))) >> 1
-
-
 # --- wrappers ---------------------------------------------------------------
 # An item is [kind, how often, label, body]: kind "#" a slot, "=" a constant of the template, "e" an element
 # with its body, "g" a group of neighbours; how often "" once, "?" at most once, "*" any number.  Slots get a
@@ -446,20 +441,21 @@ def _number(items: list[list], at: int = 0) -> int:
     return at
 
 
-def infer(pages: list[str], constants: frozenset[int] = frozenset()) -> dict:
-    """The wrapper of a few pages with its slots marked, the article's path, and the constants."""
-    trees = [tree(p) for p in dict.fromkeys(pages)]
+def _combined(layouts: Iterable[list[list]]) -> list[list]:
     items: list[list] | None = None
-    for t in trees:
-        own = _folded(t, constants)
+    for own in layouts:
         items = own if items is None else align(items, own)
-    items = items or []
-    _number(items)
-    mass: dict[int, int] = {}
-    for t in trees:
-        for run, item in match(items, t, constants) or []:
-            if item[0] == "#":
-                mass[item[3]] = mass.get(item[3], 0) + max(0, run.chars - run.linked)
+    return items or []
+
+
+def _weights(items: list[list], t: Element, constants: frozenset[int]) -> Iterator[tuple[int, int]]:
+    """Slots of a page, and characters outside of links in each."""
+    for run, item in match(items, t, constants) or []:
+        if item[0] == "#":
+            yield item[3], max(0, run.chars - run.linked)
+
+
+def _marked(items: list[list], mass: dict[int, int], constants: frozenset[int]) -> dict:
     path = None
     if _articles(items):
         _mark_articles(items)
@@ -468,6 +464,18 @@ def infer(pages: list[str], constants: frozenset[int] = frozenset()) -> dict:
     return {"items": items, "path": path, "constants": sorted(constants)}
 
 
+def infer(pages: list[str], constants: frozenset[int] = frozenset()) -> dict:
+    """The wrapper of a few pages with its slots marked, the article's path, and the constants."""
+    trees = [tree(p) for p in dict.fromkeys(pages)]
+    items = _combined(_folded(t, constants) for t in trees)
+    _number(items)
+    mass: dict[int, int] = {}
+    for t in trees:
+        for slot, chars in _weights(items, t, constants):
+            mass[slot] = mass.get(slot, 0) + chars
+    return _marked(items, mass, constants)
+
+
 def _at_path(root: Element, path: list[str]) -> Element:
     for label in path:
         found = next((c for c in root.children if isinstance(c, Element) and c.label + "!" * c.named == label), None)
@@ -509,10 +517,6 @@ def main_text(page: str | None, wrapper: dict | None = None) -> str:
 # --- Spark ------------------------------------------------------------------
 
 
-def _layouts(pages: pd.Series) -> pd.Series:
-    return pd.Series([layout(p) for p in pages], dtype="int64")
-
-
 _TEXTS = "__host string, text long, n long, pages long"
 
 
@@ -540,10 +544,65 @@ def template_texts(rows: DataFrame) -> DataFrame:
     return materialize(shared.groupBy("__host").agg(F.array_sort(F.collect_list("text")).alias("constants")), "templates")
 
 
-def _infer_host(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["round", "bucket"])
-    constants = frozenset(int(x) for x in (group["constants"].iloc[0] if group["constants"].iloc[0] is not None else ()))
-    return pd.DataFrame({"__host": [group["__host"].iloc[0]], "__wrapper": [json.dumps(infer(list(group["html"]), constants))]})
+def _constants(values: object) -> frozenset[int]:
+    return frozenset() if values is None else frozenset(int(x) for x in values)
+
+
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different layouts of a batch: pages with repeats folded, texts left out."""
+    for batch in batches:
+        found = {(host, json.dumps(_folded(tree(page), _constants(own)))) for host, page, own in zip(batch["__host"], batch["html"], batch["constants"], strict=True)}
+        yield pd.DataFrame(sorted(found), columns=["__host", "items"]).astype("object")
+
+
+def _align_layouts(group: pd.DataFrame) -> pd.DataFrame:
+    items = _combined(json.loads(x) for x in sorted(group["items"]))
+    return pd.DataFrame({"__host": [group["__host"].iloc[0]], "items": [json.dumps(items)]})
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    """__host and items, the layouts of all its pages aligned; ``rows`` with constants."""
+    layouts = materialize(rows.select("__host", "html", "constants").mapInPandas(_layouts, "__host string, items string").distinct(), "layouts")
+    most, parts = layouts.groupBy("__host").count().agg(F.max("count")).first()[0] or 0, 1
+    while parts * ALIGNED < most:
+        parts *= ALIGNED
+    while True:
+        part = F.pmod(F.xxhash64("items"), F.lit(parts)).alias("part")
+        layouts = materialize(layouts.groupBy("__host", part).applyInPandas(_align_layouts, "__host string, items string"), "layouts")
+        if parts == 1:
+            return layouts
+        parts //= ALIGNED
+
+
+def _slot_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        mass: dict[tuple[str, int], int] = {}
+        for host, page, own, wrapper in zip(batch["__host"], batch["html"], batch["constants"], batch["__wrapper"], strict=True):
+            for slot, chars in _weights(_loaded(wrapper), tree(page), _constants(own)):
+                mass[host, slot] = mass.get((host, slot), 0) + chars
+        rows = [(host, slot, chars) for (host, slot), chars in mass.items()]
+        yield pd.DataFrame(rows, columns=["__host", "slot", "chars"]).astype({"__host": "object", "slot": "int32", "chars": "int64"})
+
+
+def _numbered(layouts: pd.Series) -> pd.Series:
+    out = []
+    for items in map(json.loads, layouts):
+        _number(items)
+        out.append(json.dumps(items))
+    return pd.Series(out, dtype="object")
+
+
+def _with_articles(layouts: pd.Series) -> pd.Series:
+    return pd.Series([_articles(json.loads(x)) for x in layouts], dtype="bool")
+
+
+def _mark_hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        made = []
+        for items, own, mass in zip(batch["items"], batch["constants"], batch["mass"], strict=True):
+            weights = {} if mass is None else {int(x["slot"]): int(x["chars"]) for x in mass}
+            made.append(json.dumps(_marked(json.loads(items), weights, _constants(own))))
+        yield pd.DataFrame({"__host": batch["__host"], "__wrapper": made}).astype("object")
 
 
 @lru_cache(maxsize=4096)
@@ -551,43 +610,41 @@ def _loaded(wrapper: str) -> dict:
     return json.loads(wrapper)
 
 
-_TEXT = "page_id long, url string, text string, n_chars long, __host string, html string"
+_TEXT = "page_id long, url string, text string, n_chars long"
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Main texts; pages that their host's wrapper does not fit are handed on whole."""
     for batch in batches:
-        texts, left = [], []
-        for page, wrapper in zip(batch["html"], batch["__wrapper"], strict=True):
-            known = _loaded(wrapper) if wrapper else None
-            text, fits = extracted(page, known)
-            texts.append(text)
-            left.append(None if fits else page)
-        out = batch[["page_id", "url", "__host"]].copy()
-        out["text"] = texts
-        out["n_chars"] = [len(t) for t in texts]
-        out["html"] = left
-        yield out[["page_id", "url", "text", "n_chars", "__host", "html"]]
-
-
-def _chosen(rows: DataFrame, sample: int, turn: int) -> DataFrame:
-    """A page for each of ``sample`` classes of a host's layouts, by a map-side minimum."""
-    known = rows.where(F.length("html") > 0).select("__host", "html", F.pmod(F.pandas_udf(_layouts, "long")("html"), F.lit(sample)).cast("int").alias("bucket"))
-    least = known.groupBy("__host", "bucket").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
-    return materialize(least.withColumn("round", F.lit(turn)), "page-sample")
-
-
-def _wrapped(rows: DataFrame, samples: DataFrame, templates: DataFrame) -> DataFrame:
-    """``rows`` with the wrapper of their host, inferred from the samples."""
-    ready = samples.join(templates, "__host", "left")
-    inferred = materialize(ready.groupBy("__host").applyInPandas(_infer_host, "__host string, __wrapper string"), "wrappers")
-    number = inferred.select("__host", F.xxhash64("__wrapper").alias("__w"))
-    wrappers = materialize(inferred.groupBy(F.xxhash64("__wrapper").alias("__w")).agg(F.first("__wrapper").alias("__wrapper")), "wrapper-texts")
-    chars = wrappers.agg(F.sum(F.length("__wrapper"))).first()[0] or 0
-    return join_small(join_small(rows, number, ["__host"], "left"), wrappers, ["__w"], "left", WRAPPERS if chars <= WRAPPER_CHARS else 0)
-
-
-def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+        out = batch[["page_id", "url"]].copy()
+        out["text"] = [main_text(page, _loaded(wrapper) if wrapper else None) for page, wrapper in zip(batch["html"], batch["__wrapper"], strict=True)]
+        out["n_chars"] = [len(t) for t in out["text"]]
+        yield out[["page_id", "url", "text", "n_chars"]]
+
+
+def _wrapped(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``rows`` with the __wrapper of their host; equal ones of many hosts are told once."""
+    number = wrappers.select("__host", F.xxhash64("__wrapper").alias("__w"))
+    texts = materialize(wrappers.groupBy(F.xxhash64("__wrapper").alias("__w")).agg(F.first("__wrapper").alias("__wrapper")), "wrapper-texts")
+    chars = texts.agg(F.sum(F.length("__wrapper"))).first()[0] or 0
+    return join_small(join_small(rows, number, ["__host"], "left"), texts, ["__w"], "left", WRAPPERS if chars <= WRAPPER_CHARS else 0).drop("__w")
+
+
+def infer_hosts(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """__host and __wrapper, inferred from all its pages; where no article is marked, all of them weigh the slots."""
+    known = join_small(rows.where(F.length("html") > 0).select("__host", "html"), templates, ["__host"], "left")
+    items = materialize(_aligned(known).select("__host", F.pandas_udf(_numbered, "string")("items").alias("items")), "wrapper-items")
+    bare = materialize(items.where(~F.pandas_udf(_with_articles, "boolean")("items")).select("__host", F.col("items").alias("__wrapper")), "bare-wrappers")
+    ready = items.join(templates, "__host", "left")
+    if bare.isEmpty():
+        ready = ready.withColumn("mass", F.lit(None).cast("array<struct<slot int, chars long>>"))
+    else:
+        weighed = _wrapped(known, bare).where("__wrapper is not null").mapInPandas(_slot_weights, "__host string, slot int, chars long")
+        mass = weighed.groupBy("__host", "slot").agg(F.sum("chars").alias("chars"))
+        ready = ready.join(mass.groupBy("__host").agg(F.collect_list(F.struct("slot", "chars")).alias("mass")), "__host", "left")
+    return materialize(ready.mapInPandas(_mark_hosts, "__host string, __wrapper string"), "wrappers")
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null and empty pages, and pages without main text, give an empty text.
@@ -595,19 +652,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     one.  An empty table gives an empty result.  Columns other than page_id,
     url and html are ignored.
 
-    A host is never gathered: its template texts are counted map-side, and its
-    samples are one page of each layout class.
+    A host is never gathered: its template texts and the weights of its slots
+    are added up map-side, and of its layouts each different one is aligned.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("__host")))
-    templates = template_texts(rows)
-    samples = _chosen(rows, sample, 0)
-    known = _wrapped(rows, samples, templates).select("page_id", "url", "html", "__host", "__wrapper")
-    first = materialize(known.mapInPandas(_extract, _TEXT), "page-text")
-    columns = ["page_id", "url", "text", "n_chars"]
-    unfit = first.where("html is not null")
-    if not unfit.limit(1).count():
-        return first.select(*columns)
-    again = _chosen(unfit, sample, 1)
-    wider = _wrapped(unfit.select("page_id", "url", "html", "__host"), samples.unionByName(again), templates).select("page_id", "url", "html", "__host", "__wrapper")
-    return first.where("html is null").select(*columns).unionByName(wider.mapInPandas(_extract, _TEXT).select(*columns))
+    wrappers = infer_hosts(rows, template_texts(rows))
+    return _wrapped(rows, wrappers).select("page_id", "url", "html", "__wrapper").mapInPandas(_extract, _TEXT)

@@ -1,5 +1,6 @@
 import hashlib
 import html
+import json
 import math
 import random
 import re
@@ -550,6 +551,28 @@ def test_the_same_text_elsewhere_is_no_template(spark):
     assert got == {i: f"{'Common head' if i else 'Other'}\nText {i} of its own, long enough to be an article." for i in range(4)}
 
 
+def test_every_page_of_a_host_weighs_its_elements(spark):
+    """Which element holds the article is decided by all pages: of those of one layout most have more beside it than in it."""
+    story = lambda i: f"A few words of page {i} here." if i % 8 else " ".join([f"Of page {i} there is a great deal to be told."] * 60)
+    page = lambda i: f'<body><div class="story"><p>{story(i)}</p></div><div class="beside"><p>Beside page {i} lies a longer note about other things.</p></div></body>'
+    rows = [(i, "http://weigh.example/a", page(i)) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: story(i) for i in range(40)}
+
+
+def test_every_layout_of_a_host_is_in_its_wrapper(spark):
+    """Layouts are aligned in groups, and the result fits each of them, however many there are."""
+    tags = ["table", "ul", "section", "blockquote", "pre", "dl", "figure", "address"]
+    page = lambda i: "<body><article>" + "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(tags) if i >> k & 1) + f"<h1>T{i}</h1></article></body>"
+    rows = spark.createDataFrame([("many.example", page(i)) for i in range(256)], "__host string, html string")
+    templates = html_extract.template_texts(rows)
+    wrappers = [json.loads(r["__wrapper"]) for r in html_extract.infer_hosts(rows, templates).collect()]
+    assert len(wrappers) == 1
+    for i in range(256):
+        text, fits = html_extract.extracted(page(i), wrappers[0])
+        assert fits and text.endswith(f"T{i}") and len(text.split("\n")) == 1 + i.bit_count()
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_extract_table(spark, size):
     pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet")
