@@ -62,6 +62,41 @@ def test_components_of_every_snapshot(spark, monkeypatch, seed, nodes, pairs, pe
             assert all(got[b, i][0] == name for b in own)
 
 
+@pytest.mark.parametrize("bound", [10**6, 12])
+def test_ranks_of_all_snapshots_by_blocks(spark, monkeypatch, bound):
+    """However many blocks, all rounds or as many as move the ranks: those of the plain recurrence."""
+    monkeypatch.setattr(temporal, "RANK_LINKS", bound)
+    periods = 2 * temporal.WIDTH + 1
+    rows, edges = table(spark, 8, 14, 50, periods)
+    got = {}
+    for r in temporal.temporal_pagerank(edges, periods, 23).collect():
+        got |= {(r["node"], r["block"] * temporal.WIDTH + k): r[f"r{k}"] for k in range(temporal.WIDTH)}
+    for i in range(periods + 1):
+        pairs = [e for e, f in rows.items() if f < i]
+        names = sorted({v for e in pairs for v in e})
+        r = {v: 1 / len(names) for v in names}
+        for _ in range(23):
+            pays = {v: [b for a, b in pairs if a == v] for v in names}
+            loose = sum(r[v] for v in names if not pays[v])
+            new = {v: (0.15 + 0.85 * loose) / len(names) for v in names}
+            for v in names:
+                for b in pays[v]:
+                    new[b] += 0.85 * r[v] / len(pays[v])
+            r = new
+        for v in range(14):
+            assert got.get((v, i), 0) == pytest.approx(r.get(v, 0) * len(names), abs=1e-12)
+
+
+def test_rounds_shuffle_sums_of_blocks_not_of_pairs(spark, monkeypatch):
+    """Nothing is stored for a round while the pairs fit in a block."""
+    stored = []
+    real = temporal.materialize
+    monkeypatch.setattr(temporal, "materialize", lambda df, name: stored.append(name) or real(df, name))
+    _, edges = table(spark, 9, 30, 200, 5)
+    temporal.temporal_pagerank(edges, 5, 50).count()
+    assert len(stored) < 5
+
+
 def test_ranks_of_more_snapshots_than_a_row_holds(spark):
     periods = temporal.WIDTH + 3
     rows, edges = table(spark, 5, 10, 40, periods)
