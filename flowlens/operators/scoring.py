@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logit, sigmoid, signed_log
@@ -182,19 +182,50 @@ def isolation_forest(train: DataFrame, df: DataFrame, features: list[str], trees
     return df.select("tx_id", *[F.col(f).cast("double") for f in features]).mapInPandas(run, f"tx_id {dict(df.dtypes)['tx_id']}, score double")
 
 
-def fuse(scores: DataFrame, a: str, b: str, val: str = "val", steps: int = 21) -> tuple[DataFrame, float]:
+def _weight_bounds(grid: DataFrame, bins: int) -> DataFrame:
+    """w, low and high: between which the average precision of each weight lies, from counts of bins of scores.
+
+    The positives of a bin gain most where its negatives come after them, and
+    least where they come before and all but one of the positives after it.
+    """
+    span = grid.groupBy("w").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    slot = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    counts = grid.join(F.broadcast(span), "w").groupBy("w", slot.cast("int").alias("slot")).agg(F.sum("label").alias("pos"), F.count("*").alias("rows"))
+    higher = Window.partitionBy("w").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    before = lambda c: F.coalesce(F.sum(c).over(higher), F.lit(0))
+    placed = counts.select("w", "pos", "rows", before("pos").alias("tp"), before("rows").alias("above"))
+    most = F.col("pos") * (F.col("tp") + F.col("pos")) / (F.col("above") + F.col("pos"))
+    least = F.col("pos") * (F.col("tp") + 1) / (F.col("above") + F.col("rows") - F.col("pos") + 1)
+    total = lambda c: F.try_divide(F.sum(F.when(F.col("pos") > 0, c)), F.sum("pos"))
+    return placed.groupBy("w").agg(total(least).alias("low"), total(most).alias("high"))
+
+
+def fuse(scores: DataFrame, a: str, b: str, val: str = "val", steps: int = 21, bins: int = 1 << 15) -> tuple[DataFrame, float]:
     """Two models' standardised logits mixed by the weight with the best validation PR-AUC.
 
     ``scores``: tx_id, fold, label and the two score columns.  All weights are
-    measured in one pass over the validation fold.
+    bounded in one pass over the validation fold, from counts of ``bins`` bins
+    of scores; the exact figure is worked out for the weights that may be best.
     """
     z = scores.withColumns({"za": logit(F.col(a)), "zb": logit(F.col(b))})
     m = z.where(F.col("fold") == val).agg(*[f(c).alias(f"{n}_{c}") for c in ("za", "zb") for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     for c in ("za", "zb"):
         z = z.withColumn(c, (F.col(c) - m[f"m_{c}"]) / max(m[f"s_{c}"] or 0.0, 1e-9))
-    grid = z.where(F.col("fold") == val).select("label", "za", "zb", F.explode(F.array(*[F.lit(i / (steps - 1)) for i in range(steps)])).alias("w"))
-    points = cumulative(grid.select("w", F.col("label").alias("y"), (F.col("w") * F.col("za") + (1 - F.col("w")) * F.col("zb")).alias("score")), ["w"])
-    best = points.groupBy("w").agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("ap")).orderBy(F.desc("ap"), "w").first()["w"]
+    held = materialize(z.where(F.col("fold") == val).select(F.col("label").cast("long").alias("label"), "za", "zb"), "fusion-validation")
+
+    def mixed(weights: list[float]) -> DataFrame:
+        w = F.explode(F.array(*[F.lit(w) for w in weights])).alias("w")
+        return held.select("label", "za", "zb", w).select("w", "label", (F.col("w") * F.col("za") + (1 - F.col("w")) * F.col("zb")).alias("score"))
+
+    bounds = _weight_bounds(mixed([i / (steps - 1) for i in range(steps)]), bins).collect()  # a row a weight
+    least = max((r["low"] for r in bounds if r["low"] is not None), default=None)  # None: no positives
+    left = sorted(r["w"] for r in bounds if least is not None and r["high"] >= least - 1e-9)
+    if len(left) > 1:
+        points = cumulative(mixed(left).withColumnRenamed("label", "y"), ["w"])
+        best = points.groupBy("w").agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("ap")).orderBy(F.desc("ap"), "w").first()["w"]
+    else:
+        best = left[0] if left else 0.0
     return z.withColumn("score", sigmoid(best * F.col("za") + (1 - best) * F.col("zb"))), best
 
 

@@ -8,6 +8,7 @@ from flowlens.operators import evidence as E
 from flowlens.operators import graph as G
 from flowlens.operators import metrics as M
 from flowlens.operators import rings as R
+from flowlens.operators import scoring as C
 from flowlens.operators import splits as S
 from flowlens.plans import serving as V
 
@@ -75,6 +76,38 @@ def test_ring_metrics_and_early_warning(spark):
     assert M.early_warning(events, rings, 0.5, from_start=True).first()["ewt_minutes"] == 5.0
 
 
+@pytest.mark.parametrize("bins", [3, 40, 1 << 15])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fusion_works_out_only_weights_that_may_be_best(spark, monkeypatch, seed, bins):
+    """The best weight is that of a plain count, with ties; bounds hold; few weights are worked out where bins are fine."""
+    rng = np.random.default_rng(seed)
+    a, b, y = rng.integers(1, 30, 400) / 30, rng.integers(1, 30, 400) / 30, rng.integers(0, 3, 400) == 0
+    a = np.clip(a + 0.2 * y, 0.01, 0.99)
+    df = spark.createDataFrame([(i, "val", int(v), float(x), float(z)) for i, (x, z, v) in enumerate(zip(a, b, y, strict=True))], "tx_id long, fold string, label int, a double, b double")
+    za, zb = ((x - x.mean()) / x.std() for x in (np.log(v / (1 - v)) for v in (a, b)))
+
+    def precision(w):
+        score = w * za + (1 - w) * zb
+        return sum((y & (score >= s)).sum() / (score >= s).sum() for s in score[y]) / y.sum()
+
+    want = {i / 20: precision(i / 20) for i in range(21)}
+    seen, asked = [], []
+    real, bounded = C.cumulative, C._weight_bounds
+    monkeypatch.setattr(C, "cumulative", lambda df, by: seen.append(df.select("w").distinct().count()) or real(df, by))
+    monkeypatch.setattr(C, "_weight_bounds", lambda grid, n: asked.append(bounded(grid, n)) or asked[-1])
+    best = C.fuse(df, "a", "b", bins=bins)[1]
+    assert want[best] == pytest.approx(max(want.values()), abs=1e-12)
+    for r in asked[0].collect():
+        assert r["low"] - 1e-9 <= want[r["w"]] <= r["high"] + 1e-9
+    if bins > 1000:
+        assert sum(seen) < 12
+
+
+def test_fusion_without_positives(spark):
+    df = spark.createDataFrame([(1, "val", 0, 0.2, 0.3), (2, "val", 0, 0.4, 0.1), (3, "test", 1, 0.4, 0.1)], "tx_id long, fold string, label int, a double, b double")
+    assert C.fuse(df, "a", "b")[0].count() == 3
+
+
 def test_psi(spark):
     ref = spark.range(5000).select(F.randn(1).alias("x"))
     assert D.psi(ref, ref, ["x"]).first()["psi"] == pytest.approx(0)
