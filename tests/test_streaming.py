@@ -1,5 +1,6 @@
 """State of streams: look-backs of alerts and detectors, over batches and restarts."""
 
+import json
 import random
 
 import pytest
@@ -95,6 +96,20 @@ def test_what_no_alert_can_meet_is_evicted(monkeypatch):
     assert list(own.handleExpiredTimer((7,), at(1401_000), at(1401_000))) == [] and not own.moments
 
 
+def test_many_accounts_share_a_call_and_one_timer(spark, tmp_path):
+    """A state key serves many accounts; its alerts have a timer, not one each; answers are those of plain loops."""
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(300), rng.randrange(300), 500 * HOUR + rng.randrange(20 * HOUR), float(i % 9), rng.choice([0.1, 0.95])) for i in range(600)]
+    add(spark, tmp_path, rows)
+    out = L.alert_look_back(P.read_stream(spark, f"{tmp_path}/in", TX), 0.9, 5 * HOUR, "1 hour", parts=3)
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r["tx_id"], r["account"]): (r["n"], r["amount"], r["hot"], r["most"]) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    close(got, answers(rows, max(r[3] for r in rows) - HOUR, 5 * HOUR))
+    timers = [p["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) for p in map(lambda p: json.loads(p.json), query.recentProgress)]
+    assert 0 < max(timers) <= 6
+
+
 @pytest.mark.parametrize("kind", ["adwin", "patience", "both ways"])
 def test_detectors_in_a_stream_equal_those_over_a_table(spark, tmp_path, kind):
     make = {"adwin": lambda: D.Adwin(), "patience": lambda: D.Patience(4.0, 3), "both ways": lambda: D.PageHinkley(0.05, 8.0, direction="both")}[kind]
